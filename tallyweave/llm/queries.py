@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontamination, media_columns, oracles, secret_scans, sharding, source_mixing, url_filters
+from tallyweave.llm import (
+    decontamination,
+    html_extraction,
+    jaccard_join,
+    language_id,
+    media_columns,
+    oracles,
+    quality_classifier,
+    secret_scans,
+    sharding,
+    source_mixing,
+    url_filters,
+)
 from tallyweave.llm.common import checkpointed, read
 
 
@@ -43,10 +56,48 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = language_id.fold(F.col("doc_id"), 4) == 2
+    content = language_id.dictionaries(language_id.sample_texts(docs.filter(~held_out)))
+    found = language_id.identify(docs.select("doc_id", "text"), content)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return media_columns.media_facts(docs).select("doc_id", "facts.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_source_mixing, op4_decontamination, op5_sharding, op7_media_columns)}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = language_id.fold(F.col("doc_id"), 5) == 0
+    ranker = quality_classifier.fit(quality_classifier.labelled_sample(docs, labels.filter(~held_out)))
+    scored = quality_classifier.score(docs.select("doc_id", "text"), ranker)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_classifier.CUT_SCORE).cast("int").alias("predicted"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_extraction.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+_ALL = (
+    op1_url_filters,
+    op2_secret_scans,
+    op3_source_mixing,
+    op4_decontamination,
+    op5_sharding,
+    op6_language_id,
+    op7_media_columns,
+    op8_quality_classifier,
+    op9_html_extraction,
+    op10_jaccard_join,
+)
+QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 ORACLES = oracles.ORACLES
