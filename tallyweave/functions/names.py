@@ -45,9 +45,13 @@ def normalize_code(code: Column) -> Column:
     return F.when(digits != "", digits).otherwise(F.lower(F.regexp_replace(text, r"[\s_\-—–./\\:：;；,，|·．、]+", "")))
 
 
-def canonical_name(name: Column) -> Column:
+def without_display_prefix(folded: Column) -> Column:
     """A normalised name without the chart's display prefixes."""
-    return F.regexp_replace(normalize_name(name), f"^({'|'.join(V.DISPLAY_PREFIXES)})+", "")
+    return F.regexp_replace(folded, f"^({'|'.join(V.DISPLAY_PREFIXES)})+", "")
+
+
+def canonical_name(name: Column) -> Column:
+    return without_display_prefix(normalize_name(name))
 
 
 def node_text(text: Column) -> Column:
@@ -78,10 +82,13 @@ def is_reserve(name: Column) -> Column:
     return contains_any(canonical_name(name), V.RESERVE_WORDS)
 
 
-def semantic_group(name: Column) -> Column:
-    """The semantic group of a client name, or null: research direction, then root, then spellings."""
-    parts = F.transform(tokens(name), lambda t: normalize_name(t))
-    whole, first = normalize_name(name), F.coalesce(F.get(F.transform(tokens(name), lambda t: normalize_name(t)), F.lit(0)), F.lit(""))
+def semantic_group(whole: Column, words: Column) -> Column:
+    """The semantic group of a client name, or null: research direction, then root, then spellings.
+
+    ``whole`` is the normalised name and ``words`` are its normalised parts; both are used many
+    times, so they should be columns and not expressions.
+    """
+    first = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
     found = F.when(whole == "", F.lit(None).cast("string"))
     found = found.when((first == "研发支出") & F.contains(whole, F.lit("费用化支出")), "rd_expensed_development")
     found = found.when((first == "研发支出") & F.contains(whole, F.lit("资本化支出")), "rd_capitalized_development")
@@ -89,26 +96,20 @@ def semantic_group(name: Column) -> Column:
     for group, root in V.ROOT_GROUPS:
         found = found.when(F.contains(first, F.lit(root)), group)
     for group, spellings, _, _ in V.SEMANTIC_GROUPS:
-        hit = F.arrays_overlap(parts, F.array(*map(F.lit, spellings))) | whole.rlike(f"^({'|'.join(spellings)})")
+        hit = F.arrays_overlap(words, F.array(*map(F.lit, spellings))) | whole.rlike(f"^({'|'.join(spellings)})")
         found = found.when(hit, group)
     return found
 
 
-def standard_in_group(standard_name: Column, group: Column) -> Column:
-    """Whether a chart name has one of the group's spellings and none that conflicts."""
-    canonical = canonical_name(standard_name)
-    found = F.lit(False)
-    for key, _, own, against in V.SEMANTIC_GROUPS:
-        found = F.when(group == key, contains_any(canonical, own) & ~contains_any(canonical, against)).otherwise(found)
-    return F.coalesce(found, F.lit(False))
+def groups_of_standard(canonical: Column) -> Column:
+    """The groups of which a chart name has a spelling and nothing that conflicts."""
+    marks = (F.when(contains_any(canonical, own) & ~contains_any(canonical, against), key) for key, _, own, against in V.SEMANTIC_GROUPS)
+    return F.array_compact(F.array(*marks))
 
 
-def standard_against_group(standard_name: Column, group: Column) -> Column:
-    canonical = canonical_name(standard_name)
-    found = F.lit(False)
-    for key, _, _, against in V.SEMANTIC_GROUPS:
-        found = F.when(group == key, contains_any(canonical, against)).otherwise(found)
-    return F.coalesce(found, F.lit(False))
+def groups_against_standard(canonical: Column) -> Column:
+    """The groups that a chart name conflicts with."""
+    return F.array_compact(F.array(*(F.when(contains_any(canonical, against), key) for key, _, _, against in V.SEMANTIC_GROUPS)))
 
 
 def opposite(one: Column, other: Column, pairs: tuple[tuple[str, str], ...]) -> Column:

@@ -20,10 +20,14 @@ TAX_ID = r"(?<![A-Za-z0-9])[A-Z0-9]{15,20}(?![A-Za-z0-9])"
 GARBLED = r"^[\s?？□◇◆○●]+$"
 
 
+def _named(kind: str):
+    return lambda value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+
 def matches(text: Column, patterns: dict[str, str] = PATTERNS) -> Column:
     """An array of (kind, value) for every match; null text gives an empty array."""
     body = F.coalesce(text, F.lit(""))
-    found = [F.transform(F.regexp_extract_all(body, F.lit(p), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, p in patterns.items()]
+    found = [F.transform(F.regexp_extract_all(body, F.lit(p), F.lit(0)), _named(k)) for k, p in patterns.items()]
     tax = F.when(body.rlike(TAX_CONTEXT), F.regexp_extract_all(body, F.lit(TAX_ID), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found.append(F.transform(tax, lambda v: F.struct(F.lit("tax_id").alias("kind"), v.alias("value"))))
     return F.flatten(F.array(*found))

@@ -83,13 +83,39 @@ def similar_names(clients: DataFrame, chart: DataFrame, least: float = 0.6, top:
     return wanted.join(best, "folded").select("client", "target", "similarity", "rank")
 
 
+def with_name_facts(rows: DataFrame, name: str, mark: str) -> DataFrame:
+    """What the rules ask of a client, parent or path name, each worked out once: columns ``<mark>_*``."""
+    c = lambda k: F.col(f"{mark}_{k}")
+    rows = rows.withColumns({f"{mark}_norm": N.normalize_name(F.col(name)), f"{mark}_tokens": N.tokens(F.col(name)), f"{mark}_anchor": N.name_anchor(F.col(name))})
+    rows = rows.withColumns({f"{mark}_canonical": N.without_display_prefix(c("norm")), f"{mark}_words": F.transform(c("tokens"), lambda t: N.normalize_name(t))})
+    return rows.withColumns(
+        {
+            f"{mark}_parts": F.transform(c("words"), lambda t: N.without_display_prefix(t)),
+            f"{mark}_reserve": N.contains_any(c("canonical"), V.RESERVE_WORDS),
+            f"{mark}_group": N.semantic_group(c("norm"), c("words")),
+        }
+    )
+
+
+def with_standard_facts(rows: DataFrame, name: str = "standard", mark: str = "s") -> DataFrame:
+    """The same for a chart name."""
+    c = lambda k: F.col(f"{mark}_{k}")
+    rows = rows.withColumn(f"{mark}_norm", N.normalize_name(F.col(name))).withColumn(f"{mark}_canonical", N.without_display_prefix(c("norm")))
+    return rows.withColumns(
+        {
+            f"{mark}_reserve": N.contains_any(c("canonical"), V.RESERVE_WORDS),
+            f"{mark}_groups": N.groups_of_standard(c("canonical")),
+            f"{mark}_against": N.groups_against_standard(c("canonical")),
+            f"{mark}_prefixed": F.coalesce(F.ltrim(F.col(name)).rlike(f"^({'|'.join(V.DISPLAY_PREFIXES)})"), F.lit(False)),
+        }
+    )
+
+
 def alias_matches(clients: DataFrame, chart: DataFrame, top: int = 5) -> DataFrame:
     """Accounts of the client name's semantic group: (client, target, group_key, rank), shorter names first."""
-    left = clients.select("client", N.semantic_group(F.col("name")).alias("group_key")).filter("group_key is not null")
-    group = F.explode(F.array(*(F.lit(g[0]) for g in V.SEMANTIC_GROUPS)))
-    wide = chart.filter("active").select(F.col("code").alias("target"), "name", group.alias("group_key"))
-    right = wide.filter(N.standard_in_group(F.col("name"), F.col("group_key"))).select("target", "group_key", F.length(N.canonical_name(F.col("name"))).alias("size"))
-    return ranked(left.join(right, "group_key"), ["client"], [F.col("size"), F.col("target")], top).select("client", "target", "group_key", "rank")
+    left = with_name_facts(clients, "name", "c").select("client", F.col("c_group").alias("group_key")).filter("group_key is not null")
+    wide = with_standard_facts(chart.filter("active"), "name").select(F.col("code").alias("target"), F.explode("s_groups").alias("group_key"), F.length("s_canonical").alias("size"))
+    return ranked(left.join(wide, "group_key"), ["client"], [F.col("size"), F.col("target")], top).select("client", "target", "group_key", "rank")
 
 
 def crosswalk_matches(clients: DataFrame, crosswalk: DataFrame) -> DataFrame:
@@ -112,45 +138,58 @@ def history_matches(clients: DataFrame, history: DataFrame) -> DataFrame:
     return best.select("client", "target", "by_code")
 
 
-def compatibility(client: Column, standard: Column, standard_code: Column, parent: Column | None = None, path: Column | None = None) -> Column:
-    """compatible, conflict or unknown, by the first of the ordered rules that decides."""
-    none = F.lit(None).cast("string")
-    parent, path = none if parent is None else parent, none if path is None else path
-    name, own = N.normalize_name(client), N.normalize_name(standard)
-    canonical = N.canonical_name(standard)
-    group = F.coalesce(N.semantic_group(client), N.semantic_group(parent), N.semantic_group(path))
-    contra, mine = N.is_reserve(standard), N.is_reserve(client) | N.is_reserve(path)
-    anchor = N.normalize_name(F.coalesce(N.name_anchor(client), N.name_anchor(path)))
-    parts = F.transform(N.tokens(client), lambda t: N.canonical_name(t))
-    part_inside = F.exists(parts, lambda t: (t != "") & F.contains(canonical, t))
-    spread = F.array_union(F.transform(N.tokens(client), lambda t: N.normalize_name(t)), F.transform(N.tokens(path), lambda t: N.normalize_name(t)))
-    research = N.contains_any(name, ("研发支出", "研发费用")) | N.contains_any(N.normalize_name(path), ("研发支出", "研发费用"))
-    expensed = F.arrays_overlap(spread, F.array(F.lit("费用化支出"), F.lit("费用化")))
-    capitalised = F.arrays_overlap(spread, F.array(F.lit("资本化支出"), F.lit("资本化")))
-    to_capital = F.contains(standard_code, F.lit("170401")) | F.contains(canonical, F.lit("研发支出资本化"))
-    to_expense = F.contains(standard_code, F.lit("170402")) | F.contains(canonical, F.lit("研发支出费用化"))
-    plain_research = (name == "研发支出") & (F.contains(standard_code, F.lit("660201")) | F.contains(standard, F.lit("研发费用")))
-    prefixed = F.ltrim(standard).rlike(f"^({'|'.join(V.DISPLAY_PREFIXES)})")
-    grouped = group.isNotNull() & N.standard_in_group(standard, group)
-    begins = (F.length(canonical) > 0) & ((F.startswith(N.canonical_name(client), canonical) & (F.length(N.canonical_name(client)) > F.length(canonical))) | F.array_contains(parts, canonical))
-    return (
+def with_compatibility(pairs: DataFrame, code: str = "target", standard: str = "standard", parent: bool = False, path: bool = False, into: str = "compat") -> DataFrame:
+    """``pairs`` with compatible, conflict or unknown, by the first of the ordered rules that decides.
+
+    Needs the facts of the client name (mark ``c``) and the chart name (``s``), and those of the
+    parent's name (``p``) and the full path (``h``) where the flags say that there are any.
+    """
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    name, own, canonical = F.col("c_norm"), F.col("s_norm"), F.col("s_canonical")
+    parent_group = F.col("p_group") if parent else none
+    path_group, path_norm, path_reserve, path_anchor = (F.col(f"h_{k}") for k in ("group", "norm", "reserve", "anchor")) if path else (none, F.lit(""), no, none)
+    spread = F.array_union("c_words", "h_words") if path else F.col("c_words")
+    research_words = ("研发支出", "研发费用")
+    pairs = pairs.withColumns(
+        {
+            "_group": F.coalesce("c_group", parent_group, path_group),
+            "_mine": F.col("c_reserve") | path_reserve,
+            "_anchor": N.normalize_name(F.coalesce("c_anchor", path_anchor)),
+            "_inside": F.exists("c_parts", lambda t: (t != "") & F.contains(canonical, t)),
+            "_research": N.contains_any(name, research_words) | N.contains_any(path_norm, research_words),
+            "_expensed": F.arrays_overlap(spread, F.array(F.lit("费用化支出"), F.lit("费用化"))),
+            "_capitalised": F.arrays_overlap(spread, F.array(F.lit("资本化支出"), F.lit("资本化"))),
+        }
+    )
+    group, mine, contra, anchor = F.col("_group"), F.col("_mine"), F.col("s_reserve"), F.col("_anchor")
+    research, expensed, capitalised = F.col("_research"), F.col("_expensed"), F.col("_capitalised")
+    to_capital = F.contains(F.col(code), F.lit("170401")) | F.contains(canonical, F.lit("研发支出资本化"))
+    to_expense = F.contains(F.col(code), F.lit("170402")) | F.contains(canonical, F.lit("研发支出费用化"))
+    plain_research = (name == "研发支出") & (F.contains(F.col(code), F.lit("660201")) | F.contains(F.col(standard), F.lit("研发费用")))
+    orphan = F.lit(True) if not parent else F.col("p_norm") == ""
+    grouped = group.isNotNull() & F.array_contains("s_groups", group)
+    longer = F.startswith(F.col("c_canonical"), canonical) & (F.length("c_canonical") > F.length(canonical))
+    begins = (F.length(canonical) > 0) & (longer | F.array_contains("c_parts", canonical))
+    undecided = research & ~expensed & ~capitalised
+    rule = (
         F.when(name == "", "unknown")
-        .when((name == own) & prefixed, "unknown")
+        .when((name == own) & F.col("s_prefixed"), "unknown")
         .when(name == own, "compatible")
-        .when(name.isin(*V.GENERIC_NAMES) & parent.isNull() & N.semantic_group(path).isNull(), "unknown")
+        .when(name.isin(*V.GENERIC_NAMES) & orphan & path_group.isNull(), "unknown")
         .when(grouped & (contra != mine), "conflict")
         .when(grouped, "compatible")
-        .when(group.isNotNull() & N.standard_against_group(standard, group), "conflict")
+        .when(group.isNotNull() & F.array_contains("s_against", group), "conflict")
         .when(contra != mine, "conflict")
         .when(contra & mine, "compatible")
-        .when((anchor != "") & (canonical != "") & ~plain_research & ~F.contains(canonical, anchor) & ~part_inside, "conflict")
+        .when((anchor != "") & (canonical != "") & ~plain_research & ~F.contains(canonical, anchor) & ~F.col("_inside"), "conflict")
         .when(research & expensed & to_capital, "conflict")
         .when(research & capitalised & to_expense, "conflict")
-        .when(research & ~expensed & ~capitalised & group.isNull() & (name == "研发支出"), "unknown")
-        .when(research & ~expensed & ~capitalised & F.contains(name, F.lit("研发费用")) & to_capital, "conflict")
+        .when(undecided & group.isNull() & (name == "研发支出"), "unknown")
+        .when(undecided & F.contains(name, F.lit("研发费用")) & to_capital, "conflict")
         .when(begins, "compatible")
         .otherwise("unknown")
     )
+    return pairs.withColumn(into, rule).drop("_group", "_mine", "_anchor", "_inside", "_research", "_expensed", "_capitalised")
 
 
 def history_conflict(client: Column, standard: Column, standard_code: Column) -> Column:
@@ -164,15 +203,15 @@ def history_conflict(client: Column, standard: Column, standard_code: Column) ->
     )
 
 
-def code_conflict(client: Column, standard: Column) -> Column:
-    """The score to which an equal code falls because the names disagree, or null."""
-    name, canonical = N.normalize_name(client), N.canonical_name(standard)
-    parts = F.filter(F.transform(N.tokens(client), lambda t: N.normalize_name(t)), lambda t: t != "")
-    anchor = N.normalize_name(N.name_anchor(client))
+def code_conflict() -> Column:
+    """The score to which an equal code falls because the names disagree, or null; needs the facts ``c`` and ``s``."""
+    name, canonical = F.col("c_norm"), F.col("s_canonical")
+    parts = F.filter("c_words", lambda t: t != "")
+    anchor = N.normalize_name(F.col("c_anchor"))
     inside = ((anchor != "") & F.contains(canonical, anchor)) | F.exists(parts, lambda t: F.contains(canonical, t))
     either = (name != "") & (F.contains(canonical, name) | F.contains(name, canonical))
     return (
-        F.when(N.is_reserve(standard) & ~N.is_reserve(client), 0.72)
+        F.when(F.col("s_reserve") & ~F.col("c_reserve"), 0.72)
         .when((canonical == "") | either | inside, None)
         .when((anchor == "") & (F.size(parts) <= 1), None)
         .otherwise(0.75)
@@ -209,23 +248,23 @@ def decide(rankings: DataFrame) -> DataFrame:
     return per.withColumn("status", status).withColumn("confirmed", F.when(F.col("n_safe") == 1, F.col("best")))
 
 
-def safe_rollup(client: Column, client_code: Column, standard: Column, standard_code: Column, active: Column) -> Column:
-    """Whether a detail may go into a broader account without a person: by anchor, by name, by code class, or by code and name."""
-    canonical = N.canonical_name(standard)
-    anchor = N.normalize_name(N.name_anchor(client))
-    name = N.normalize_name(client)
-    parts = F.transform(N.tokens(client), lambda t: N.canonical_name(t))
+def safe_rollup(client_code: Column, standard_code: Column, active: Column, fits: Column) -> Column:
+    """Whether a detail may go into a broader account without a person: by anchor, by name, by code class, or by code and name.
+
+    Needs the facts ``c`` and ``s``; ``fits`` says whether the names are compatible.
+    """
+    canonical, name = F.col("s_canonical"), F.col("c_norm")
+    anchor = N.normalize_name(F.col("c_anchor"))
     by_anchor = (anchor != "") & F.startswith(canonical, anchor)
-    by_name = (canonical != "") & (F.startswith(N.canonical_name(client), canonical) | F.array_contains(parts, canonical))
+    by_name = (canonical != "") & (F.startswith(F.col("c_canonical"), canonical) | F.array_contains("c_parts", canonical))
     category = F.lit(None).cast("string")
     for prefix in sorted(V.CODE_ANCHORS, key=lambda p: (len(p), p)):
-        category = F.when(N.normalize_code(client_code).startswith(prefix), V.CODE_ANCHORS[prefix]).otherwise(category)
-    fits = compatibility(client, standard, standard_code) == "compatible"
+        category = F.when(client_code.startswith(prefix), N.normalize_name(F.lit(V.CODE_ANCHORS[prefix]))).otherwise(category)
     placeholder = name.isin(*V.PLACEHOLDER_NAMES)
-    by_class = ~placeholder & category.isNotNull() & F.startswith(canonical, N.normalize_name(category)) & fits
-    code, own = N.normalize_code(client_code), N.normalize_code(standard_code)
-    by_code = ~placeholder & (own != "") & (code != own) & F.startswith(code, own) & F.substring(code, F.length(own) + 1, F.length(code)).rlike(r"^\d+$") & fits
-    allowed = active & (name != "") & ~(N.is_reserve(standard) & ~N.is_reserve(client))
+    by_class = ~placeholder & F.coalesce(F.startswith(canonical, category), F.lit(False)) & fits
+    below = F.startswith(client_code, standard_code) & F.substring(client_code, F.length(standard_code) + 1, F.length(client_code)).rlike(r"^\d+$")
+    by_code = ~placeholder & (standard_code != "") & (client_code != standard_code) & below & fits
+    allowed = active & (name != "") & ~(F.col("s_reserve") & ~F.col("c_reserve"))
     return F.coalesce(allowed & (by_anchor | by_name | by_class | by_code), F.lit(False))
 
 
@@ -237,16 +276,16 @@ def recommend(clients: DataFrame, chart: DataFrame, history: DataFrame | None =
     are never safe unless the roll-up test says so.
     """
     distinct = clients.select("code", "name").distinct().withColumn("client", F.sha2(F.concat_ws("|", F.coalesce("code", F.lit("")), F.coalesce("name", F.lit(""))), 256))
-    facts = distinct.select("client", F.col("code").alias("client_code"), F.col("name").alias("client_name"))
-    accounts = chart.select(F.col("code").alias("target"), F.col("name").alias("standard"), "active")
+    # names are worked out once on either side; a pair then only compares columns
+    facts = with_name_facts(distinct.select("client", F.col("name").alias("client_name"), N.normalize_code(F.col("code")).alias("client_code")), "client_name", "c")
+    accounts = with_standard_facts(chart.select(F.col("code").alias("target"), F.col("name").alias("standard"), "active", N.normalize_code(F.col("code")).alias("standard_code")))
 
     def judged(hits: DataFrame) -> DataFrame:
-        full = hits.join(facts, "client").join(accounts, "target")
-        return full.withColumn("compat", compatibility(F.col("client_name"), F.col("standard"), F.col("target")))
+        return with_compatibility(hits.join(facts, "client").join(accounts, "target"))
 
     stopped = F.when(~F.col("active"), F.lit("account is not active"))
     fits = F.col("compat") == "compatible"
-    by_code = judged(code_matches(distinct, chart)).withColumn("demoted", code_conflict(F.col("client_name"), F.col("standard")))
+    by_code = judged(code_matches(distinct, chart)).withColumn("demoted", code_conflict())
     conflict = F.col("demoted").isNotNull() | (F.col("compat") == "conflict")
     code_score = F.coalesce("demoted", F.when(F.col("compat") == "conflict", 0.6).when(fits, 0.92).otherwise(0.82))
     parts = [by_code.select("client", "target", *candidate(F.when(conflict, "code_match_conflict").otherwise("code_match"), code_score, F.coalesce(F.when(conflict, "names disagree"), stopped), ~conflict & fits & F.col("active"), F.col("compat")))]
@@ -259,7 +298,7 @@ def recommend(clients: DataFrame, chart: DataFrame, history: DataFrame | None =
     parts.append(near.select("client", "target", *candidate("name_similarity", F.least(F.lit(0.89), F.round(F.lit(0.7) + (F.col("similarity") - 0.6) * 0.5, 2)), F.lit("similar name only"), False, F.col("compat"))))
     coded = distinct.select("client", N.normalize_code(F.col("code")).alias("code"))
     above = ranked(prefixes(coded, "client", "code", 4).withColumnRenamed("prefix", "target").join(accounts.select("target", "active"), "target"), ["client"], [F.length("target").desc(), F.col("active").desc()], 3).select("client", "target")
-    rolled = judged(above).withColumn("safe_up", safe_rollup(F.col("client_name"), F.col("client_code"), F.col("standard"), F.col("target"), F.col("active")))
+    rolled = judged(above).withColumn("safe_up", safe_rollup(F.col("client_code"), F.col("standard_code"), F.col("active"), F.col("compat") == "compatible"))
     parts.append(rolled.select("client", "target", *candidate("code_prefix_parent", F.when(F.col("safe_up"), 0.92).otherwise(0.85), F.when(~F.col("safe_up"), F.lit("broader account")), F.col("safe_up"), F.when(F.col("safe_up"), F.lit("compatible")).otherwise(F.col("compat")))))
     if history is not None:
         kept = judged(history_matches(distinct, history)).withColumn("rule", history_conflict(F.col("client_name"), F.col("standard"), F.col("target")))

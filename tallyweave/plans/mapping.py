@@ -73,7 +73,8 @@ def semantic_alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compatibility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger_clients(spark, sf_dir).withColumns({"standard": _said("p_size", tuple(n for _, n in ACCOUNT_NAMES)), "target": _said("p_size", tuple(c for c, _ in ACCOUNT_NAMES))})
-    return rows.select("client", "target", matching.compatibility(F.col("name"), F.col("standard"), F.col("target")).alias("compatibility"))
+    pairs = matching.with_standard_facts(matching.with_name_facts(rows, "name", "c"))
+    return matching.with_compatibility(pairs, into="compatibility").select("client", "target", "compatibility")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +98,7 @@ def auto_confirm_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recommend_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger_clients(spark, sf_dir).filter("client < 200").withColumn("code", F.concat(F.lit("1602"), F.col("client").cast("string")))
+    rows = ledger_clients(spark, sf_dir).withColumn("code", F.concat(F.lit("1602"), F.col("client").cast("string")))
     return matching.recommend(rows.select("client", "code", "name"), ledger_chart(spark)).select("client", "target", "source", "score", "compatibility", "safe", "rank")
 
 
