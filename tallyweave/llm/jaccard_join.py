@@ -10,10 +10,11 @@ and hashed bitmaps bound the overlap from above (each bit in which two bitmaps d
 element that only one set has); what survives is settled by intersecting the sorted arrays.
 
 A tile of many classes does not emit its pairs. First every member meets the tile's smallest
-and largest member. Only tiles in which that leaves members apart are compared further, in
-blocks of at most ``BLOCK`` members against each other, where bitmaps drop almost all pairs
-before anything is emitted, and members known to be linked to the same one are not compared
-again. No link between different components is lost; links inside one may go unlisted.
+and largest member, and the components of these links are found. Only tiles of more than
+three members (smaller ones are settled by then) that hold several components are compared
+further, in blocks of at most ``BLOCK`` members against each other: members of one component
+are not compared again, and bitmaps drop almost all other pairs before anything is emitted.
+No link between different components is lost; links inside one may go unlisted.
 
 A null or wordless text has the empty set, size 0, and links with nothing; a text with fewer
 words than a shingle has its whole word sequence as one. Ids may repeat or be null: rows with
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -66,8 +68,8 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A bit for each element, of a length that only the size's band of powers decides: about 4 bits an element, 256 to 8192."""
-    bits = min(8192, max(256, 1 << (4 * max(1, len(hashes)) - 1).bit_length()))
+    """A bit for each element, of a length that only the size's band of powers decides: 16 to 32 bits an element, 256 to 65536."""
+    bits = min(65536, max(256, 1 << (16 * max(1, len(hashes)) - 1).bit_length()))
     out = np.zeros(bits // 8, np.uint8)
     at = (hashes >> np.uint64(20)).astype(np.int64) & (bits - 1)
     np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
@@ -208,26 +210,40 @@ def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent:
     return joined_twice(near, sets, ["shingles"]).filter(_linked(percent)("a_shingles", "b_shingles")).select("a", "b")
 
 
+def _apart(part: pd.DataFrame, percent: int) -> np.ndarray:
+    """Of the members of two blocks of a tile: the pairs of different components that sizes and bitmaps let through."""
+    i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
+    node, size, root, block = (part[c].to_numpy() for c in ("node", "size", "root", "block"))
+    if (root == root[0]).all():
+        return np.empty((0, 2), np.int64)
+    width = min(map(len, part["bits"]))
+    bits = np.stack([folded(np.frombuffer(x, np.uint8), width) for x in part["bits"]]).view(np.uint64)
+    found = [np.empty((0, 2), np.int64)]
+    for x in np.flatnonzero(block == i):
+        ys = np.flatnonzero((block == j) & (root != root[x]) & (node > node[x] if i == j else True))
+        least = -(-percent * (size[x] + size[ys]) // (100 + percent))
+        fits = np.minimum(size[x], size[ys]) >= least
+        ys, least = ys[fits], least[fits]
+        apart = np.bitwise_count(bits[x] ^ bits[ys]).sum(1).astype(np.int64)
+        ys = ys[(size[x] + size[ys] - apart) // 2 >= least]
+        found.append(np.stack([np.minimum(node[x], node[ys]), np.maximum(node[x], node[ys])], 1))
+    return np.concatenate(found)
+
+
 def _open_pairs(percent: int):
-    """Within two blocks of a tile: the pairs that sizes and bitmaps let through and no known link joins."""
-
-    def compare(batch: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(batch["i"].iloc[0]), int(batch["j"].iloc[0])
-        batch = batch.drop_duplicates("node").sort_values("node")
-        width = min(map(len, batch["bits"]))
-        bits = np.stack([folded(np.frombuffer(x, np.uint8), width) for x in batch["bits"]]).view(np.uint64)
-        node, size, star, block = (batch[c].to_numpy() for c in ("node", "size", "star", "block"))
-        found = [np.empty((0, 2), np.int64)]
-        for x in np.flatnonzero(block == i):
-            ys = np.flatnonzero((block == j) & ((star != star[x]) | (star < 0)))
-            ys = ys[node[ys] > node[x]] if i == j else ys
-            least = -(-percent * (size[x] + size[ys]) // (100 + percent))
-            fits = np.minimum(size[x], size[ys]) >= least
-            ys, least = ys[fits], least[fits]
-            apart = np.bitwise_count(bits[x] ^ bits[ys]).sum(1).astype(np.int64)
-            ys = ys[(size[x] + size[ys] - apart) // 2 >= least]
-            found.append(np.stack([np.minimum(node[x], node[ys]), np.maximum(node[x], node[ys])], 1))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+    """``_apart`` over all groups (tile, i, j) of a task, whose rows come group by group."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            group = rows[["tile", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(1)])
+            whole = [_apart(rows.iloc[a:b], percent) for a, b in pairwise(starts)]
+            rest = rows.iloc[starts[-1] :]  # its group may go on in the next batch
+            yield pd.DataFrame(np.concatenate([np.empty((0, 2), np.int64), *whole]), columns=["a", "b"])
+        if rest is not None:
+            yield pd.DataFrame(_apart(rest, percent), columns=["a", "b"])
 
     return compare
 
@@ -256,31 +272,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def open_tiles(crowd: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (tile, node, star) of the tiles that ``found`` leaves in several parts.
-
-    ``star`` is 0 for members linked to the tile's smallest, 1 for those linked to its largest
-    only, and -1 for the rest.
-    """
-    low = found.select(F.col("a").alias("low"), F.col("b").alias("node"), F.lit(True).alias("to_low"))
-    high = found.select(F.col("a").alias("node"), F.col("b").alias("high"), F.lit(True).alias("to_high"))
-    held = crowd.join(low, ["low", "node"], "left").join(high, ["node", "high"], "left")
-    by_low = F.coalesce("to_low", F.col("node") == F.col("low"))
-    by_high = F.coalesce("to_high", F.col("node") == F.col("high"))
+def open_tiles(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (tile, node, root) of the tiles that hold several components and were not settled by their ends."""
+    known = crowd.filter("members > 3").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tile = Window.partitionBy("tile")
-    marked = held.withColumns({"by_low": by_low, "by_high": by_high}).withColumn("one", F.bool_or(F.col("by_low") & (F.col("node") == F.col("high"))).over(tile))
-    star = F.when(F.col("by_low") | (F.col("one") & F.col("by_high")), 0).when(F.col("by_high"), 1).otherwise(-1)
-    return marked.withColumn("star", star).withColumn("open", F.bool_or(F.col("star") != 0).over(tile)).filter("open").select("tile", "node", "star")
+    several = F.min("root").over(tile) != F.max("root").over(tile)
+    return known.withColumn("several", several).filter("several").select("tile", "node", "root", "members")
 
 
 def block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of open tiles that the bound lets through, each tile compared block by block."""
-    sized = members.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("tile")) / BLOCK).cast("int"))
+    sized = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     dealt = sized.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = other.select("tile", "node", "star", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    placed = other.select("tile", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     filled = placed.join(nodes.select("node", "size", "bits"), "node")
-    return filled.groupBy("tile", "i", "j").applyInPandas(_open_pairs(percent), "a long, b long").distinct()
+    grouped = filled.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+    return grouped.mapInPandas(_open_pairs(percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,13 +300,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     nodes = classes.select("node", "id", "text_key", "size", "bits")
     tile = Window.partitionBy("tile")
     placed = classes.select("node", F.explode("tiles").alias("tile"))
-    crowd = checkpointed(placed.withColumns({"low": F.min("node").over(tile), "high": F.max("node").over(tile)}).filter("low <> high"))
+    crowd = checkpointed(placed.withColumns({"low": F.min("node").over(tile), "high": F.max("node").over(tile), "members": F.count(F.lit(1)).over(tile)}).filter("low <> high"))
     star = crowd.select(F.inline(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))))
     pairs = checkpointed(star.filter("a <> b").distinct())
     found = checkpointed(links(docs, pairs, nodes, n, percent, text, doc_id))
-    more = block_pairs(checkpointed(open_tiles(crowd, found)), nodes, percent).join(pairs, ["a", "b"], "left_anti")
-    edges = found.union(links(docs, checkpointed(more), nodes, n, percent, text, doc_id))
-    roots = components(edges)
+    roots = checkpointed(components(found))
+    more = checkpointed(block_pairs(checkpointed(open_tiles(crowd, roots)), nodes, percent).join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        late = links(docs, more, nodes, n, percent, text, doc_id)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
     named = roots.join(nodes.select("node", "id"), "node")
     names = named.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = named.join(names, "root").select("node", "component_id")
