@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyweave.plans import ledger, mapping, sheets, trees
+from tallyweave.plans import ledger, mapping, sheets, streams, trees
 
-MODULES = (ledger, trees, mapping, sheets)
+MODULES = (ledger, trees, mapping, sheets, streams)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
