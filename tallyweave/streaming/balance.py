@@ -30,6 +30,7 @@ def run_available(totals: DataFrame, out: str, checkpoint: str) -> None:
 def stream_totals(spark: SparkSession, path: str) -> DataFrame:
     """The totals of the events at ``path``, by way of a stream."""
     schema = spark.read.parquet(path).schema
+    path = f"{path[:-1]}[{path[-1]}]"  # as a pattern: a stream takes a single file in no other way
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     run_available(windowed_totals(spark.readStream.schema(schema).parquet(path), "ts", "event_type", "value"), f"{folder}/out", f"{folder}/state")
     return spark.read.parquet(f"{folder}/out")
