@@ -16,6 +16,10 @@ further, in blocks of at most ``BLOCK`` members against each other: members of o
 are not compared again, and bitmaps drop almost all other pairs before anything is emitted.
 No link between different components is lost; links inside one may go unlisted.
 
+Texts are read three times so that nothing wide is kept or shuffled: once for the sizes and
+names of the sets, once for the tiles of one document of each class, whose rows go straight to
+the exchange by tile, and once for the bitmaps of the classes that share a tile.
+
 A null or wordless text has the empty set, size 0, and links with nothing; a text with fewer
 words than a shingle has its whole word sequence as one. Ids may repeat or be null: rows with
 equal sets always share a component, whose name is the smallest id in it (null if it has none).
@@ -129,26 +133,57 @@ def tiles(hashes: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
 
 
-def describe(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_key, size, set, bits, tiles) of each row; ``set`` is null for the empty set."""
+def text_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, text_key, text)."""
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+
+
+def describe(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text_key, size, set) of each row; ``set`` is null for the empty set."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingles(t.as_py(), n) for t in part.column(2)]
-                columns = [
-                    part.column(0),
-                    part.column(1),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([bitmap(s) for s in sets], pa.binary()),
-                    pa.array([tiles(s, percent) for s in sets], pa.list_(pa.int64())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "size", "set", "bits", "tiles"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return rows.mapInArrow(measure, "id long, text_key long, size long, set binary, bits binary, tiles array<long>")
+            sizes, keys = [], []
+            for t in batch.column(2):
+                found = shingles(t.as_py(), n)
+                sizes.append(len(found))
+                keys.append(set_key(found) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["id", "text_key", "size", "set"])
+
+    return text_keys(docs, doc_id, text).mapInArrow(measure, "id long, text_key long, size long, set binary")
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, text) of the documents that stand for nodes (node, id, text_key)."""
+    if nodes.count() <= MAX_BROADCAST_NODES:
+        nodes = F.broadcast(nodes)
+    keys = nodes.select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    rows = text_keys(docs, doc_id, text)
+    return rows.join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "text")
+
+
+def tile_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, tile) rows."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = [tiles(shingles(t.as_py(), n), percent) for t in part.column(1)]
+                node = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(found), pa.int64())], names=["node", "tile"])
+
+    return texts.mapInArrow(place, "node long, tile long")
+
+
+def bitmaps(texts: DataFrame, n: int) -> DataFrame:
+    """(node, bits) rows."""
+
+    def draw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([bitmap(shingles(t, n)) for t in batch], dtype=object)
+
+    return texts.select("node", F.pandas_udf(draw, "binary")("text").alias("bits")).dropDuplicates(["node"])
 
 
 def _possible(percent: int):
@@ -196,11 +231,7 @@ def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent:
     near = joined_twice(pairs, nodes, ["size", "bits"]).filter(_possible(percent)("a_size", "b_size", "a_bits", "b_bits")).select("a", "b")
     near = checkpointed(near)
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = checkpointed(nodes.join(wanted, "node").select("node", F.col("id").alias("_id"), "text_key"))
-    if keys.count() <= MAX_BROADCAST_NODES:
-        keys = F.broadcast(keys)
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("text_key"))
-    texts = docs.select(doc_id, text).join(keys, same).select("node", F.col(text).alias("text"))
+    texts = texts_of(docs, checkpointed(nodes.join(wanted, "node").select("node", "id", "text_key")), doc_id, text)
 
     def build(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -293,14 +324,16 @@ def block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``text_key`` (xxhash64 of the text), ``n_shingles`` and ``component_id``."""
-    facts = checkpointed(describe(docs, n, percent, doc_id, text))
+    facts = checkpointed(describe(docs, n, doc_id, text))
     # one row per distinct set; the window is cut to one row a set before the shuffle
     first = Window.partitionBy("set").orderBy(F.col("id").asc_nulls_last(), "text_key")
-    classes = facts.filter("size > 0").withColumn("nth", F.row_number().over(first)).filter("nth = 1").withColumn("node", F.xxhash64("set"))
-    nodes = classes.select("node", "id", "text_key", "size", "bits")
+    classes = facts.filter("size > 0").withColumn("nth", F.row_number().over(first)).filter("nth = 1")
+    classes = checkpointed(classes.select(F.xxhash64("set").alias("node"), "id", "text_key", "size"))
     tile = Window.partitionBy("tile")
-    placed = classes.select("node", F.explode("tiles").alias("tile"))
+    placed = tile_rows(texts_of(docs, classes, doc_id, text), n, percent)
     crowd = checkpointed(placed.withColumns({"low": F.min("node").over(tile), "high": F.max("node").over(tile), "members": F.count(F.lit(1)).over(tile)}).filter("low <> high"))
+    met = checkpointed(classes.join(crowd.select("node").distinct(), "node"))
+    nodes = checkpointed(met.join(bitmaps(texts_of(docs, met, doc_id, text), n), "node"))
     star = crowd.select(F.inline(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))))
     pairs = checkpointed(star.filter("a <> b").distinct())
     found = checkpointed(links(docs, pairs, nodes, n, percent, text, doc_id))
