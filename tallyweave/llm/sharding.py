@@ -39,7 +39,7 @@ def _ranges(rows: DataFrame, key: str) -> list[float]:
 
 def shard_by_bytes(rows: DataFrame, shards: int, key: str = "doc_id", size: str = "size", tie: str = "text_crc32") -> DataFrame:
     """``rows`` with ``shard`` (0 to shards-1) and ``slot`` (gapless from 0 inside a shard)."""
-    cuts = _ranges(rows, key)
+    cuts = _ranges(rows, key) or [0.0]  # an empty table has no quantiles
     splits = [-float("inf"), *cuts, float("inf")]
     number = rows.withColumn("_key", F.col(key).cast("double"))
     bucket = Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep")  # null: the last range
