@@ -2,19 +2,24 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles. Equal sets become one
 class first. Classes are put into tiles by size band, and bands are split further, since all
-pairs of a band would grow with its square: hash space is cut into as many segments as two
-sets of the band can differ in elements, plus one, so two linked sets must agree in at least
-one whole segment. A tile is (band, segment, content of the segment); bands are a factor of
-``BAND`` wide, and a set near a band's end also goes into the next one. Inside a tile, sizes
-and hashed bitmaps bound the overlap from above (each bit in which two bitmaps differ is an
-element that only one set has); what survives is settled by intersecting the sorted arrays.
+pairs of a band would grow with its square: hash space is cut into a number of segments that
+the band fixes, and a tile is (band, segment, content of the segment). If ``d`` is the most
+elements in which a set can differ from any partner in the band, its first ``d + 1`` segments
+that have content are its tiles. Of two linked sets, take the one whose tiles reach less far:
+each differing element spoils one segment at most, so one of its tiles is the other's too.
+Bands double in size, and a set near a band's end also goes into the next one. Inside a tile,
+sizes and hashed bitmaps bound the overlap from above (each bit in which two bitmaps differ is
+an element that only one set has); what survives is settled by intersecting the sorted arrays.
 
 A tile of many classes does not emit its pairs. First every member meets the tile's smallest
 and largest member, and the components of these links are found. Only tiles of more than
 three members (smaller ones are settled by then) that hold several components are compared
 further, in blocks of at most ``BLOCK`` members against each other: members of one component
 are not compared again, and bitmaps drop almost all other pairs before anything is emitted.
-No link between different components is lost; links inside one may go unlisted.
+This is done twice. The first time each member of a block gives one pair only, so that a large
+group closes with pairs in proportion to its rows; then all pairs between the components that
+are left are settled. No link between different components is lost; links inside one may go
+unlisted.
 
 Texts are read three times so that nothing wide is kept or shuffled: once for the sizes and
 names of the sets, once for the tiles of one document of each class, whose rows go straight to
@@ -27,6 +32,7 @@ equal sets always share a component, whose name is the smallest id in it (null i
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from itertools import pairwise
@@ -40,7 +46,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.common import checkpointed
 
-BAND, BLOCK = 1.5, 1024
+BLOCK = 1024
 #: Some 30 bytes a row. Beyond, texts are joined to the nodes they belong to by shuffle.
 MAX_BROADCAST_NODES = 1_000_000
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -90,46 +96,44 @@ def enough(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _cut(band: int, percent: int) -> tuple[int, int]:
-    """(segments, spare) of a band: linked sets agree in more than ``spare`` segments.
-
-    ``spare`` covers the empty segments of almost any set in the band, the smallest included,
-    so that one of the segments in which two linked sets agree has content.
-    """
-    differ = 2 * math.ceil(BAND ** (band + 1)) * (100 - percent) // (100 + percent)
-    least = max(1.0, BAND**band * percent / 100)
-    spare = 1
-    while True:
-        count = differ + spare + 1
-        empty = count * math.exp(-least / count)
-        if spare >= empty + 4 * math.sqrt(empty) or spare >= differ + 8:
-            return (0 if differ == 0 else count), spare
-        spare += 1
+def _differ(size: int, top: int, percent: int) -> int:
+    """The most elements in which a set can differ from a linked one of at most ``top`` elements."""
+    return (size + min(100 * size // percent, top)) * (100 - percent) // (100 + percent)
 
 
-CUTS: dict[tuple[int, int], tuple[int, int]] = {}
+@functools.cache
+def _segments(band: int, percent: int) -> int:
+    """Into how many segments a band cuts hash space: the least that leaves almost no set short of tiles."""
+    low, top = 1 << band, (2 << band) - 1
+    sizes = (max(1, low * percent // 100), low, top)
+    count = _differ(top, top, percent) + 1
+    while count < 4 * top + 16:
+        empty = [math.exp(-n / count) for n in sizes]
+        spread = [math.sqrt(count * e * max(0.0, 1 - (1 + n / count) * e)) for n, e in zip(sizes, empty, strict=True)]
+        if all(count * (1 - e) - 4 * x > _differ(n, top, percent) for n, e, x in zip(sizes, empty, spread, strict=True)):
+            break
+        count += 1 + count // 64
+    return count
 
 
 def tiles(hashes: np.ndarray, percent: int) -> np.ndarray:
     """The tiles of a set, in its own band and in each further one where it may have a partner."""
     size, found = len(hashes), []
-    band = int(math.log(max(1, size)) / math.log(BAND) + 1e-9)
-    low = size
-    while size and low * percent <= 100 * size:
-        count, spare = CUTS.get((band, percent)) or CUTS.setdefault((band, percent), _cut(band, percent))
-        band, low, this = band + 1, math.ceil(BAND ** (band + 1) - 1e-6), band
-        if not count:  # linked sets of this band are equal, and equal sets are one class
+    band = size.bit_length() - 1
+    while size and (size >> band or (percent << band) <= 100 * size):
+        differ, count = _differ(size, (2 << band) - 1, percent), _segments(band, percent)
+        name = _mixed(np.array([band], np.uint64))
+        band += 1
+        if not differ:  # linked sets of this band are equal, and equal sets are one class
             continue
         segment = (_mixed(hashes ^ _B) % np.uint64(count)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
-        starts = np.searchsorted(segment[order], np.arange(count))
-        filled = np.diff(np.append(starts, size)) > 0
+        filled, starts = np.unique(segment[order], return_index=True)
         # the sum of mixed hashes names a segment's content
-        sums = np.add.reduceat(_mixed(hashes[order] + _A), starts[filled])
-        found.append(_mixed(sums + np.flatnonzero(filled).astype(np.uint64) * _B + _mixed(np.array([this], np.uint64))))
-        empty = np.flatnonzero(~filled).astype(np.uint64)
-        if len(empty) > spare:  # then all agreement with another such set may be in empty segments
-            found.append(_mixed(empty * _A + _mixed(np.array([this], np.uint64)) + _C))
+        sums = np.add.reduceat(_mixed(hashes[order] + _A), starts)[: differ + 1]
+        found.append(_mixed(sums + filled[: differ + 1].astype(np.uint64) * _B + name))
+        if len(filled) <= differ:  # two such sets may agree in empty segments only, but share an element
+            found.append(_mixed(hashes * _A + name + _C))
     return np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
 
 
@@ -241,8 +245,11 @@ def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent:
     return joined_twice(near, sets, ["shingles"]).filter(_linked(percent)("a_shingles", "b_shingles")).select("a", "b")
 
 
-def _apart(part: pd.DataFrame, percent: int) -> np.ndarray:
-    """Of the members of two blocks of a tile: the pairs of different components that sizes and bitmaps let through."""
+def _apart(part: pd.DataFrame, percent: int, each: bool) -> np.ndarray:
+    """Of the members of two blocks of a tile: the pairs of different components that sizes and bitmaps let through.
+
+    With ``each``, one pair for every member of the first block that has any: that with the smallest node.
+    """
     i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
     node, size, root, block = (part[c].to_numpy() for c in ("node", "size", "root", "block"))
     if (root == root[0]).all():
@@ -257,11 +264,13 @@ def _apart(part: pd.DataFrame, percent: int) -> np.ndarray:
         ys, least = ys[fits], least[fits]
         apart = np.bitwise_count(bits[x] ^ bits[ys]).sum(1).astype(np.int64)
         ys = ys[(size[x] + size[ys] - apart) // 2 >= least]
+        if each and len(ys):
+            ys = ys[[node[ys].argmin()]]
         found.append(np.stack([np.minimum(node[x], node[ys]), np.maximum(node[x], node[ys])], 1))
     return np.concatenate(found)
 
 
-def _open_pairs(percent: int):
+def _open_pairs(percent: int, each: bool):
     """``_apart`` over all groups (tile, i, j) of a task, whose rows come group by group."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,11 +279,11 @@ def _open_pairs(percent: int):
             rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             group = rows[["tile", "i", "j"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(1)])
-            whole = [_apart(rows.iloc[a:b], percent) for a, b in pairwise(starts)]
+            whole = [_apart(rows.iloc[a:b], percent, each) for a, b in pairwise(starts)]
             rest = rows.iloc[starts[-1] :]  # its group may go on in the next batch
             yield pd.DataFrame(np.concatenate([np.empty((0, 2), np.int64), *whole]), columns=["a", "b"])
         if rest is not None:
-            yield pd.DataFrame(_apart(rest, percent), columns=["a", "b"])
+            yield pd.DataFrame(_apart(rest, percent, each), columns=["a", "b"])
 
     return compare
 
@@ -304,22 +313,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def open_tiles(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (tile, node, root) of the tiles that hold several components and were not settled by their ends."""
-    known = crowd.filter("members > 3").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """Members (tile, node, root, members) of the tiles that hold several components, without the ends, which have met all others."""
+    known = crowd.filter("members > 3 and node <> low and node <> high").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tile = Window.partitionBy("tile")
     several = F.min("root").over(tile) != F.max("root").over(tile)
     return known.withColumn("several", several).filter("several").select("tile", "node", "root", "members")
 
 
-def block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of open tiles that the bound lets through, each tile compared block by block."""
+def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, each: bool = False) -> DataFrame:
+    """Pairs (a, b) of open tiles that the bound lets through, each tile compared block by block; with ``each``, one a member and block."""
     sized = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     dealt = sized.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = other.select("tile", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     filled = placed.join(nodes.select("node", "size", "bits"), "node")
     grouped = filled.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-    return grouped.mapInPandas(_open_pairs(percent), "a long, b long").distinct()
+    return grouped.mapInPandas(_open_pairs(percent, each), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,10 +347,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: s
     pairs = checkpointed(star.filter("a <> b").distinct())
     found = checkpointed(links(docs, pairs, nodes, n, percent, text, doc_id))
     roots = checkpointed(components(found))
-    more = checkpointed(block_pairs(checkpointed(open_tiles(crowd, roots)), nodes, percent).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
+    for each in (True, False):
+        rest = checkpointed(open_tiles(crowd, roots))
+        more = checkpointed(block_pairs(rest, nodes, percent, each).join(pairs, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
         late = links(docs, more, nodes, n, percent, text, doc_id)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late))
+        roots = checkpointed(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late)))
+        pairs = pairs.union(more)
     named = roots.join(nodes.select("node", "id"), "node")
     names = named.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = named.join(names, "root").select("node", "component_id")

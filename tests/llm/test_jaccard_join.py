@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from tallyweave.llm import jaccard_join
 
 SCHEMA = "doc_id long, text string, n_shingles string"
@@ -99,3 +101,27 @@ def test_one_document_of_each_group_stays(spark, sf):
     kept = jaccard_join.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {k for k, (n, c) in want.items() if k == c or not n}
+
+
+def test_linked_sets_share_a_tile():
+    """Sets cut and extended at random, short and long, whose overlap is just enough or more."""
+    rng = np.random.default_rng(3)
+    draw = lambda k: rng.integers(0, 2**63, k, dtype=np.uint64)
+    for percent in (80, 90):
+        linked = 0
+        for turn in range(4000):
+            size = int(np.exp(rng.uniform(0, 7.5))) if turn % 3 else int(rng.integers(1, 40))
+            one = np.unique(draw(size))
+            part = one[: -(-size * int(rng.integers(percent, 101)) // 100)]
+            other = np.unique(np.concatenate([part, draw(int(rng.integers(0, size * (100 - percent) // 100 + 1)))]))
+            both, apart = len(part), len(one) + len(other) - 2 * len(part)
+            if apart and 100 * both >= percent * (both + apart):
+                linked += 1
+                assert set(jaccard_join.tiles(one, percent)) & set(jaccard_join.tiles(other, percent))
+        assert linked > 1000
+
+
+def test_sets_with_too_few_filled_segments_meet_by_element(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_segments", lambda band, percent: 1)
+    one = np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert set(jaccard_join.tiles(np.sort(one), 80)) & set(jaccard_join.tiles(np.sort(one[2:]), 80))
