@@ -1,19 +1,25 @@
 """Main text of pages by template deduction from equivalence classes.
 
 Markup is read as tokens: each element is named by the path of elements it lies in, with class,
-id and role. The occurrence vector of a token holds its count on each page of a host. Tokens of
-a host with equal vectors form an equivalence class; vectors are compared by their number of
-pages, their sum and a hash summed over pages, so no page list is ever gathered. A class is
-valid if it covers ``MIN_SHARE`` of the host's pages (two at least). Valid classes of tokens
-that occur once a page nest by their paths and make up the template; the places between
-template tokens are its slots. A slot holds main text unless an element around it is a menu,
-header, footer, sidebar, notice, advert, form, comment list or the like by tag or class; where
-a page marks an article or main element, only slots inside one count, and elsewhere the slot
-with most text over the host's pages does, without texts that the template repeats.
-
-Counts per host and token are sums with partial aggregation, so a host with a third of all
-pages costs one row a task and token. A template has at most a page's tokens divided by
-MIN_SHARE; templates join their pages by broadcast up to MAX_BROADCAST_HOSTS and by shuffle
+id and role, and each text by its path and a hash. The occurrence vector of a token holds its
+count on each page of a host. Tokens of a host with equal vectors form an equivalence class;
+vectors are compared by their number of pages, their sum and a hash summed over pages, so no
+page list is ever gathered. Pages with the same html count once.
+
+A class can be valid if it covers ``MIN_SHARE`` of the host's pages (two at least) and its
+elements occur once a page. On a page it is valid if its elements are all there, in the order
+they have on the host, and between the same two elements of every valid class of more pages, so
+that classes nest. Elements of valid classes make up the template of the page; the places
+between them are its slots. Texts of a valid class are template too where enough pages agree:
+``MIN_TEXT_PAGES``, or ``CONTENT_TEXT_PAGES`` where an article or main element lies around
+them. Slots are ranked by the text that such elements mark, then by all text on the host; the
+first keeps texts of the template when they are most of it, as then the pages are copies of
+each other. Everything else is main text, in page order, unless an element around it is a menu,
+header, footer, sidebar, notice, advert, form, comment list or the like by tag or class.
+
+Counts per host, token and page and then per host and token have partial aggregation, so a host
+with a third of all pages burdens no single task. A template has at most a page's tokens divided
+by MIN_SHARE; templates join their pages by broadcast up to MAX_BROADCAST_HOSTS and by shuffle
 beyond (Spark splits a hot host). A page of a host without a template is its own template.
 
 Null and empty html give an empty text, as do pages without main text. Unclosed elements end
@@ -24,6 +30,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +43,8 @@ from tallyweave.llm.common import checkpointed
 from tallyweave.llm.url_filters import host_of
 
 MIN_SHARE, MIN_PAGES = 0.5, 2
+#: Pages that must agree on a text of the template, and on one inside an article or main element.
+MIN_TEXT_PAGES, CONTENT_TEXT_PAGES = 3, 10
 MAX_BROADCAST_HOSTS = 20_000
 TOKENS = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -167,84 +176,120 @@ def _slot(path: str, template: frozenset) -> str:
     return path
 
 
+def _text_token(path: str, text: str) -> str:
+    return "text:" + xxhash.xxh64_hexdigest(f"{path} {text}".encode("utf-8", "surrogatepass"))
+
+
 def page_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(host, token, n, chars) rows: per page one for each element path, with the text right inside it, and one for each short text."""
+    """(host, key, token, n, seat, chars, marked) rows: per page one for each element path and each text, and one with an empty token.
+
+    ``seat`` is the place of an element among the page's, ``chars`` the text right inside it
+    and ``marked`` the part of that inside an article or main element.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for host, key, page in zip(batch["host"], batch["key"], batch["page"], strict=True):
+            for host, page in zip(batch["host"], batch["page"], strict=True):
                 counts, blocks = read_page(page or "")
+                if not counts and not blocks:
+                    continue
+                key = int.from_bytes(xxhash.xxh64_digest(page.encode("utf-8", "surrogatepass")), "big", signed=True)
                 chars: Counter = Counter()
+                marked: Counter = Counter()
                 texts: Counter = Counter()
                 for path, furniture, content, text in blocks:
                     if not furniture:
                         chars[path] += len(text)
-                        if not content:  # what repeats outside articles is part of the template
-                            texts["text:" + xxhash.xxh128_hexdigest(f"{path} {text}".encode("utf-8", "surrogatepass"))] += 1
-                rows += [(host, key, t, n, chars[t]) for t, n in counts.items()]
-                rows += [(host, key, t, n, 0) for t, n in texts.items()]
-            yield pd.DataFrame(rows, columns=["host", "key", "token", "n", "chars"])
+                        marked[path] += len(text) * content
+                        token = _text_token(path, text)
+                        texts[token] += 1
+                        chars[token] += len(text)
+                rows.append((host, key, "", 1, 0, 0, 0))
+                rows += [(host, key, t, n, i, chars[t], marked[t]) for i, (t, n) in enumerate(counts.items())]
+                rows += [(host, key, t, n, 0, chars[t], 0) for t, n in texts.items()]
+            yield pd.DataFrame(rows, columns=["host", "key", "token", "n", "seat", "chars", "marked"])
 
-    keyed = pages.select("host", F.xxhash64("url", html).alias("key"), F.col(html).alias("page"))
-    return keyed.mapInPandas(read, "host string, key long, token string, n long, chars long")
+    return pages.select("host", F.col(html).alias("page")).mapInPandas(read, "host string, key long, token string, n long, seat long, chars long, marked long")
 
 
 def templates(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per host with ``template``: its classes, each an array of tokens, and text sizes of the slots.
+    """One row per host with ``template``: its classes, each with its number of pages, whether its tokens occur once a page, and the tokens.
 
-    ``pages`` has ``host``, ``url`` and the html. Hosts without a valid class have no row.
+    ``pages`` has ``host`` and the html. Hosts without a valid class have no row.
     """
-    tokens = page_tokens(pages, html)
+    tokens = page_tokens(pages, html).groupBy("host", "token", "key").agg(*(F.max(c).alias(c) for c in ("n", "seat", "chars", "marked")))
     vectors = tokens.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("pages"),
         F.sum("n").alias("total"),
         F.bit_xor(F.xxhash64("key", "n")).alias("vector"),
-        F.sum("chars").alias("chars"),
+        *(F.sum(c).alias(c) for c in ("seat", "chars", "marked")),
     )
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    least = F.greatest(F.lit(MIN_PAGES), F.col("host_pages") * F.lit(MIN_SHARE))
-    valid = vectors.filter(F.col("pages") >= MIN_PAGES).join(sizes, "host").filter(F.col("pages") >= least)
-    classes = valid.groupBy("host", "pages", "total", "vector").agg(F.collect_list(F.struct("token", "chars")).alias("tokens"))
+    vectors = checkpointed(vectors.filter(F.col("pages") >= MIN_PAGES))
+    sizes = vectors.filter("token = ''").select("host", F.col("pages").alias("host_pages"))
+    valid = vectors.filter("token <> ''").join(sizes, "host").filter(F.col("pages") >= F.col("host_pages") * F.lit(MIN_SHARE))
+    classes = valid.groupBy("host", "pages", "total", "vector").agg(F.collect_list(F.struct("token", "seat", "chars", "marked")).alias("tokens"))
     once = (F.col("pages") == F.col("total")).alias("once")
-    return classes.groupBy("host").agg(F.collect_list(F.struct(once, "tokens")).alias("template"))
+    return classes.groupBy("host").agg(F.collect_list(F.struct("pages", once, "tokens")).alias("template"))
+
+
+def _is_text(token: str) -> bool:
+    return token.startswith("text:")
+
+
+def valid_classes(counts: Counter, template: list | None) -> list:
+    """The classes of the host that are valid on a page: whole, in order and nested."""
+    place = {t: i for i, t in enumerate(counts)}
+    found, outer = [], []
+    for c in sorted(template or (), key=lambda c: (-c["pages"], min(t["token"] for t in c["tokens"]))):
+        elements = [t["token"] for t in sorted(c["tokens"], key=lambda t: (t["seat"], t["token"])) if not _is_text(t["token"])]
+        if not c["once"] or not elements or any(counts[t] != 1 for t in elements):
+            continue
+        seats = [place[t] for t in elements]
+        if seats == sorted(seats) and all(bisect(o, seats[0]) == bisect(o, seats[-1]) for o in outer):
+            found.append(c)
+            outer.append(seats)
+    return found
 
 
 def main_text(page: str | None, template: list | None) -> str:
     """The main text of one page, its blocks joined by line feeds."""
     counts, blocks = read_page(page or "")
-    if any(content and not furniture for _, furniture, content, _ in blocks):
-        return "\n".join(text for _, furniture, content, text in blocks if content and not furniture)
-    nested = frozenset(t["token"] for c in template or () if c["once"] for t in c["tokens"]) or frozenset(p for p, n in counts.items() if n == 1)
-    repeated = frozenset(t["token"] for c in template or () for t in c["tokens"] if t["token"].startswith("text:"))
+    valid = valid_classes(counts, template)
+    nested = frozenset(t["token"] for c in valid for t in c["tokens"] if not _is_text(t["token"])) or frozenset(p for p, n in counts.items() if n == 1)
+    agreed = {t["token"]: (c["pages"], t["chars"]) for c in valid for t in c["tokens"] if _is_text(t["token"])}
+    kept = [(_slot(path, nested), agreed.get(_text_token(path, text), (0, 0)) if agreed else (0, 0), content, text) for path, furniture, content, text in blocks if not furniture]
     held: Counter = Counter()
+    marked: Counter = Counter()
     for c in template or ():
         for t in c["tokens"]:
-            if t["chars"]:
-                held[_slot(t["token"], nested)] += t["chars"]
-    kept = []
-    for path, furniture, _, text in blocks:
-        if not furniture and "text:" + xxhash.xxh128_hexdigest(f"{path} {text}".encode("utf-8", "surrogatepass")) not in repeated:
-            kept.append((_slot(path, nested), text))
-    own = Counter()
-    for slot, text in kept:
-        own[slot] += len(text)
-    # the slot with most text on the host's pages among those this page fills
-    main = max(own, key=lambda s: (held[s], own[s], s), default="")
-    return "\n".join(text for slot, text in kept if slot == main or slot.startswith(main + ">"))
+            if t["chars"] and not _is_text(t["token"]):
+                slot = _slot(t["token"], nested)
+                held[slot] += t["chars"]
+                marked[slot] += t["marked"]
+    fixed: Counter = Counter()
+    for slot, (pages, chars), content, _ in kept:
+        if pages >= (CONTENT_TEXT_PAGES if content else MIN_TEXT_PAGES):
+            fixed[slot] += chars
+    main = max((k[0] for k in kept), key=lambda s: (marked[s], held[s], s), default="")
+    return "\n".join(
+        text
+        for slot, (pages, _), content, text in kept
+        if pages < (CONTENT_TEXT_PAGES if content else MIN_TEXT_PAGES) or (slot == main and 2 * fixed[slot] > held[slot])
+    )
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", into: str = "text") -> DataFrame:
     """``pages`` with their main text; an input column of that name is replaced."""
     hosted = pages.withColumn("_host", host_of(F.col(url)))
-    found = checkpointed(templates(hosted.select(F.col("_host").alias("host"), F.col(url).alias("url"), F.col(html).alias("html"))))
+    found = checkpointed(templates(hosted.select(F.col("_host").alias("host"), F.col(html).alias("html"))))
     if found.count() <= MAX_BROADCAST_HOSTS:
         found = F.broadcast(found)
     joined = hosted.join(found.withColumnRenamed("host", "_template_host").withColumnRenamed("template", "_template"), F.col("_host") == F.col("_template_host"), "left")
 
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for html_batch, template_batch in batches:
-            yield pd.Series([main_text(h, t) for h, t in zip(html_batch, template_batch, strict=True)], dtype=object)
+            yield pd.Series([main_text(h, None if t is None else list(t)) for h, t in zip(html_batch, template_batch, strict=True)], dtype=object)
 
     text = F.pandas_udf(read, "string")(F.col(html), F.col("_template"))
     return joined.withColumn(into, text).drop("_host", "_template_host", "_template")

@@ -107,6 +107,30 @@ def test_main_text(spark):
     assert found == {i: f"T & {i}\nBody text {i} here." for i in range(6)} | {9: "", 10: ""}
 
 
+def _main_texts(spark, pages):
+    rows = [(i, f"http://h.example/{i}", f"<html><body>{page}</body></html>") for i, page in enumerate(pages)]
+    found = html_extraction.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    return [r["text"] for r in sorted(found, key=lambda r: r["page_id"])]
+
+
+def test_whole_classes_choose_the_text_beside_and_inside_articles(spark):
+    lead = "<div class='zone'>{i} leads</div>"
+    pages = [f"{lead.replace('{i}', str(i))}<p>House style</p><article><h1>Title {i}</h1><p>Story {i}</p><p>Tell a friend</p></article>" for i in range(12)]
+    assert _main_texts(spark, pages) == [f"{i} leads\nTitle {i}\nStory {i}" for i in range(12)]
+    # a text of half of the pages is template only where elements come and go with it
+    loose = [f"<div class='a'>Story {i}</div><div class='b'>{'Even' if i % 2 == 0 else f'Odd {i}'}</div>" for i in range(12)]
+    assert _main_texts(spark, loose)[:2] == ["Story 0\nEven", "Story 1\nOdd 1"]
+    tied = [f"<div class='a'>Story {i}</div>" + "<div class='c'>Even</div>" * (i % 2 == 0) for i in range(12)]
+    assert _main_texts(spark, tied)[:2] == ["Story 0", "Story 1"]
+    # out of order or across two slots of a larger class, a class is not valid
+    counts = html_extraction.read_page("<div class='a'>x</div><div class='b'>y</div>")[0]
+    tokens = lambda *names: [{"token": t, "seat": i, "chars": 1, "marked": 0} for i, t in enumerate(names)]
+    made = lambda pages, *names: {"pages": pages, "once": True, "tokens": tokens(*names)}
+    assert html_extraction.valid_classes(counts, [made(4, "div.a", "div.b")]) and not html_extraction.valid_classes(counts, [made(4, "div.b", "div.a")])
+    three = html_extraction.read_page("<div class='b'>y</div><div class='a'>x</div><div class='c'>z</div>")[0]
+    assert [c["pages"] for c in html_extraction.valid_classes(three, [made(9, "div.a"), made(4, "div.b", "div.c")])] == [9]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, size long, text_crc32 long, target string")
     bench = spark.createDataFrame([], "item_id long, text string")
