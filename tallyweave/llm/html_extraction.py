@@ -4,7 +4,7 @@ Markup is read as tokens: each element is named by the path of elements it lies
 id and role, and each text by its path and a hash. The occurrence vector of a token holds its
 count on each page of a host. Tokens of a host with equal vectors form an equivalence class;
 vectors are compared by their number of pages, their sum and a hash summed over pages, so no
-page list is ever gathered. Pages with the same html count once.
+page list is ever gathered. Pages with the same text outside menus and the like count once.
 
 A class can be valid if it covers ``MIN_SHARE`` of the host's pages (two at least) and its
 elements occur once a page. On a page it is valid if its elements are all there, in the order
@@ -48,6 +48,7 @@ MIN_TEXT_PAGES, CONTENT_TEXT_PAGES = 3, 10
 MAX_BROADCAST_HOSTS = 20_000
 TOKENS = re.compile(
     r"""<!--.*?(?:-->|\Z)
+      | <(?:svg|math)(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*?/>
       | <(?P<raw>script|style|title|textarea|noscript|template|svg|math|iframe|object|select|canvas|video|audio)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
       | <(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?:(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|(?P<rest>[^>]*)(?:>|\Z))
       | <[!?/][^>]*(?:>|\Z)""",
@@ -180,6 +181,12 @@ def _text_token(path: str, text: str) -> str:
     return "text:" + xxhash.xxh64_hexdigest(f"{path} {text}".encode("utf-8", "surrogatepass"))
 
 
+def _page_key(counts: Counter, blocks: list) -> int:
+    """Equal for pages with the same text outside menus and the like; pages without any are told apart by their elements."""
+    said = [text for _, furniture, _, text in blocks if not furniture] or [f"{n} {t}" for t, n in counts.items()]
+    return int.from_bytes(xxhash.xxh64_digest("\n".join(said).encode("utf-8", "surrogatepass")), "big", signed=True)
+
+
 def page_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
     """(host, key, token, n, seat, chars, marked) rows: per page one for each element path and each text, and one with an empty token.
 
@@ -194,7 +201,7 @@ def page_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
                 counts, blocks = read_page(page or "")
                 if not counts and not blocks:
                     continue
-                key = int.from_bytes(xxhash.xxh64_digest(page.encode("utf-8", "surrogatepass")), "big", signed=True)
+                key = _page_key(counts, blocks)
                 chars: Counter = Counter()
                 marked: Counter = Counter()
                 texts: Counter = Counter()

@@ -131,6 +131,15 @@ def test_whole_classes_choose_the_text_beside_and_inside_articles(spark):
     assert [c["pages"] for c in html_extraction.valid_classes(three, [made(9, "div.a"), made(4, "div.b", "div.c")])] == [9]
 
 
+def test_main_text_of_copies_sections_and_closed_graphics(spark):
+    page = "<div class='lead'>A lead.</div><div class='story'>A longer story.</div>"
+    assert _main_texts(spark, [page, page, "<div class='lead'>Other</div>"])[:2] == ["A lead.\nA longer story."] * 2
+    near = [f"<div class='story'><p>One long common part.</p><p>{i}</p></div>" for i in range(3)]
+    assert _main_texts(spark, near) == [f"One long common part.\n{i}" for i in range(3)]
+    drawn = "<p>Before</p><svg viewBox='0 0 1 1'/><p>Between</p><math a='>'/><p>After</p><svg><text>no</text></svg><p>End</p>"
+    assert html_extraction.main_text(drawn, None) == "Before\nBetween\nAfter\nEnd"
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, size long, text_crc32 long, target string")
     bench = spark.createDataFrame([], "item_id long, text string")
