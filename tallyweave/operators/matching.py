@@ -83,6 +83,26 @@ def similar_names(clients: DataFrame, chart: DataFrame, least: float = 0.6, top:
     return wanted.join(best, "folded").select("client", "target", "similarity", "rank")
 
 
+def nearest_names(names: DataFrame, chart: DataFrame, top: int = 3) -> DataFrame:
+    """(name, standard, distance, rank) of the chart names nearest to each distinct ``name`` by edit distance, then by name.
+
+    A distance is at least the difference of the lengths and at most the greater length, so the
+    ``top`` smallest greater lengths bound what can be among the nearest: a pair of lengths
+    that differ by more is not compared, and none of the nearest is lost.
+    """
+    left = names.select("name").filter("name IS NOT NULL").distinct().withColumn("size", F.length("name"))
+    right = chart.select(F.col("name").alias("standard")).filter("standard IS NOT NULL").distinct().withColumn("standard_size", F.length("standard"))
+    sizes = right.groupBy("standard_size").agg(F.count(F.lit(1)).alias("n"))
+    most = F.greatest("size", "standard_size")
+    upto = Window.partitionBy("size").orderBy(most)
+    pairs = left.select("size").distinct().crossJoin(sizes).withColumns({"seen": F.sum("n").over(upto), "most": most})
+    every = Window.partitionBy("size")
+    bound = F.coalesce(F.min(F.when(F.col("seen") >= top, F.col("most"))).over(every), F.max("most").over(every))
+    pairs = pairs.withColumn("bound", bound).filter(F.abs(F.col("size") - F.col("standard_size")) <= F.col("bound")).select("size", "standard_size")
+    found = left.join(pairs, "size").join(right, "standard_size").withColumn("distance", F.levenshtein("name", "standard"))
+    return ranked(found, ["name"], [F.col("distance"), F.col("standard")], top).select("name", "standard", "distance", "rank")
+
+
 def with_name_facts(rows: DataFrame, name: str, mark: str) -> DataFrame:
     """What the rules ask of a client, parent or path name, each worked out once: columns ``<mark>_*``."""
     c = lambda k: F.col(f"{mark}_{k}")

@@ -43,6 +43,12 @@ def name_distance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.ranked(found, ["p_name"], [F.col("distance"), F.col("name")], 3).select("p_name", "name", "distance", "rank")
 
 
+def name_distance_all_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance between distinct part names and all chart words."""
+    found = matching.nearest_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), chart(spark, sf_dir))
+    return found.select(F.col("name").alias("p_name"), F.col("standard").alias("name"), "distance", "rank")
+
+
 def longest_code_prefix_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("code"))
     accounts = orders.filter("o_orderkey % 7 = 0").select(F.col("code").alias("account"))
@@ -202,7 +208,7 @@ def account_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    normalized_code_match, name_exact_prefix_rank, name_similarity_topk, name_distance_topk, longest_code_prefix_topk, semantic_alias_match, compatibility_rules,
+    normalized_code_match, name_exact_prefix_rank, name_similarity_topk, name_distance_topk, name_distance_all_topk, longest_code_prefix_topk, semantic_alias_match, compatibility_rules,
     candidate_rank_safe_first, auto_confirm_status, recommend_accounts, inheritance_plan, confirmed_descendant_propagation, unique_node_dedup, node_compression_stats,
     node_selection_conflicts, propagate_first_resolved, field_experience_best, context_signature, upsert_mapping_experience, full_sync_merge, snapshot_changes,
     major_mismatch_audit, account_categories,
@@ -239,6 +245,9 @@ h AS (SELECT client, code AS target, active, length(name) AS size, CASE WHEN fol
 SELECT client, target, how, row_number() OVER (PARTITION BY client, how ORDER BY size DESC, active DESC, target) AS rank FROM h QUALIFY rank <= 5""",
     "name_distance_topk": f"""{_CHART},
 p AS (SELECT DISTINCT p_name FROM part), d AS (SELECT p_name, name, CAST(levenshtein(p_name, name) AS INTEGER) AS distance FROM p JOIN chart ON substr(p_name, 1, 1) = substr(name, 1, 1))
+SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY distance, name) AS rank FROM d QUALIFY rank <= 3""",
+    "name_distance_all_topk": f"""{_CHART},
+p AS (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL), d AS (SELECT p_name, name, CAST(levenshtein(p_name, name) AS INTEGER) AS distance FROM p CROSS JOIN chart)
 SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY distance, name) AS rank FROM d QUALIFY rank <= 3""",
     "longest_code_prefix_topk": """
 WITH o AS (SELECT o_orderkey, o_orderkey::VARCHAR AS code FROM orders), e AS (SELECT o_orderkey, code, unnest(range(1, length(code))) AS n FROM o),
