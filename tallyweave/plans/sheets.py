@@ -60,6 +60,20 @@ def batch_list_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.batches_with_counts(batches, orders.select(F.col("o_custkey").alias("batch"), "o_orderkey"), "batch", "o_orderkey")
 
 
+def _batches(spark: SparkSession, sf_dir: str, **conditions) -> DataFrame:
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    batches = views.filtered(customers, **conditions).select(F.col("c_custkey").alias("batch"), "c_name")
+    return views.batches_with_counts(batches, orders.select(F.col("o_custkey").alias("batch"), "o_orderkey"), "batch", "o_orderkey")
+
+
+def batch_list_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batches(spark, sf_dir)
+
+
+def batch_list_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batches(spark, sf_dir, words={"c_mktsegment": "hold"})
+
+
 def entries_filtered_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     kept = views.filtered(lines, equal={"l_returnflag": "R"}, between={"l_shipdate": ("1996-01-01", "1996-12-31")})
@@ -103,7 +117,7 @@ def option_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    asof_indent_parent, header_left_fill, duplicate_header_occurrence, header_field_match, sheet_parse, cascade_delete_counts, batch_list_with_counts,
+    asof_indent_parent, header_left_fill, duplicate_header_occurrence, header_field_match, sheet_parse, cascade_delete_counts, batch_list_with_counts, batch_list_all_counts, batch_list_word_counts,
     entries_filtered_sorted, paged_list_total, pii_scan, stratified_sample, extra_fields_pack, synthetic_group_path, option_lists,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -122,6 +136,9 @@ SELECT o_orderkey // 50 AS sheet, 1 AS header_row, 3 AS data_row, '科目编码|
     "cascade_delete_counts": "SELECT 'raw_rows' AS table_name, count(*) AS n_deleted FROM orders WHERE o_orderkey % 100 = 7 UNION ALL SELECT 'entries', count(*) FROM lineitem WHERE l_orderkey % 100 = 7",
     "batch_list_with_counts": """
 SELECT c_custkey AS batch, c_name, count(o_orderkey) AS n_entries FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' AND c_name ILIKE '%customer#0000000%' GROUP BY 1, 2""",
+    "batch_list_all_counts": "SELECT c_custkey AS batch, c_name, count(o_orderkey) AS n_entries FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2",
+    "batch_list_word_counts": """
+SELECT c_custkey AS batch, c_name, count(o_orderkey) AS n_entries FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment ILIKE '%hold%' GROUP BY 1, 2""",
     "entries_filtered_sorted": "SELECT l_orderkey, l_partkey, l_linenumber, l_shipdate FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate BETWEEN '1996-01-01' AND '1996-12-31' ORDER BY ALL",
     "paged_list_total": "SELECT c_custkey, c_name, CAST((SELECT count(*) FROM customer) AS INTEGER) AS total FROM customer ORDER BY c_name DESC, c_custkey LIMIT 20 OFFSET 40",
     "pii_scan": """
