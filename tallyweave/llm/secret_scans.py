@@ -5,8 +5,13 @@ runs. The method then looks at every value that follows a credential word (``pwd
 ``passphrase is`` and so on) and computes the cheapest way to guess it: dynamic programming
 over its positions, where each segment is a common word, a date, a repetition, a walk along
 a keyboard row or alphabet, or brute force, and costs add up as decimal logarithms. A value
-whose cheapest segmentation still costs ``min_cost`` or more is a secret; ``password123``
-and ``2024-01-01`` are not.
+of any length whose cheapest segmentation still costs ``min_cost`` or more is a secret;
+``password123`` and ``2024-01-01`` are not. Words are ranked by how often the documents use
+them outside such values, so that ordinary prose after a credential word is cheap; a fixed
+list of common passwords comes on top.
+
+The ranked words are those used so often that at most ``MAX_WORDS`` are, counted before they
+are sent; rarer ones are priced by their parts.
 
 A null text counts as empty and has no spans. Texts of any length are scanned whole; repeated
 rows get equal results; other columns pass through.
@@ -22,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.common import checkpointed
+
 KINDS = ("assign", "access", "hex", "guess")
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -34,7 +41,8 @@ CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "credential", "key")
-MIN_VALUE, MIN_COST = 8, 8.0
+MIN_COST = 8.0
+MAX_WORDS, LONGEST = 50_000, 32
 
 #: Common passwords and their words, commonest first; the cost of a word is its place.
 WORDS = (
@@ -45,7 +53,6 @@ WORDS = (
     "false todo dummy fake foo bar baz temp public private access account server client service database backup system"
 ).split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST = max(map(len, WORDS))
 LEET = str.maketrans("@4301$57!", "aaeoissti"[:9])
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
 NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)}
@@ -57,7 +64,28 @@ def _symbol_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33)
 
 
-def guess_cost(value: str) -> float:
+def corpus_ranks(docs: DataFrame, text: str = "text", most: int = MAX_WORDS) -> dict[str, int]:
+    """Places of the words of all texts, commonest first, and of ``WORDS``; the lower place counts.
+
+    A word is a run of 3 to ``LONGEST`` letters that no digit touches. Values in credential
+    contexts are left out, lest a secret that is repeated passes for a word.
+    """
+    said = F.lower(F.when(F.lower(text).rlike("|".join(CONTEXT_WORDS)), F.regexp_replace(text, "(?i)" + CONTEXT.pattern, " ")).otherwise(F.col(text)))
+    words = docs.select(F.explode(F.split(said, r"[^\p{L}\p{N}_]+")).alias("word")).filter(F.col("word").rlike(rf"^\p{{L}}{{3,{LONGEST}}}$"))
+    counts = checkpointed(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    # the smallest count at which no more than ``most`` words are left
+    least, held = None, 0
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("n").desc()).limit(most).collect():
+        held += r["words"]
+        if held > most:
+            break
+        least = r["n"]
+    common = [] if least is None else counts.filter(F.col("n") >= least).collect()
+    ranks = {r["word"]: i + 1 for i, r in enumerate(sorted(common, key=lambda r: (-r["n"], r["word"])))}
+    return ranks | {w: min(i, ranks.get(w, i)) for w, i in RANK.items()}
+
+
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """The decimal logarithm of the guesses that the cheapest segmentation needs; 0 for ''."""
     n, low = len(value), value.lower()
     if len(low) != n:  # a letter whose lower case is longer
@@ -76,9 +104,9 @@ def guess_cost(value: str) -> float:
         best[i + 1] = min(best[i + 1], here + _symbol_cost(value[i]))
         for j in range(i + 3, min(n, i + LONGEST) + 1):
             cost = math.inf
-            if (rank := RANK.get(low[i:j])) is not None:
+            if (rank := ranks.get(low[i:j])) is not None:
                 cost = math.log10(rank)
-            elif (rank := RANK.get(plain[i:j])) is not None:
+            elif (rank := ranks.get(plain[i:j])) is not None:
                 cost = math.log10(rank) + 0.5
             if cost < math.inf:
                 cost += 0.3 + (0.5 if value[i:j] != low[i:j] else 0)
@@ -118,11 +146,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans, key=_order)
 
 
-def guess_spans(text: str, min_cost: float = MIN_COST) -> list[tuple[int, int, str]]:
+def guess_spans(text: str, min_cost: float = MIN_COST, ranks: dict[str, int] = RANK) -> list[tuple[int, int, str]]:
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    return [(m.start(1), m.end(1), "guess") for m in CONTEXT.finditer(text) if m.end(1) - m.start(1) >= MIN_VALUE and guess_cost(m[1]) >= min_cost]
+    return [(m.start(1), m.end(1), "guess") for m in CONTEXT.finditer(text) if guess_cost(m[1], ranks) >= min_cost]
 
 
 def _order(span: tuple[int, int, str]) -> tuple[int, int]:
@@ -137,14 +165,15 @@ def scan_secrets(docs: DataFrame, text: str = "text", min_cost: float = MIN_COST
     """``docs`` with ``secrets``: an array of (kind, start, end), by start and then by kind.
 
     Positions count code points; ``end`` is exclusive. A ``secrets`` column of the input is
-    replaced.
+    replaced. Words are ranked over all of ``docs``.
     """
+    ranks = corpus_ranks(docs, text)
 
     def find(texts: pd.Series) -> pd.Series:
         out = []
         for t in texts:
             t = t or ""
-            spans = sorted(base_spans(t) + guess_spans(t, min_cost), key=_order)
+            spans = sorted(base_spans(t) + guess_spans(t, min_cost, ranks), key=_order)
             out.append([{"kind": k, "start": a, "end": b} for a, b, k in spans])
         return pd.Series(out, dtype=object)
 

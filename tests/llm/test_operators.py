@@ -53,6 +53,16 @@ def test_guess_costs():
     assert secret_scans.redact("pwd: abc", [(5, 8, "guess")]) == "pwd: [SECRET]"
 
 
+def test_guesses_in_prose_and_short_values(spark):
+    prose = "An understanding of what is required comes from reading what others wrote."
+    texts = [prose, "the password is required", "token: understanding", "pwd: aB3$xY9", "pwd: qmzjxvkwpdhr", "pwd: qmzjxvkwpdhr", "secret: abc", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r["doc_id"]: [(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["secrets"] if s["kind"] == "guess"] for r in secret_scans.scan_secrets(docs).collect()}
+    assert found == {i: [] for i in range(8)} | {3: [("guess", "aB3$xY9")], 4: [("guess", "qmzjxvkwpdhr")], 5: [("guess", "qmzjxvkwpdhr")]}
+    ranks = secret_scans.corpus_ranks(docs, most=5)
+    assert ranks["what"] == 1 and ranks["password"] == 1 and "understanding" not in ranks and "qmzjxvkwpdhr" not in ranks
+
+
 def test_mix_comes_near_targets(spark):
     rows = queries.op3_source_mixing(spark, SF).collect()
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
