@@ -1,39 +1,36 @@
 """Exact n-gram Jaccard self-join and its connected components.
 
-A document's set holds the 64-bit hashes of its distinct word shingles. Equal sets become one
-class first. Classes are put into tiles by size band, and bands are split further, since all
-pairs of a band would grow with its square: hash space is cut into a number of segments that
-the band fixes, and a tile is (band, segment, content of the segment). If ``d`` is the most
-elements in which a set can differ from any partner in the band, its first ``d + 1`` segments
-that have content are its tiles. Of two linked sets, take the one whose tiles reach less far:
-each differing element spoils one segment at most, so one of its tiles is the other's too.
-Bands double in size, and a set near a band's end also goes into the next one. Inside a tile,
-sizes and hashed bitmaps bound the overlap from above (each bit in which two bitmaps differ is
-an element that only one set has); what survives is settled by intersecting the sorted arrays.
-
-A tile of many classes does not emit its pairs. First every member meets the tile's smallest
-and largest member, and the components of these links are found. Only tiles of more than
-three members (smaller ones are settled by then) that hold several components are compared
-further, in blocks of at most ``BLOCK`` members against each other: members of one component
-are not compared again, and bitmaps drop almost all other pairs before anything is emitted.
-This is done twice. The first time each member of a block gives one pair only, so that a large
-group closes with pairs in proportion to its rows; then all pairs between the components that
-are left are settled. No link between different components is lost; links inside one may go
-unlisted.
-
-Texts are read three times so that nothing wide is kept or shuffled: once for the sizes and
-names of the sets, once for the tiles of one document of each class, whose rows go straight to
-the exchange by tile, and once for the bitmaps of the classes that share a tile.
+A document's set holds the 64-bit hashes of its distinct word shingles. The elements of all sets
+have one order: first those that few texts share, by hash, then those that a pass over all texts
+found often, rarest first. Two sets that link share one of their first ``size - least overlap + 1``
+elements; those are the tiles of a set. The order decides how full tiles get, never what links,
+so the list of frequent elements may be bounded (``MAX_HEAVY``).
+
+All tiles of a text come from one pass, with its size, the name of its set and a hashed bitmap.
+Tiles that hold one set only (exact copies count as one) go first. In the others every member
+meets the tile's smallest and largest set. A first round settles one such pair a set, that with
+most tiles in common; a second one the pairs that still lie in different components. Members
+of tiles that hold several components even then are compared by size band (bands double, and a
+set also goes to the next one if a linked set may lie there), in blocks of at most ``BLOCK``
+against each other: large tiles first with one pair a member and block, so that a large group
+closes with pairs in proportion to its rows, then all with all pairs that are left. No link between different
+components is lost; links inside one may go unlisted.
+
+Pairs are judged by sizes, then by bitmaps (each bit in which two differ is an element that only
+one set has, so bit counts bound the overlap from above), and what survives is settled by
+intersecting the sorted arrays. Only the texts of such pairs are read again.
+
+Tiles meet their ends through joins that Spark can split where a tile is large, and ends are
+found by grouping with partial aggregation, so a tile with a third of all sets burdens no task.
 
 A null or wordless text has the empty set, size 0, and links with nothing; a text with fewer
-words than a shingle has its whole word sequence as one. Ids may repeat or be null: rows with
-equal sets always share a component, whose name is the smallest id in it (null if it has none).
+words than a shingle has its whole word sequence as one. Ids must be whole numbers (or text that
+casts to such). They may repeat or be null: rows with equal sets always share a component, whose
+name is the smallest id in it (null if it has none).
 """
 
 from __future__ import annotations
 
-import functools
-import math
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -41,16 +38,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import checkpointed
 
 BLOCK = 1024
-#: Some 30 bytes a row. Beyond, texts are joined to the nodes they belong to by shuffle.
+#: Tiles of more members are first closed with one pair a member and block.
+LARGE = 64
+#: Some 30 bytes a row. Beyond, texts are joined to the sets they belong to by shuffle.
 MAX_BROADCAST_NODES = 1_000_000
+#: Elements counted at a time in a worker, how often one must occur among them to be reported, and how many of those reported are sent back.
+CHUNK, OFTEN, MAX_HEAVY = 1 << 20, 4, 100_000
+#: Bits of a set's node that hold its size; the rest is hash.
+SIZE_BITS = 23
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
+NO_HEAVY = np.empty(0, np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -78,12 +82,12 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A bit for each element, of a length that only the size's band of powers decides: 16 to 32 bits an element, 256 to 65536."""
-    bits = min(65536, max(256, 1 << (16 * max(1, len(hashes)) - 1).bit_length()))
-    out = np.zeros(bits // 8, np.uint8)
+    """A bit for each element, of a length that only the size's power of two decides: 2 to 4 bits an element, 256 to 2^20."""
+    bits = min(1 << 20, max(256, 1 << (2 * max(1, len(hashes)) - 1).bit_length()))
     at = (hashes >> np.uint64(20)).astype(np.int64) & (bits - 1)
-    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return out.tobytes()
+    flags = np.zeros(bits, bool)
+    flags[at] = True
+    return np.packbits(flags, bitorder="little").tobytes()
 
 
 def folded(bits: np.ndarray, width: int) -> np.ndarray:
@@ -96,45 +100,48 @@ def enough(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _differ(size: int, top: int, percent: int) -> int:
-    """The most elements in which a set can differ from a linked one of at most ``top`` elements."""
-    return (size + min(100 * size // percent, top)) * (100 - percent) // (100 + percent)
-
-
-@functools.cache
-def _segments(band: int, percent: int) -> int:
-    """Into how many segments a band cuts hash space: the least that leaves almost no set short of tiles."""
-    low, top = 1 << band, (2 << band) - 1
-    sizes = (max(1, low * percent // 100), low, top)
-    count = _differ(top, top, percent) + 1
-    while count < 4 * top + 16:
-        empty = [math.exp(-n / count) for n in sizes]
-        spread = [math.sqrt(count * e * max(0.0, 1 - (1 + n / count) * e)) for n, e in zip(sizes, empty, strict=True)]
-        if all(count * (1 - e) - 4 * x > _differ(n, top, percent) for n, e, x in zip(sizes, empty, spread, strict=True)):
-            break
-        count += 1 + count // 64
-    return count
-
-
-def tiles(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The tiles of a set, in its own band and in each further one where it may have a partner."""
-    size, found = len(hashes), []
-    band = size.bit_length() - 1
-    while size and (size >> band or (percent << band) <= 100 * size):
-        differ, count = _differ(size, (2 << band) - 1, percent), _segments(band, percent)
-        name = _mixed(np.array([band], np.uint64))
-        band += 1
-        if not differ:  # linked sets of this band are equal, and equal sets are one class
-            continue
-        segment = (_mixed(hashes ^ _B) % np.uint64(count)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        filled, starts = np.unique(segment[order], return_index=True)
-        # the sum of mixed hashes names a segment's content
-        sums = np.add.reduceat(_mixed(hashes[order] + _A), starts)[: differ + 1]
-        found.append(_mixed(sums + filled[: differ + 1].astype(np.uint64) * _B + name))
-        if len(filled) <= differ:  # two such sets may agree in empty segments only, but share an element
-            found.append(_mixed(hashes * _A + name + _C))
-    return np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
+def tiles(hashes: np.ndarray, percent: int, heavy: np.ndarray = NO_HEAVY, place: np.ndarray = NO_HEAVY) -> np.ndarray:
+    """The elements of a set one of which any linked set has among its own; ``heavy`` are the frequent elements, sorted, with their places in the order."""
+    size = len(hashes)
+    if not size:
+        return np.empty(0, np.int64)
+    late = np.zeros(size, np.uint64)
+    if len(heavy):
+        at = np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)
+        late = np.where(heavy[at] == hashes, place[at], late)
+    # a linked set holds at least ``percent`` of this one
+    count = size - -(-percent * size // 100) + 1
+    return hashes[np.lexsort((_mixed(hashes), late))[:count]].astype(np.int64)
+
+
+def heavy_elements(docs: DataFrame, n: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Elements that occur in many texts, sorted, and their places from 1, rarest first: at most MAX_HEAVY numbers each, from all texts.
+
+    Every worker counts its texts' elements, ``CHUNK`` at a time, and reports those that occur
+    ``OFTEN`` there; reports are added up, and the largest sums count.
+    """
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        element, n_texts = np.unique(np.concatenate(held), return_counts=True)
+        kept = n_texts >= OFTEN
+        return pa.RecordBatch.from_arrays([pa.array(element[kept].astype(np.int64)), pa.array(n_texts[kept])], names=["element", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [NO_HEAVY], 0
+        for batch in batches:
+            for t in batch.column(0):
+                held.append(shingles(t.as_py(), n))
+                total += len(held[-1])
+                if total >= CHUNK:
+                    yield often(held)
+                    held, total = [NO_HEAVY], 0
+        yield often(held)
+
+    sums = docs.select(text).mapInArrow(count, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
+    top = sums.orderBy(F.col("n").desc(), "element").limit(MAX_HEAVY).collect()
+    heavy = np.array([r["element"] for r in reversed(top)], np.int64).astype(np.uint64)
+    order = np.argsort(heavy)
+    return heavy[order], order.astype(np.uint64) + np.uint64(1)
 
 
 def text_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -142,52 +149,69 @@ def text_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
 
-def describe(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_key, size, set) of each row; ``set`` is null for the empty set."""
+def describe(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text", heavy: tuple[np.ndarray, np.ndarray] = (NO_HEAVY, NO_HEAVY)) -> DataFrame:
+    """(id, text_key, size, set, tiles, bits) of each row; the last three are null for the empty set."""
+    schema = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("size", pa.int64()), ("set", pa.binary()), ("tiles", pa.list_(pa.int64())), ("bits", pa.binary())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
-            for t in batch.column(2):
-                found = shingles(t.as_py(), n)
-                sizes.append(len(found))
-                keys.append(set_key(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["id", "text_key", "size", "set"])
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                found = [shingles(t.as_py(), n) for t in part.column(2)]
+                made = [(len(h), set_key(h), tiles(h, percent, *heavy), bitmap(h)) if len(h) else (0, None, None, None) for h in found]
+                columns = [part.column(0), part.column(1), *(pa.array([m[k] for m in made], schema.field(k + 2).type) for k in range(4))]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return text_keys(docs, doc_id, text).mapInArrow(measure, "id long, text_key long, size long, set binary")
+    return text_keys(docs, doc_id, text).mapInArrow(measure, "id long, text_key long, size long, set binary, tiles array<long>, bits binary")
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(node, text) of the documents that stand for nodes (node, id, text_key)."""
-    if nodes.count() <= MAX_BROADCAST_NODES:
-        nodes = F.broadcast(nodes)
-    keys = nodes.select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key"))
-    rows = text_keys(docs, doc_id, text)
-    return rows.join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "text")
+def _node() -> Column:
+    """A set's node: its size, then 40 bits of hash.
 
+    Sets that share a node are told apart when pairs are judged; only a link between two sets
+    of one size whose hashes agree could be missed, one in 2^40 of such links.
+    """
+    hash_bits = 63 - SIZE_BITS
+    size = F.least(F.col("size"), F.lit((1 << SIZE_BITS) - 1))
+    return F.shiftleft(size, hash_bits).bitwiseOR(F.xxhash64("set").bitwiseAND(F.lit((1 << hash_bits) - 1)))
 
-def tile_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, tile) rows."""
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                found = [tiles(shingles(t.as_py(), n), percent) for t in part.column(1)]
-                node = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(found), pa.int64())], names=["node", "tile"])
+def _size_of(node: str) -> Column:
+    return F.shiftright(node, 63 - SIZE_BITS)
 
-    return texts.mapInArrow(place, "node long, tile long")
 
+def crowded(facts: DataFrame) -> DataFrame:
+    """(tile, node, low, high) of the tiles that hold several nodes; ``low`` and ``high`` are the smallest and largest."""
+    rows = facts.filter("size > 0").select(_node().alias("node"), F.explode("tiles").alias("tile"))
+    ends = rows.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    return rows.join(ends.hint("shuffle_hash"), "tile").select("tile", "node", "low", "high")
 
-def bitmaps(texts: DataFrame, n: int) -> DataFrame:
-    """(node, bits) rows."""
 
-    def draw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([bitmap(shingles(t, n)) for t in batch], dtype=object)
+def distinct_sets(facts: DataFrame, crowd: DataFrame) -> DataFrame:
+    """(key, node, set, id, text_key, size, bits): one row for each set of a crowded tile, by the smallest id; ``key`` is unique."""
+    met = facts.filter("size > 0").select(_node().alias("node"), "set", "id", "text_key", "size", "bits").join(crowd.select("node").distinct(), "node", "left_semi")
+    first = Window.partitionBy("set").orderBy(F.col("id").asc_nulls_last(), "text_key")
+    one = met.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
+    return checkpointed(one.withColumn("key", F.monotonically_increasing_id()))
+
+
+def star_pairs(crowd: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n): keys of the pairs of a member and an end of its tile whose sizes fit, with the number of such tiles."""
+    ends = F.array(F.struct(F.col("low").alias("x"), F.col("node").alias("y")), F.struct(F.col("node").alias("x"), F.col("high").alias("y")))
+    met = crowd.select(F.inline(ends)).filter((F.col("x") != F.col("y")) & (_size_of("x") * 100 >= _size_of("y") * percent))
+    met = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    ids = nodes.select("node", "key")
+    named = met.join(ids.select(F.col("node").alias("x"), F.col("key").alias("a")), "x").join(ids.select(F.col("node").alias("y"), F.col("key").alias("b")), "y")
+    return checkpointed(named.select("a", "b", "n"))
+
 
-    return texts.select("node", F.pandas_udf(draw, "binary")("text").alias("bits")).dropDuplicates(["node"])
+def texts_of(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(key, text) of the documents that stand for sets (key, id, text_key)."""
+    if nodes.count() <= MAX_BROADCAST_NODES:
+        nodes = F.broadcast(nodes)
+    keys = nodes.select("key", F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    rows = text_keys(docs, doc_id, text)
+    return rows.join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("key", "text")
 
 
 def _possible(percent: int):
@@ -225,48 +249,97 @@ def _linked(percent: int):
 
 
 def joined_twice(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs (a, b) with the columns of both nodes, prefixed a_ and b_."""
-    side = lambda k: nodes.select(F.col("node").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in columns))
+    """Pairs (a, b) with the columns of both sets, prefixed a_ and b_."""
+    side = lambda k: nodes.select(F.col("key").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in columns))
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
 def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The pairs (a, b) of nodes that link; only texts of pairs that the bound lets through are read again."""
-    near = joined_twice(pairs, nodes, ["size", "bits"]).filter(_possible(percent)("a_size", "b_size", "a_bits", "b_bits")).select("a", "b")
+    """The pairs (a, b) of sets that link; only texts of pairs that the bound lets through are read again."""
+    near = joined_twice(pairs.select("a", "b"), nodes, ["size", "bits"]).filter(_possible(percent)("a_size", "b_size", "a_bits", "b_bits")).select("a", "b")
     near = checkpointed(near)
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = texts_of(docs, checkpointed(nodes.join(wanted, "node").select("node", "id", "text_key")), doc_id, text)
+    wanted = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = texts_of(docs, checkpointed(nodes.join(wanted, "key").select("key", "id", "text_key")), doc_id, text)
 
     def build(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([shingles(t, n).tobytes() for t in batch], dtype=object)
 
-    sets = checkpointed(texts.select("node", F.pandas_udf(build, "binary")("text").alias("shingles")).dropDuplicates(["node"]))
-    return joined_twice(near, sets, ["shingles"]).filter(_linked(percent)("a_shingles", "b_shingles")).select("a", "b")
+    sets = texts.dropDuplicates(["key"]).select("key", F.pandas_udf(build, "binary")("text").alias("shingles"))
+    return checkpointed(joined_twice(near, sets, ["shingles"]).filter(_linked(percent)("a_shingles", "b_shingles")).select("a", "b"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(key, root) for every key on an edge; ``root`` is the smallest key reachable.
+
+    Alternating large-star and small-star steps: each is one or two groupings by key, whose
+    rows shrink to stars in a number of rounds that grows with the logarithm of the longest
+    chain. Every round is checkpointed; the rounds end when one changes nothing.
+    """
+    now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    before, state = None, ()
+    while state != before:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(lowest)
+        now = checkpointed(small.distinct())
+        before, state = state, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "key")
+    return checkpointed(roots.union(now.select(F.col("v").alias("key"), F.col("v").alias("root")).distinct()))
+
+
+def _with_root(rows: DataFrame, roots: DataFrame, key: str, root: str) -> DataFrame:
+    named = roots.select(F.col("key").alias(key), F.col("root").alias(root))
+    return rows.join(named, key, "left").withColumn(root, F.coalesce(root, key))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets lie in different components."""
+    return _with_root(_with_root(pairs, roots, "a", "_left"), roots, "b", "_right").filter("_left <> _right").drop("_left", "_right")
+
+
+def _bands(percent: int) -> Column:
+    """The size bands of a set: its own, and the next one if a linked set may lie there."""
+    own = F.length(F.bin("size")) - 1
+    return F.when(F.pow(F.lit(2.0), own + 1) * percent <= F.col("size") * 100, F.array(own, own + 1)).otherwise(F.array(own))
+
+
+def open_tiles(crowd: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Members (tile, key, root, members) of banded tiles that hold several components, without the ends, which have met all others."""
+    inner = crowd.filter("node <> low and node <> high").select("tile", "node").join(nodes.select("node", "key", "size"), "node")
+    banded = _with_root(inner, roots, "key", "root").select(F.explode(_bands(percent)).alias("band"), "tile", "key", "root")
+    banded = banded.select(F.xxhash64("tile", "band").alias("tile"), "key", "root").distinct()
+    # of tiles with the same members one is enough
+    names = (F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(seed) for seed in ("first", "second"))
+    facts = banded.groupBy("tile").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("members"), *names).filter("least <> most")
+    several = facts.groupBy("members", "first", "second").agg(F.min("tile").alias("tile")).select("tile", "members")
+    return banded.join(several.hint("shuffle_hash"), "tile")
 
 
 def _apart(part: pd.DataFrame, percent: int, each: bool) -> np.ndarray:
     """Of the members of two blocks of a tile: the pairs of different components that sizes and bitmaps let through.
 
-    With ``each``, one pair for every member of the first block that has any: that with the smallest node.
+    With ``each``, one pair for every member of the first block that has any: that with the smallest key.
     """
     i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
-    node, size, root, block = (part[c].to_numpy() for c in ("node", "size", "root", "block"))
+    key, size, root, block = (part[c].to_numpy() for c in ("key", "size", "root", "block"))
     if (root == root[0]).all():
         return np.empty((0, 2), np.int64)
     width = min(map(len, part["bits"]))
     bits = np.stack([folded(np.frombuffer(x, np.uint8), width) for x in part["bits"]]).view(np.uint64)
     found = [np.empty((0, 2), np.int64)]
     for x in np.flatnonzero(block == i):
-        ys = np.flatnonzero((block == j) & (root != root[x]) & (node > node[x] if i == j else True))
+        ys = np.flatnonzero((block == j) & (root != root[x]) & (key > key[x] if i == j else True))
         least = -(-percent * (size[x] + size[ys]) // (100 + percent))
         fits = np.minimum(size[x], size[ys]) >= least
         ys, least = ys[fits], least[fits]
-        apart = np.bitwise_count(bits[x] ^ bits[ys]).sum(1).astype(np.int64)
-        ys = ys[(size[x] + size[ys] - apart) // 2 >= least]
+        differ = np.bitwise_count(bits[x] ^ bits[ys]).sum(1).astype(np.int64)
+        ys = ys[(size[x] + size[ys] - differ) // 2 >= least]
         if each and len(ys):
-            ys = ys[[node[ys].argmin()]]
-        found.append(np.stack([np.minimum(node[x], node[ys]), np.maximum(node[x], node[ys])], 1))
+            ys = ys[[key[ys].argmin()]]
+        found.append(np.stack([np.minimum(key[x], key[ys]), np.maximum(key[x], key[ys])], 1))
     return np.concatenate(found)
 
 
@@ -288,80 +361,45 @@ def _open_pairs(percent: int, each: bool):
     return compare
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node on an edge; ``root`` is the smallest node reachable.
-
-    Alternating large-star and small-star steps: each is one or two groupings by node, whose
-    rows shrink to stars in a number of rounds that grows with the logarithm of the longest
-    chain. Every round is checkpointed.
-    """
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    for _ in range(rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(lowest)
-        now = checkpointed(small.distinct())
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def open_tiles(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (tile, node, root, members) of the tiles that hold several components, without the ends, which have met all others."""
-    known = crowd.filter("members > 3 and node <> low and node <> high").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tile = Window.partitionBy("tile")
-    several = F.min("root").over(tile) != F.max("root").over(tile)
-    return known.withColumn("several", several).filter("several").select("tile", "node", "root", "members")
-
-
 def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, each: bool = False) -> DataFrame:
     """Pairs (a, b) of open tiles that the bound lets through, each tile compared block by block; with ``each``, one a member and block."""
     sized = members.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    dealt = sized.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = other.select("tile", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    filled = placed.join(nodes.select("node", "size", "bits"), "node")
+    placed = other.select("tile", "key", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    filled = placed.join(nodes.select("key", "size", "bits"), "key")
     grouped = filled.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
     return grouped.mapInPandas(_open_pairs(percent, each), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``text_key`` (xxhash64 of the text), ``n_shingles`` and ``component_id``."""
-    facts = checkpointed(describe(docs, n, doc_id, text))
-    # one row per distinct set; the window is cut to one row a set before the shuffle
-    first = Window.partitionBy("set").orderBy(F.col("id").asc_nulls_last(), "text_key")
-    classes = facts.filter("size > 0").withColumn("nth", F.row_number().over(first)).filter("nth = 1")
-    classes = checkpointed(classes.select(F.xxhash64("set").alias("node"), "id", "text_key", "size"))
-    tile = Window.partitionBy("tile")
-    placed = tile_rows(texts_of(docs, classes, doc_id, text), n, percent)
-    crowd = checkpointed(placed.withColumns({"low": F.min("node").over(tile), "high": F.max("node").over(tile), "members": F.count(F.lit(1)).over(tile)}).filter("low <> high"))
-    met = checkpointed(classes.join(crowd.select("node").distinct(), "node"))
-    nodes = checkpointed(met.join(bitmaps(texts_of(docs, met, doc_id, text), n), "node"))
-    star = crowd.select(F.inline(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))))
-    pairs = checkpointed(star.filter("a <> b").distinct())
-    found = checkpointed(links(docs, pairs, nodes, n, percent, text, doc_id))
-    roots = checkpointed(components(found))
+    facts = checkpointed(describe(docs, n, percent, doc_id, text, heavy_elements(docs, n, text)))
+    crowd = checkpointed(crowded(facts))
+    nodes = distinct_sets(facts, crowd)
+    pairs = star_pairs(crowd, nodes, percent)
+    best = checkpointed(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
+    found = links(docs, best, nodes, n, percent, text, doc_id)
+    roots = components(found)
+    rest = checkpointed(apart(pairs.join(best, ["a", "b"], "left_anti"), roots))
+    star = lambda: roots.select(F.col("key").alias("a"), F.col("root").alias("b"))
+    if not rest.isEmpty():
+        roots = components(star().union(links(docs, rest, nodes, n, percent, text, doc_id)))
+    tried = None
     for each in (True, False):
-        rest = checkpointed(open_tiles(crowd, roots))
-        more = checkpointed(block_pairs(rest, nodes, percent, each).join(pairs, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        late = links(docs, more, nodes, n, percent, text, doc_id)
-        roots = checkpointed(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late)))
-        pairs = pairs.union(more)
-    named = roots.join(nodes.select("node", "id"), "node")
+        members = checkpointed(open_tiles(crowd, nodes, roots, percent))
+        more = block_pairs(members.filter(F.col("members") > LARGE) if each else members, nodes, percent, each)
+        more = checkpointed(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            roots = components(star().union(links(docs, more, nodes, n, percent, text, doc_id)))
+        tried = more
+    named = roots.join(nodes.select("key", "set", "id"), "key")
     names = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = named.join(names, "root").select("node", "component_id")
-    groups = facts.filter("size > 0").groupBy("set").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.xxhash64("set"))
-    moved = groups.join(linked, "node", "left").filter("copies > 1 or component_id is not null")
+    linked = named.join(names, "root").select(F.col("set").alias("_linked"), "component_id")
+    groups = facts.filter("size > 0").groupBy("set").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    moved = groups.join(linked, F.col("set") == F.col("_linked"), "left").filter("copies > 1 or component_id is not null")
     moved = moved.select(F.col("set").alias("_set"), F.coalesce("component_id", "class_id").alias("_component"))
-    out = facts.join(moved, F.col("set") == F.col("_set"), "left")
+    out = facts.select("id", "text_key", "size", "set").join(moved, F.col("set") == F.col("_set"), "left")
     return out.select(F.col("id").alias(doc_id), "text_key", F.col("size").alias("n_shingles"), F.coalesce("_component", "id").alias("component_id"))
 
 

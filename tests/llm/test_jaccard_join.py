@@ -121,7 +121,39 @@ def test_linked_sets_share_a_tile():
         assert linked > 1000
 
 
-def test_sets_with_too_few_filled_segments_meet_by_element(monkeypatch):
-    monkeypatch.setattr(jaccard_join, "_segments", lambda band, percent: 1)
-    one = np.arange(1, 41, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    assert set(jaccard_join.tiles(np.sort(one), 80)) & set(jaccard_join.tiles(np.sort(one[2:]), 80))
+def test_linked_sets_share_a_tile_whatever_is_frequent():
+    rng = np.random.default_rng(4)
+    for _ in range(500):
+        one = np.unique(rng.integers(0, 2**63, int(rng.integers(5, 200)), dtype=np.uint64))
+        heavy = np.sort(rng.choice(one, int(rng.integers(1, len(one))), replace=False))
+        place = rng.permutation(len(heavy)).astype(np.uint64) + np.uint64(1)
+        other = one[len(one) // 10 :]
+        if 100 * len(other) >= 90 * len(one):
+            assert set(jaccard_join.tiles(one, 90, heavy, place)) & set(jaccard_join.tiles(other, 90, heavy, place))
+    common = np.arange(1, 30, dtype=np.uint64)
+    rare = np.arange(1000, 1010, dtype=np.uint64)
+    assert set(jaccard_join.tiles(np.concatenate([common, rare]), 80, common, common)) <= set(rare.astype(np.int64))
+
+
+def test_frequent_elements_are_found_and_change_nothing(spark, monkeypatch):
+    """A line that all texts share, beside near copies; with and without knowing what is frequent."""
+    rng = random.Random(8)
+    line = " ".join(f"l{i}" for i in range(40))
+    rows = []
+    for i in range(40):
+        base = [f"d{i}w{k}" for k in range(60)]
+        rows += [(3 * i + j, f"{line} {edited(base, rng, j, ['x', 'y'])}") for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    heavy, place = jaccard_join.heavy_elements(docs.coalesce(1), 5)
+    assert set(jaccard_join.shingles(line, 5)) <= set(heavy) and sorted(place) == list(range(1, len(heavy) + 1))
+    want = brute(rows, 5, 80)
+    assert spark_result(spark, rows, 5, 80) == want
+    monkeypatch.setattr(jaccard_join, "MAX_HEAVY", 3)
+    assert spark_result(spark, rows, 5, 80) == want
+
+
+def test_sets_that_share_a_node_are_told_apart(spark, monkeypatch):
+    """With one hash bit left in the node, all sets of one size share two nodes."""
+    monkeypatch.setattr(jaccard_join, "SIZE_BITS", 62)
+    rows = [(4 * i + j, " ".join([f"d{i}w{k}" for k in range(60)] + [f"z{k}" for k in range(j)])) for i in range(12) for j in range(4)]
+    assert spark_result(spark, rows, 3, 90) == brute(rows, 3, 90)
