@@ -7,9 +7,10 @@ elements; those are the tiles of a set. The order decides how full tiles get, ne
 so the list of frequent elements may be bounded (``MAX_HEAVY``).
 
 All tiles of a text come from one pass, with its size, the name of its set and a hashed bitmap.
-Tiles that hold one set only (exact copies count as one) go first. In the others every member
-meets the tile's smallest and largest set. A first round settles one such pair a set, that with
-most tiles in common; a second one the pairs that still lie in different components. Members
+Tiles that hold one set only (exact copies count as one) go first; of tiles with the same members
+one stays. In these every member meets the tile's smallest and largest set. A first round settles
+one such pair a set, that with most tiles in common; a second one the pairs that still lie in
+different components. Members
 of tiles that hold several components even then are compared by size band (bands double, and a
 set also goes to the next one if a linked set may lie there), in blocks of at most ``BLOCK``
 against each other: large tiles first with one pair a member and block, so that a large group
@@ -31,6 +32,7 @@ name is the smallest id in it (null if it has none).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -82,12 +84,16 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A bit for each element, of a length that only the size's power of two decides: 2 to 4 bits an element, 256 to 2^20."""
-    bits = min(1 << 20, max(256, 1 << (2 * max(1, len(hashes)) - 1).bit_length()))
+    """A bit for each element, of a length that only the size's power of two decides: 16 to 32 bits an element, 256 to 65536; deflated."""
+    bits = min(65536, max(256, 1 << (16 * max(1, len(hashes)) - 1).bit_length()))
     at = (hashes >> np.uint64(20)).astype(np.int64) & (bits - 1)
     flags = np.zeros(bits, bool)
     flags[at] = True
-    return np.packbits(flags, bitorder="little").tobytes()
+    return zlib.compress(np.packbits(flags, bitorder="little").tobytes(), 1)
+
+
+def inflated(bits: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(bits), np.uint8)
 
 
 def folded(bits: np.ndarray, width: int) -> np.ndarray:
@@ -181,10 +187,19 @@ def _size_of(node: str) -> Column:
 
 
 def crowded(facts: DataFrame) -> DataFrame:
-    """(tile, node, low, high) of the tiles that hold several nodes; ``low`` and ``high`` are the smallest and largest."""
+    """(tile, node, low, high, same): members of the tiles that hold several nodes.
+
+    ``low`` and ``high`` are the smallest and largest node. Of tiles with the same members one
+    stays; ``same`` is their number.
+    """
     rows = facts.filter("size > 0").select(_node().alias("node"), F.explode("tiles").alias("tile"))
     ends = rows.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    return rows.join(ends.hint("shuffle_hash"), "tile").select("tile", "node", "low", "high")
+    members = checkpointed(rows.join(ends.select("tile").hint("shuffle_hash"), "tile"))
+    # sums of 32-bit hashes cannot overflow; exact copies add to them equally in all tiles
+    sums = [F.sum(F.xxhash64("node", F.lit(seed)).bitwiseAND(F.lit(0xFFFFFFFF))).alias(seed) for seed in ("first", "second")]
+    names = members.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members"), *sums)
+    one = names.groupBy("low", "high", "members", "first", "second").agg(F.min("tile").alias("tile"), F.count(F.lit(1)).alias("same"))
+    return checkpointed(members.join(one.select("tile", "low", "high", "same").hint("shuffle_hash"), "tile").select("tile", "node", "low", "high", "same").distinct())
 
 
 def distinct_sets(facts: DataFrame, crowd: DataFrame) -> DataFrame:
@@ -198,8 +213,8 @@ def distinct_sets(facts: DataFrame, crowd: DataFrame) -> DataFrame:
 def star_pairs(crowd: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b, n): keys of the pairs of a member and an end of its tile whose sizes fit, with the number of such tiles."""
     ends = F.array(F.struct(F.col("low").alias("x"), F.col("node").alias("y")), F.struct(F.col("node").alias("x"), F.col("high").alias("y")))
-    met = crowd.select(F.inline(ends)).filter((F.col("x") != F.col("y")) & (_size_of("x") * 100 >= _size_of("y") * percent))
-    met = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+    met = crowd.select(F.inline(ends), "same").filter((F.col("x") != F.col("y")) & (_size_of("x") * 100 >= _size_of("y") * percent))
+    met = met.groupBy("x", "y").agg(F.sum("same").alias("n"))
     ids = nodes.select("node", "key")
     named = met.join(ids.select(F.col("node").alias("x"), F.col("key").alias("a")), "x").join(ids.select(F.col("node").alias("y"), F.col("key").alias("b")), "y")
     return checkpointed(named.select("a", "b", "n"))
@@ -224,7 +239,7 @@ def _possible(percent: int):
                 least = enough(n, m, percent)
                 fits = min(n, m) >= least
                 if fits:
-                    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                    x, y = inflated(x), inflated(y)
                     width = min(len(x), len(y))
                     apart = int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum())
                     fits = (n + m - apart) // 2 >= least
@@ -255,9 +270,8 @@ def joined_twice(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> Data
 
 
 def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The pairs (a, b) of sets that link; only texts of pairs that the bound lets through are read again."""
-    near = joined_twice(pairs.select("a", "b"), nodes, ["size", "bits"]).filter(_possible(percent)("a_size", "b_size", "a_bits", "b_bits")).select("a", "b")
-    near = checkpointed(near)
+    """The pairs (a, b) of sets that link, by their elements; only their texts are read again."""
+    near = pairs.select("a", "b")
     wanted = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = texts_of(docs, checkpointed(nodes.join(wanted, "key").select("key", "id", "text_key")), doc_id, text)
 
@@ -269,6 +283,12 @@ def links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent:
     return checkpointed(joined_twice(near, sets, ["shingles"]).filter(_linked(percent)("a_shingles", "b_shingles")).select("a", "b"))
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps let through."""
+    known = joined_twice(pairs.select("a", "b"), nodes, ["size", "bits"])
+    return checkpointed(known.filter(_possible(percent)("a_size", "b_size", "a_bits", "b_bits")).select("a", "b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, root) for every key on an edge; ``root`` is the smallest key reachable.
 
@@ -309,13 +329,10 @@ def _bands(percent: int) -> Column:
 def open_tiles(crowd: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Members (tile, key, root, members) of banded tiles that hold several components, without the ends, which have met all others."""
     inner = crowd.filter("node <> low and node <> high").select("tile", "node").join(nodes.select("node", "key", "size"), "node")
-    banded = _with_root(inner, roots, "key", "root").select(F.explode(_bands(percent)).alias("band"), "tile", "key", "root")
-    banded = banded.select(F.xxhash64("tile", "band").alias("tile"), "key", "root").distinct()
-    # of tiles with the same members one is enough
-    names = (F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(seed) for seed in ("first", "second"))
-    facts = banded.groupBy("tile").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("members"), *names).filter("least <> most")
-    several = facts.groupBy("members", "first", "second").agg(F.min("tile").alias("tile")).select("tile", "members")
-    return banded.join(several.hint("shuffle_hash"), "tile")
+    known = _with_root(inner, roots, "key", "root").select(F.explode(_bands(percent)).alias("band"), "tile", "key", "root")
+    known = known.select(F.xxhash64("tile", "band").alias("tile"), "key", "root")
+    several = known.groupBy("tile").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("members")).filter("least <> most")
+    return known.join(several.select("tile", "members").hint("shuffle_hash"), "tile")
 
 
 def _apart(part: pd.DataFrame, percent: int, each: bool) -> np.ndarray:
@@ -327,8 +344,9 @@ def _apart(part: pd.DataFrame, percent: int, each: bool) -> np.ndarray:
     key, size, root, block = (part[c].to_numpy() for c in ("key", "size", "root", "block"))
     if (root == root[0]).all():
         return np.empty((0, 2), np.int64)
-    width = min(map(len, part["bits"]))
-    bits = np.stack([folded(np.frombuffer(x, np.uint8), width) for x in part["bits"]]).view(np.uint64)
+    maps = [inflated(x) for x in part["bits"]]
+    width = min(map(len, maps))
+    bits = np.stack([folded(x, width) for x in maps]).view(np.uint64)
     found = [np.empty((0, 2), np.int64)]
     for x in np.flatnonzero(block == i):
         ys = np.flatnonzero((block == j) & (root != root[x]) & (key > key[x] if i == j else True))
@@ -375,16 +393,15 @@ def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, each: bool =
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``text_key`` (xxhash64 of the text), ``n_shingles`` and ``component_id``."""
     facts = checkpointed(describe(docs, n, percent, doc_id, text, heavy_elements(docs, n, text)))
-    crowd = checkpointed(crowded(facts))
+    crowd = crowded(facts)
     nodes = distinct_sets(facts, crowd)
     pairs = star_pairs(crowd, nodes, percent)
     best = checkpointed(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"))
-    found = links(docs, best, nodes, n, percent, text, doc_id)
-    roots = components(found)
+    roots = components(links(docs, possible(best, nodes, percent), nodes, n, percent, text, doc_id))
     rest = checkpointed(apart(pairs.join(best, ["a", "b"], "left_anti"), roots))
     star = lambda: roots.select(F.col("key").alias("a"), F.col("root").alias("b"))
     if not rest.isEmpty():
-        roots = components(star().union(links(docs, rest, nodes, n, percent, text, doc_id)))
+        roots = components(star().union(links(docs, possible(rest, nodes, percent), nodes, n, percent, text, doc_id)))
     tried = None
     for each in (True, False):
         members = checkpointed(open_tiles(crowd, nodes, roots, percent))
