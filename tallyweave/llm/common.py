@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,11 +31,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of ``df`` from files that every executor can read.
 
     ``checkpoint()`` writes to the folder of spark.checkpoint.dir. Where a session has none
-    (tests on one machine) a folder under the warehouse is set first.
+    (tests on one machine) a folder under the warehouse is set first. Spark deletes the shuffle
+    files that led to the rows once the driver has collected its garbage, so that is asked for
+    here: a long chain of steps then holds the files of one step at a time.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    context._jvm.System.gc()
+    return out

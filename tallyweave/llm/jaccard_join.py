@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -46,6 +47,8 @@ from pyspark.sql import functions as F
 from tallyweave.llm.common import checkpointed
 
 BLOCK = 1024
+#: Parts by tile in which crowded tiles are looked for: each holds that share of all tile rows on disk.
+PASSES = 4
 #: Tiles of more members are first closed with one pair a member and block.
 LARGE = 64
 #: Some 30 bytes a row. Beyond, texts are joined to the sets they belong to by shuffle.
@@ -186,18 +189,25 @@ def _size_of(node: str) -> Column:
     return F.shiftright(node, 63 - SIZE_BITS)
 
 
+def _sums(member: str) -> list[Column]:
+    """Aggregates that name a group's members: sums of 32-bit hashes, which cannot overflow."""
+    return [F.sum(F.xxhash64(member, F.lit(seed)).bitwiseAND(F.lit(0xFFFFFFFF))).alias(seed) for seed in ("first", "second")]
+
+
 def crowded(facts: DataFrame) -> DataFrame:
     """(tile, node, low, high, same): members of the tiles that hold several nodes.
 
     ``low`` and ``high`` are the smallest and largest node. Of tiles with the same members one
     stays; ``same`` is their number.
     """
-    rows = facts.filter("size > 0").select(_node().alias("node"), F.explode("tiles").alias("tile"))
-    ends = rows.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    members = checkpointed(rows.join(ends.select("tile").hint("shuffle_hash"), "tile"))
-    # sums of 32-bit hashes cannot overflow; exact copies add to them equally in all tiles
-    sums = [F.sum(F.xxhash64("node", F.lit(seed)).bitwiseAND(F.lit(0xFFFFFFFF))).alias(seed) for seed in ("first", "second")]
-    names = members.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members"), *sums)
+    every = facts.filter("size > 0").select(_node().alias("node"), F.explode("tiles").alias("tile"))
+    parts = []
+    for nth in range(PASSES):  # one after the other, so that the shuffle files of one are gone before the next
+        rows = every.filter(F.pmod("tile", F.lit(PASSES)) == nth)
+        ends = rows.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+        parts.append(checkpointed(rows.join(ends.select("tile").hint("shuffle_hash"), "tile")))
+    members = reduce(DataFrame.union, parts)
+    names = members.groupBy("tile").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("members"), *_sums("node"))
     one = names.groupBy("low", "high", "members", "first", "second").agg(F.min("tile").alias("tile"), F.count(F.lit(1)).alias("same"))
     return checkpointed(members.join(one.select("tile", "low", "high", "same").hint("shuffle_hash"), "tile").select("tile", "node", "low", "high", "same").distinct())
 
@@ -331,8 +341,9 @@ def open_tiles(crowd: DataFrame, nodes: DataFrame, roots: DataFrame, percent: in
     inner = crowd.filter("node <> low and node <> high").select("tile", "node").join(nodes.select("node", "key", "size"), "node")
     known = _with_root(inner, roots, "key", "root").select(F.explode(_bands(percent)).alias("band"), "tile", "key", "root")
     known = known.select(F.xxhash64("tile", "band").alias("tile"), "key", "root")
-    several = known.groupBy("tile").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("members")).filter("least <> most")
-    return known.join(several.select("tile", "members").hint("shuffle_hash"), "tile")
+    several = known.groupBy("tile").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("members"), *_sums("key")).filter("least <> most")
+    one = several.groupBy("members", "first", "second").agg(F.min("tile").alias("tile"))
+    return known.join(one.select("tile", "members").hint("shuffle_hash"), "tile")
 
 
 def _apart(part: pd.DataFrame, percent: int, each: bool) -> np.ndarray:
