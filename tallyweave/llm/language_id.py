@@ -6,8 +6,10 @@ into blocks of ``BLOCK`` bytes, short enough that the dictionary matters in each
 is compressed with every dictionary, and the language with the smallest sum wins. A narrow
 margin between the two smallest sums is reported as a rejection, beside the best guess.
 
-The sample (``docs_per_lang`` texts of ``chars_per_doc`` characters, picked by hash order) is
-a documented bound on what the driver gathers; predictions cover whole texts. A null text or
+The sample (``docs_per_lang`` texts of ``chars_per_doc`` characters, picked by hash order, those
+of ``LONG_ENOUGH`` characters first) is a documented bound on what the driver gathers. A
+dictionary holds at most ``DICT_BYTES``, equal parts of all texts of the sample; predictions
+cover whole texts. Rows may repeat; a column ``language`` is replaced. A null text or
 one without a letter is ``und`` with score 0, as is everything when nothing is labelled. Equal
 sums go to the language with more labelled rows, then to the smaller name. The label
 columns are never read for a prediction.
@@ -29,6 +31,8 @@ UNKNOWN = "und"
 NO_LETTERS = re.compile(r"[\W\d_]+")
 BLOCK, LEVEL, DICT_BYTES = 256, 9, 48_000
 DOCS_PER_LANG, CHARS_PER_DOC, BUCKETS = 256, 1500, 32
+#: Characters of a text that is preferred in the sample.
+LONG_ENOUGH = 40
 #: Bytes of lead that make the winner e times as likely; margin below which a text is rejected.
 SCALE, MIN_MARGIN = 4.0, 0.01
 
@@ -41,11 +45,11 @@ def sample_texts(labelled: DataFrame, lang: str = "lang", text: str = "text", ke
     counts all labelled rows of the language.
     """
     each = max(1, docs_per_lang // BUCKETS)
-    # texts of some length teach more; short ones are no loss to the dictionary
-    rows = labelled.filter(F.col(lang).isNotNull() & (F.length(text) >= 40))
+    rows = labelled.filter(F.col(lang).isNotNull() & (F.length(text) > 0))
     rows = rows.select(F.col(lang).alias("lang"), F.substring(text, 1, chars_per_doc).alias("text"), F.xxhash64(key, F.lit("sample")).alias("_place"))
     bucket = F.pmod(F.col("_place"), F.lit(BUCKETS))
-    first = Window.partitionBy("lang", bucket).orderBy("_place", "text")
+    # texts of some length teach more; shorter ones fill up where a language has too few of them
+    first = Window.partitionBy("lang", bucket).orderBy(F.length("text") < LONG_ENOUGH, "_place", "text")
     kept = rows.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= each)
     counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("rows"))
     return kept.join(counts, "lang").orderBy("lang", "_place", "text").select("lang", "text", "rows").collect()
@@ -58,7 +62,17 @@ def dictionaries(rows: list, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
         texts.setdefault(r["lang"], []).append(letters(r["text"]))
     common = {r["lang"]: r["rows"] for r in rows}
     order = sorted(texts, key=lambda k: (-common[k], k))
-    return {k: " ".join(texts[k]).encode("utf-8", "surrogatepass")[:dict_bytes] for k in order}
+    return {k: " ".join(_equal_parts(texts[k], dict_bytes)).encode("utf-8", "surrogatepass")[:dict_bytes] for k in order}
+
+
+def _equal_parts(texts: list[str], most: int) -> list[str]:
+    """All texts, cut to equal lengths so that together they fill ``most`` bytes; what short ones leave goes to the others."""
+    sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+    left, share = most, {}
+    for nth, i in enumerate(sorted(range(len(texts)), key=sizes.__getitem__)):
+        share[i] = min(sizes[i], left // (len(texts) - nth))
+        left -= share[i] + 1  # and the blank between two texts
+    return [t[: max(1, len(t) * share[i] // max(1, sizes[i]))] for i, t in enumerate(texts)]
 
 
 def letters(text: str) -> str:

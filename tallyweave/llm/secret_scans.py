@@ -22,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterable
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -85,8 +87,19 @@ def corpus_ranks(docs: DataFrame, text: str = "text", most: int = MAX_WORDS) ->
     return ranks | {w: min(i, ranks.get(w, i)) for w, i in RANK.items()}
 
 
+def _lengths(least: int, most: int) -> Iterable[int]:
+    """All lengths, or those near both ends: in the middle of a longer run going on costs less than whatever else could start there."""
+    if most - least < 2 * LONGEST:
+        return range(least, most + 1)
+    return chain(range(least, least + LONGEST), range(most - LONGEST + 1, most + 1))
+
+
 def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
-    """The decimal logarithm of the guesses that the cheapest segmentation needs; 0 for ''."""
+    """The decimal logarithm of the guesses that the cheapest segmentation needs; 0 for ''.
+
+    A walk along a row costs its start and its length, a repetition of one character (three
+    times or more) or of a unit of up to six (twice or more) the unit and its number.
+    """
     n, low = len(value), value.lower()
     if len(low) != n:  # a letter whose lower case is longer
         low = value
@@ -98,7 +111,14 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
             for size in (10, 8, 4):
                 if DATE.fullmatch(low, i, i + size) and i + size <= n:
                     dates.setdefault(i, []).append(i + size)
-    run = walk = 0
+    # how far a walk goes on, and how far the text equals itself ``size`` places later
+    walks = [0] * (n + 1)
+    for i in range(n - 2, -1, -1):
+        walks[i] = walks[i + 1] + 1 if (low[i], low[i + 1]) in NEXT else 0
+    repeats = {size: [0] * (n + 1) for size in range(1, 7)}
+    for size, same in repeats.items():
+        for i in range(n - size - 1, -1, -1):
+            same[i] = same[i + 1] + 1 if low[i] == low[i + size] else 0
     for i in range(n):
         here = best[i]
         best[i + 1] = min(best[i + 1], here + _symbol_cost(value[i]))
@@ -113,25 +133,15 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
                 best[j] = min(best[j], here + cost)
         for j in dates.get(i, ()):
             best[j] = min(best[j], here + (math.log10(36525) if j - i > 4 else 2.0))
-        # runs are taken from their start; a walk or repetition of 3 or more costs its start and its length
-        if i >= run:
-            run = i + 1
-            while run < n and low[run] == low[i]:
-                run += 1
-        if run - i >= 3:
-            best[run] = min(best[run], here + _symbol_cost(value[i]) + math.log10(run - i))
-        if i >= walk:
-            walk = i + 1
-            while walk < n and (low[walk - 1], low[walk]) in NEXT:
-                walk += 1
-        if walk - i >= 3:
-            best[walk] = min(best[walk], here + 1.4 + math.log10(walk - i))
-        for size in (2, 3, 4, 5, 6):  # a unit of a few characters, again and again
-            if low[i : i + size] == low[i + size : i + 2 * size] and i + 2 * size <= n and (i < size or low[i - size : i] != low[i : i + size]):
-                j = i + 2 * size
-                while low[j : j + size] == low[i : i + size] and j + size <= n:
-                    j += size
-                best[j] = min(best[j], here + sum(map(_symbol_cost, value[i : i + size])) + math.log10((j - i) // size))
+        for length in _lengths(3, walks[i] + 1):
+            best[i + length] = min(best[i + length], here + 1.4 + math.log10(length))
+        for size, same in repeats.items():
+            if same[i] < size * (2 if size == 1 else 1):
+                continue
+            unit = sum(map(_symbol_cost, value[i : i + size]))
+            for times in _lengths(3 if size == 1 else 2, same[i] // size + 1):
+                j = i + size * times
+                best[j] = min(best[j], here + unit + math.log10(times))
     return best[n]
 
 

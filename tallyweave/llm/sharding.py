@@ -42,8 +42,9 @@ def shard_by_bytes(rows: DataFrame, shards: int, key: str = "doc_id", size: str
     cuts = _ranges(rows, key) or [0.0]  # an empty table has no quantiles
     splits = [-float("inf"), *cuts, float("inf")]
     number = rows.withColumn("_key", F.col(key).cast("double"))
-    bucket = Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep")  # null: the last range
-    placed = bucket.transform(number).withColumn("_range", F.col("_range").cast("int")).drop("_key")
+    bucket = Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep")
+    last = F.lit(len(splits) - 1)  # of null ids
+    placed = bucket.transform(number).withColumn("_range", F.coalesce(F.col("_range").cast("int"), last)).drop("_key")
     totals = sorted(placed.groupBy("_range").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).collect())
     total = sum(r["bytes"] for r in totals)
     offsets, so_far, n_far = [(0, 0)] * len(splits), 0, 0

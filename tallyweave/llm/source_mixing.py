@@ -73,3 +73,10 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
 def repeated(mixed: DataFrame) -> DataFrame:
     """The mix itself: each document ``copies`` times, without the helper columns."""
     return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("_copy", "source_size", "target", "copies")
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", **options: object) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with exactly the columns of ``docs``."""
+    made = ("source_size", "target", "copies")
+    kept = docs.select("*", F.struct(*docs.columns).alias("_row"), word_count(F.col(text)).alias("_size")).drop(*made)
+    return repeated(mix(kept, size="_size", **options)).select("_row.*")

@@ -53,6 +53,48 @@ def test_guess_costs():
     assert secret_scans.redact("pwd: abc", [(5, 8, "guess")]) == "pwd: [SECRET]"
 
 
+def _cheapest(value, ranks, memo):
+    """All segmentations tried, segment costs worked out anew."""
+    import math
+
+    if value not in memo:
+        low, plain = value.lower(), value.lower().translate(secret_scans.LEET)
+        symbol = lambda c: math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33)
+        costs = [0.0] if not value else []
+        for j in range(1, len(value) + 1):
+            part, options = low[:j], [symbol(value[0])] if j == 1 else []
+            upper = 0.5 * (value[:j] != part)
+            if j >= 3:
+                if part in ranks:
+                    options.append(math.log10(ranks[part]) + 0.3 + upper)
+                elif plain[:j] in ranks:
+                    options.append(math.log10(ranks[plain[:j]]) + 0.8 + upper)
+                if all(p in secret_scans.NEXT for p in zip(part, part[1:])):
+                    options.append(1.4 + math.log10(j))
+                if len(set(part)) == 1:
+                    options.append(symbol(value[0]) + math.log10(j))
+            if j in (4, 8, 10) and secret_scans.DATE.fullmatch(part):
+                options.append(math.log10(36525) if j > 4 else 2.0)
+            for unit in range(2, 7):
+                if j >= 2 * unit and j % unit == 0 and part == part[:unit] * (j // unit):
+                    options.append(sum(map(symbol, value[:unit])) + math.log10(j // unit))
+            if options:
+                costs.append(min(options) + _cheapest(value[j:], ranks, memo))
+        memo[value] = min(costs)
+    return memo[value]
+
+
+def test_guess_cost_is_the_least_over_all_segmentations():
+    import random
+
+    rng, memo = random.Random(11), {}
+    values = ["zxcvbnmonkey", "aaaadmin", "aaabaaab", "20240101", "Passw0rd", "abcabcabc", "qwerty12"]
+    values += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(9))) for alphabet in ("ab", "abc1", "qwe12", "asdmin", "paswordA0") for _ in range(150)]
+    for value in values:
+        assert abs(secret_scans.guess_cost(value) - _cheapest(value, secret_scans.RANK, memo)) < 1e-9, value
+    assert secret_scans.guess_cost("a" * 20_000 + "admin") < 10
+
+
 def test_guesses_in_prose_and_short_values(spark):
     prose = "An understanding of what is required comes from reading what others wrote."
     texts = [prose, "the password is required", "token: understanding", "pwd: aB3$xY9", "pwd: qmzjxvkwpdhr", "pwd: qmzjxvkwpdhr", "secret: abc", None]
@@ -150,6 +192,40 @@ def test_main_text_of_copies_sections_and_closed_graphics(spark):
     assert html_extraction.main_text(drawn, None) == "Before\nBetween\nAfter\nEnd"
 
 
+def test_shards_equal_one_running_sum(spark):
+    rows = spark.createDataFrame([(k if k % 9 else None, 1 + (k * 37) % 50, k % 4) for k in range(400)] * 2, "doc_id long, size long, text_crc32 long")
+    order = sorted(((k is None, k or 0, c, n) for k, n, c in rows.collect()))
+    total, before, want, slots = sum(r[3] for r in order), 0, [], Counter()
+    for none, k, c, n in order:
+        shard = min(6, (2 * before + n) * 7 // (2 * total))
+        want.append((none, k, c, n, shard, slots[shard]))
+        slots[shard] += 1
+        before += n
+    found = [(r["doc_id"] is None, r["doc_id"] or 0, r["text_crc32"], r["size"], r["shard"], r["slot"]) for r in sharding.shard_by_bytes(rows, 7).collect()]
+    assert sorted(found) == sorted(want)
+
+
+def test_mixed_documents_keep_all_columns(spark):
+    rows = [(i, "w " * (i % 5), "ab"[i % 2], "t", i, 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string, target string, copies int, source_size int")
+    mixed = source_mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    taken = Counter(map(tuple, mixed.collect()))
+    assert set(taken) <= set(rows) and max(taken.values()) <= 2 and sum(r[1].count("w") * n for r, n in taken.items()) > sum(r[1].count("w") for r in rows)
+
+
+def test_languages_with_short_texts_only_are_learnt(spark):
+    long = "the house of the rising sun is a song about a house in a town far away from here"
+    rows = [(i, f"{long} {i}", "en") for i in range(40)] + [(100 + i, ("bonjour le monde", "salut les amis", "merci beaucoup")[i % 3], "fr") for i in range(30)] + [(200, None, "de"), (201, "", "de")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    content = language_id.dictionaries(language_id.sample_texts(docs))
+    assert set(content) == {"en", "fr"} and all(w in content["fr"] for w in (b"bonjour", b"salut", b"merci"))
+    judge = language_id.Classifier(content)
+    assert judge.predict("bonjour les amis")[0] == "fr" and judge.predict("a song about the sun")[0] == "en"
+    parts = language_id._equal_parts(["a" * 100] * 10 + ["b"], 111)
+    assert len(parts) == 11 and parts[-1] == "b" and {len(p) for p in parts[:-1]} <= {9, 10}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, size long, text_crc32 long, target string")
     bench = spark.createDataFrame([], "item_id long, text string")
