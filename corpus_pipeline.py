@@ -35,8 +35,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate asks for: 150 % of all words, at most twice a source."""
-    sized = docs.withColumn("_size", source_mixing.word_count(F.col("text")))
-    return source_mixing.repeated(source_mixing.mix(sized, size="_size")).drop("_size")
+    return source_mixing.mixed_documents(docs)
 
 
 def cut_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

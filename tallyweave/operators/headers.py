@@ -75,7 +75,8 @@ def describe_columns(headers: DataFrame, group: str, index: str, header: str) ->
     same = Window.partitionBy(group, "normalized_header")
     named = headers.withColumn("normalized_header", F.trim(F.coalesce(header, F.lit(""))))
     marked = named.withColumns({"total": F.count(F.lit(1)).over(same), "occurrence": F.row_number().over(same.orderBy(index))})
-    return marked.withColumn("column_id", F.concat(F.lit("col_"), F.lpad((F.col(index) + 1).cast("string"), 3, "0")))
+    place = (F.col(index) + 1).cast("string")
+    return marked.withColumn("column_id", F.concat(F.lit("col_"), F.when(F.length(place) < 3, F.lpad(place, 3, "0")).otherwise(place)))
 
 
 def match_headers(headers: DataFrame, fields: dict[str, tuple[str, ...]] = V.FIELD_WORDS, veto: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

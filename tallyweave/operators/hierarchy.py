@@ -6,6 +6,9 @@ instead of rows squared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +41,36 @@ def by_code(rows: DataFrame, key: str, code: str, least: int = 1) -> DataFrame:
 def by_indent(rows: DataFrame, sheet: str, row: str, indent: str) -> DataFrame:
     """``rows`` with ``parent_row``, ``level`` and ``is_leaf`` from indents within each sheet.
 
-    The parent is the last earlier row with a smaller indent. Indents are few, so the last row
-    of each smaller indent is kept in a map while the window runs, instead of a self join.
+    The parent is the last earlier row with a smaller indent; ``level`` is 1 for rows without
+    one and the parent's level plus 1 otherwise. The open rows of a sheet form a stack of
+    strictly growing indents, which is all that is kept while its rows pass in order: time is
+    linear, and memory is the stack and one batch. Rows without an indent have no parent and
+    are no one's; of equal row numbers the smaller indent comes first.
     """
-    order = Window.partitionBy(sheet).orderBy(row)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list(F.struct(F.col(indent).alias("indent"), F.col(row).alias("row"))).over(before)
-    smaller = F.filter(earlier, lambda e: e["indent"] < F.col(indent))
-    found = rows.withColumn("parent_row", F.array_max(F.transform(smaller, lambda e: e["row"])))
+    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+    kind = rows.schema[row].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, stack = object(), []
+        for batch in batches:
+            parents, levels = [], []
+            for s, r, i in zip(*(batch.column(k).to_pylist() for k in (sheet, row, indent)), strict=True):
+                if s != here:
+                    here, stack = s, []
+                while i is not None and stack and stack[-1][0] >= i:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack and i is not None else None)
+                levels.append(len(stack) + 1 if i is not None else 1)
+                if i is not None:
+                    stack.append((i, r))
+            made = [pa.array(parents, batch.schema.field(row).type), pa.array(levels, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "parent_row", "level"])
+
+    order = Window.partitionBy(sheet).orderBy(row, indent)
     following = F.lead(indent).over(order)
-    return found.withColumn("is_leaf", F.coalesce(following <= F.col(indent), F.lit(True)))
+    marked = rows.withColumn("is_leaf", F.coalesce(following <= F.col(indent), F.lit(True)))
+    placed = marked.repartition(sheet).sortWithinPartitions(sheet, row, indent)
+    return placed.mapInArrow(walk, ", ".join([*names, "is_leaf boolean", f"parent_row {kind}", "level int"]))
 
 
 def merged(levels: Column, *choices: tuple[Column, Column]) -> Column:

@@ -132,10 +132,14 @@ def with_standard_facts(rows: DataFrame, name: str = "standard", mark: str = "s"
 
 
 def alias_matches(clients: DataFrame, chart: DataFrame, top: int = 5) -> DataFrame:
-    """Accounts of the client name's semantic group: (client, target, group_key, rank), shorter names first."""
-    left = with_name_facts(clients, "name", "c").select("client", F.col("c_group").alias("group_key")).filter("group_key is not null")
+    """Accounts of the client name's semantic group: (client, target, group_key, rank), shorter names first.
+
+    A name's group and its accounts are worked out once for each distinct name.
+    """
+    names = with_name_facts(clients.select("name").distinct(), "name", "c").select("name", F.col("c_group").alias("group_key")).filter("group_key is not null")
     wide = with_standard_facts(chart.filter("active"), "name").select(F.col("code").alias("target"), F.explode("s_groups").alias("group_key"), F.length("s_canonical").alias("size"))
-    return ranked(left.join(wide, "group_key"), ["client"], [F.col("size"), F.col("target")], top).select("client", "target", "group_key", "rank")
+    best = ranked(names.join(wide, "group_key"), ["name"], [F.col("size"), F.col("target")], top)
+    return clients.select("client", "name").join(best, "name").select("client", "target", "group_key", "rank")
 
 
 def crosswalk_matches(clients: DataFrame, crosswalk: DataFrame) -> DataFrame:

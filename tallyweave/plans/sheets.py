@@ -23,11 +23,25 @@ def header_left_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_header_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name")
+    found = headers.describe_columns(parts, "p_brand", "p_partkey", "p_name")
+    return found.select("p_partkey", F.substring("column_id", 1, 7).alias("column_id"), "occurrence", "total")
+
+
+def duplicate_header_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with whole column ids, also from the thousandth column on."""
     parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name")
     found = headers.describe_columns(parts, "p_brand", "p_partkey", "p_name")
     return found.select("p_partkey", "column_id", "occurrence", "total")
 
 
+def indent_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels by indent of each user's events; one user in seven has no indents at all."""
+    indent = F.when(F.col("user_id") % 7 != 0, (F.col("event_id") * 7 % 4).cast("int"))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", indent.alias("indent"))
+    return hierarchy.by_indent(events, "user_id", "event_id", "indent").select("event_id", "parent_row", "level", "is_leaf")
+
+
 def header_field_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spellings of header texts, varied by part key, against the known ones."""
     words = ("科目编码", "科目 名称", "凭证日期", "Debit Amount", "贷方金额(元)", "摘要说明", "年", "xyz", "辅助核算类型名称", "Voucher  No")
@@ -117,7 +131,7 @@ def option_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    asof_indent_parent, header_left_fill, duplicate_header_occurrence, header_field_match, sheet_parse, cascade_delete_counts, batch_list_with_counts, batch_list_all_counts, batch_list_word_counts,
+    asof_indent_parent, indent_levels, header_left_fill, duplicate_header_occurrence, duplicate_header_ids, header_field_match, sheet_parse, cascade_delete_counts, batch_list_with_counts, batch_list_all_counts, batch_list_word_counts,
     entries_filtered_sorted, paged_list_total, pii_scan, stratified_sample, extra_fields_pack, synthetic_group_path, option_lists,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -131,6 +145,15 @@ SELECT conv_id, turn, coalesce(last_value(nullif(cell, '') IGNORE NULLS) OVER (P
     "duplicate_header_occurrence": """
 SELECT p_partkey, 'col_' || substr(lpad((p_partkey + 1)::VARCHAR, greatest(3, length((p_partkey + 1)::VARCHAR))::INT, '0'), 1, 3) AS column_id,
   CAST(row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS INTEGER) AS occurrence, count(*) OVER (PARTITION BY p_brand, p_name) AS total FROM part""",
+    "duplicate_header_ids": """
+SELECT p_partkey, 'col_' || lpad((p_partkey + 1)::VARCHAR, greatest(3, length((p_partkey + 1)::VARCHAR))::INT, '0') AS column_id,
+  CAST(row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS INTEGER) AS occurrence, count(*) OVER (PARTITION BY p_brand, p_name) AS total FROM part""",
+    "indent_levels": """
+WITH RECURSIVE e AS (SELECT user_id, event_id, CASE WHEN user_id % 7 <> 0 THEN event_id * 7 % 4 END AS ind FROM events),
+nx AS (SELECT *, lead(ind) OVER (PARTITION BY user_id ORDER BY event_id) AS f FROM e),
+up AS (SELECT a.event_id, (SELECT max(b.event_id) FROM e b WHERE b.user_id = a.user_id AND b.event_id < a.event_id AND b.ind < a.ind) AS parent_row, coalesce(f <= ind, true) AS is_leaf FROM nx a),
+deep AS (SELECT event_id, 1 AS level FROM up WHERE parent_row IS NULL UNION ALL SELECT up.event_id, level + 1 FROM up JOIN deep ON up.parent_row = deep.event_id)
+SELECT event_id, parent_row, CAST(level AS INTEGER) AS level, is_leaf FROM up JOIN deep USING (event_id)""",
     "sheet_parse": """
 SELECT o_orderkey // 50 AS sheet, 1 AS header_row, 3 AS data_row, '科目编码|科目名称|期末余额_借方|期末余额_贷方' AS headers, count(*) AS n_rows, max((o_orderkey + 1000)::VARCHAR) AS last_code FROM orders GROUP BY 1""",
     "cascade_delete_counts": "SELECT 'raw_rows' AS table_name, count(*) AS n_deleted FROM orders WHERE o_orderkey % 100 = 7 UNION ALL SELECT 'entries', count(*) FROM lineitem WHERE l_orderkey % 100 = 7",

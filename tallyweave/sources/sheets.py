@@ -117,10 +117,21 @@ def read_sheets(spark: SparkSession, path: str, encoding: str | None = None) ->
 
 
 def large_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(file, row_index, cells) of csv files that Spark splits; ``row_index`` follows the file."""
-    rows = spark.read.option("encoding", encoding).option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").csv(path)
-    cells = F.transform(F.array(*rows.columns), lambda c: F.coalesce(c, F.lit("")))
-    placed = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"), cells.alias("cells"))
+    """(file, row_index, cells) of csv files that Spark splits; ``row_index`` follows the file.
+
+    Every line is split by itself, so rows may differ in their number of cells (a title line
+    above the table, say). Line breaks inside quotes cannot be told from row ends where files
+    are split; such files go through ``read_sheets``.
+    """
+    lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows = ([c.strip() for c in next(csv.reader([line.removeprefix("﻿")]), [])] for line in batch)
+            yield pd.Series(list(rows), dtype=object)
+
+    cells = F.pandas_udf(split, "array<string>")("value")
+    placed = lines.select("file", F.monotonically_increasing_id().alias("_at"), cells.alias("cells"))
     kept = placed.filter(F.exists("cells", lambda c: c != ""))
     # places grow inside a partition and over partitions; counting needs each partition's start only
     part = F.shiftright("_at", 33)

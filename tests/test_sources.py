@@ -29,6 +29,12 @@ def test_csv_and_xlsx(spark, tmp_path):
     }
 
 
+def test_large_csv_keeps_all_cells_below_a_title_line(spark, tmp_path):
+    (tmp_path / "titled.csv").write_text('年度报表\n科目编码, 科目名称,金额\n1001,"现金, 库存",5\n')
+    rows = sorted(sheets.large_csv(spark, str(tmp_path / "titled.csv")).select("row_index", "cells").collect())
+    assert [r["cells"] for r in rows] == [["年度报表"], ["科目编码", "科目名称", "金额"], ["1001", "现金, 库存", "5"]]
+
+
 def test_large_csv_keeps_order(spark, tmp_path):
     (tmp_path / "big.csv").write_text("".join(f"{i},x{i}\n" if i % 3 else ",\n" for i in range(1, 2000)))
     rows = sorted(sheets.large_csv(spark, str(tmp_path / "big.csv")).select("row_index", "cells").collect())
