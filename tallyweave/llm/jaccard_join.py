@@ -6,6 +6,13 @@ found often, rarest first. Two sets that link share one of their first ``size -
 elements; those are the tiles of a set. The order decides how full tiles get, never what links,
 so the list of frequent elements may be bounded (``MAX_HEAVY``).
 
+From a similarity of ``SEGMENTS_FROM`` percent on, linked sets differ in so few elements that a
+tile can name several at once, which fewer sets share by chance: hash space is cut into segments,
+whose number the size band fixes, and a tile is the whole content of one. If ``d`` is the most
+elements in which a set can differ from a partner in the band, its first ``d + 1`` segments that
+have content are its tiles. Of two linked sets, take the one whose tiles reach less far: each
+differing element spoils one segment at most, so one of its tiles is the other's too.
+
 All tiles of a text come from one pass, with its size, the name of its set and a hashed bitmap.
 Tiles that hold one set only (exact copies count as one) go first; of tiles with the same members
 one stays. In these every member meets the tile's smallest and largest set. A first round settles
@@ -32,6 +39,8 @@ name is the smallest id in it (null if it has none).
 
 from __future__ import annotations
 
+import functools
+import math
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -51,6 +60,8 @@ BLOCK = 1024
 PASSES = 4
 #: Tiles of more members are first closed with one pair a member and block.
 LARGE = 64
+#: The similarity in percent from which tiles are segments of several elements instead of single ones.
+SEGMENTS_FROM = 85
 #: Some 30 bytes a row. Beyond, texts are joined to the sets they belong to by shuffle.
 MAX_BROADCAST_NODES = 1_000_000
 #: Elements counted at a time in a worker, how often one must occur among them to be reported, and how many of those reported are sent back.
@@ -109,7 +120,7 @@ def enough(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def tiles(hashes: np.ndarray, percent: int, heavy: np.ndarray = NO_HEAVY, place: np.ndarray = NO_HEAVY) -> np.ndarray:
+def element_tiles(hashes: np.ndarray, percent: int, heavy: np.ndarray = NO_HEAVY, place: np.ndarray = NO_HEAVY) -> np.ndarray:
     """The elements of a set one of which any linked set has among its own; ``heavy`` are the frequent elements, sorted, with their places in the order."""
     size = len(hashes)
     if not size:
@@ -123,6 +134,53 @@ def tiles(hashes: np.ndarray, percent: int, heavy: np.ndarray = NO_HEAVY, place:
     return hashes[np.lexsort((_mixed(hashes), late))[:count]].astype(np.int64)
 
 
+def _differ(size: int, top: int, percent: int) -> int:
+    """The most elements in which a set can differ from a linked one of at most ``top`` elements."""
+    return (size + min(100 * size // percent, top)) * (100 - percent) // (100 + percent)
+
+
+@functools.cache
+def _segments(band: int, percent: int) -> int:
+    """Into how many segments a band cuts hash space: the least that leaves almost no set short of tiles."""
+    low, top = 1 << band, (2 << band) - 1
+    sizes = (max(1, low * percent // 100), low, top)
+    count = _differ(top, top, percent) + 1
+    while count < 4 * top + 16:
+        empty = [math.exp(-n / count) for n in sizes]
+        spread = [math.sqrt(count * e * max(0.0, 1 - (1 + n / count) * e)) for n, e in zip(sizes, empty, strict=True)]
+        if all(count * (1 - e) - 4 * x > _differ(n, top, percent) for n, e, x in zip(sizes, empty, spread, strict=True)):
+            break
+        count += 1 + count // 64
+    return count
+
+
+def segment_tiles(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """The first segments with content, in a set's own size band and in each further one where it may have a partner."""
+    size, found = len(hashes), []
+    band = size.bit_length() - 1
+    while size and (size >> band or (percent << band) <= 100 * size):
+        differ, count = _differ(size, (2 << band) - 1, percent), _segments(band, percent)
+        name = _mixed(np.array([band], np.uint64))
+        band += 1
+        if not differ:  # only equal sets link in this band: the tile is the whole set
+            found.append(_mixed(_mixed(hashes + _A).sum(keepdims=True) + name))
+            continue
+        segment = (_mixed(hashes ^ _B) % np.uint64(count)).astype(np.int64)
+        order = np.argsort(segment, kind="stable")
+        filled, starts = np.unique(segment[order], return_index=True)
+        # the sum of mixed hashes names a segment's content
+        sums = np.add.reduceat(_mixed(hashes[order] + _A), starts)[: differ + 1]
+        found.append(_mixed(sums + filled[: differ + 1].astype(np.uint64) * _B + name))
+        if len(filled) <= differ:  # two such sets may agree in empty segments only, but share an element
+            found.append(_mixed(hashes * _A + name + _C))
+    return np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
+
+
+def tiles(hashes: np.ndarray, percent: int, heavy: np.ndarray = NO_HEAVY, place: np.ndarray = NO_HEAVY) -> np.ndarray:
+    """The tiles of a set: any linked set has one of them."""
+    return segment_tiles(hashes, percent) if percent >= SEGMENTS_FROM else element_tiles(hashes, percent, heavy, place)
+
+
 def heavy_elements(docs: DataFrame, n: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Elements that occur in many texts, sorted, and their places from 1, rarest first: at most MAX_HEAVY numbers each, from all texts.
 
@@ -403,7 +461,8 @@ def block_pairs(members: DataFrame, nodes: DataFrame, percent: int, each: bool =
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``text_key`` (xxhash64 of the text), ``n_shingles`` and ``component_id``."""
-    facts = checkpointed(describe(docs, n, percent, doc_id, text, heavy_elements(docs, n, text)))
+    heavy = (NO_HEAVY, NO_HEAVY) if percent >= SEGMENTS_FROM else heavy_elements(docs, n, text)
+    facts = checkpointed(describe(docs, n, percent, doc_id, text, heavy))
     crowd = crowded(facts)
     nodes = distinct_sets(facts, crowd)
     pairs = star_pairs(crowd, nodes, percent)

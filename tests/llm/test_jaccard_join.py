@@ -152,6 +152,19 @@ def test_frequent_elements_are_found_and_change_nothing(spark, monkeypatch):
     assert spark_result(spark, rows, 5, 80) == want
 
 
+def test_both_kinds_of_tiles_give_the_same(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for size in (6, 25, 70, 130, 260):
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        rows += [(len(rows) + i, edited(base, rng, i // 3, vocabulary)) for i in range(12)]
+    want = brute(rows, 3, 90)
+    for start in (0, 101):
+        monkeypatch.setattr(jaccard_join, "SEGMENTS_FROM", start)
+        assert spark_result(spark, rows, 3, 90) == want
+
+
 def test_sets_that_share_a_node_are_told_apart(spark, monkeypatch):
     """With one hash bit left in the node, all sets of one size share two nodes."""
     monkeypatch.setattr(jaccard_join, "SIZE_BITS", 62)
