@@ -50,6 +50,14 @@ def business_reconciliation(rows: DataFrame, measures: list[str], into: str = "r
     return flat.withColumn("difference", gap).withColumn("reconciled", F.abs("difference") <= F.lit(tolerance).cast(MONEY))
 
 
+def legacy_reconciliation(rows: DataFrame, measures: list[str], into: str = "row_class") -> DataFrame:
+    """Per measure: source (all rows but summaries), entry, ignored, zero_skip and what is left between them."""
+    side = lambda m, c: F.coalesce(F.sum(F.when(F.col(into).isin(*c), F.col(m))), F.lit(0)).cast(TOTAL)
+    parts = [F.struct(F.lit(m).alias("measure"), side(m, ["eligible", "ignored", "zero_amount"]).alias("source"), side(m, ["eligible"]).alias("entry"), side(m, ["ignored"]).alias("ignored"), side(m, ["zero_amount"]).alias("zero_skip")) for m in measures]
+    flat = rows.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
+    return flat.withColumn("difference", (F.col("source") - F.col("entry") - F.col("ignored") - F.col("zero_skip")).cast(TOTAL))
+
+
 def duplicate_aggregates(parents: DataFrame, children: DataFrame, key: str, measures: list[str], tolerance: str = "0.01") -> DataFrame:
     """Parents that equal the sum of their direct leaf children in every measure, one of them not zero."""
     sums = children.groupBy(key).agg(*(F.coalesce(F.sum(m), F.lit(0)).cast(TOTAL).alias(f"sum_{m}") for m in measures), F.count(F.lit(1)).alias("n_children"))

@@ -35,10 +35,10 @@ def upsert_mappings(held: DataFrame, incoming: DataFrame, key: str, target: str,
     Repeated incoming rows of a key count as one, the smallest target first.
     """
     new = incoming.groupBy(key).agg(F.min_by(F.struct(target, "confidence"), F.struct(target, "confidence")).alias("new"))
-    both = held.filter("active").join(new, key, "full_outer")
+    both = held.filter("active").withColumn("_held", F.lit(True)).join(new, key, "full_outer")
     old_rows = held.filter("not active").select(key, target, "uses", "confidence", "active", F.lit("retired").alias("action"))
     same = F.col(target).eqNullSafe(F.col(f"new.{target}"))
-    kind = F.when(F.col("new").isNull(), "unchanged").when(F.col(target).isNull(), "inserted").when(same, "reused").otherwise("replaced" if overwrite else "conflict")
+    kind = F.when(F.col("new").isNull(), "unchanged").when(F.col("_held").isNull(), "inserted").when(same, "reused").otherwise("replaced" if overwrite else "conflict")
     acted = both.withColumn("action", kind)
     fresh = F.struct(F.col(f"new.{target}").alias(target), F.lit(1).cast("long").alias("uses"), F.col("new.confidence").alias("confidence"), F.lit(True).alias("active"), F.col("action").alias("action"))
     kept = F.struct(F.col(target), F.col("uses").cast("long").alias("uses"), F.col("confidence"), F.lit(True).alias("active"), F.col("action").alias("action"))
@@ -48,6 +48,32 @@ def upsert_mappings(held: DataFrame, incoming: DataFrame, key: str, target: str,
     return acted.select(key, F.inline(rows)).unionByName(old_rows)
 
 
+def batch_upsert(held: DataFrame, incoming: DataFrame, target: str) -> DataFrame:
+    """``incoming`` (code, name, target, overwrite) with the held row it meets, as ``held_target``, and ``action``.
+
+    A held row is met by code and name, else by code alone (its name empty), else by name alone
+    (its code empty). ``action``: no_identifier, created, reused, conflict or replaced. Three
+    equi-joins; held keys are unique after trimming, the smallest target first.
+    """
+    trimmed = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    old = held.select(trimmed("code").alias("_c"), trimmed("name").alias("_n"), F.col(target).alias("_t")).groupBy("_c", "_n").agg(F.min("_t").alias("_t"))
+    found = incoming.withColumns({"_code": trimmed("code"), "_name": trimmed("name")})
+    met = []
+    for i, (code, name) in enumerate(((F.col("_code"), F.col("_name")), (F.col("_code"), F.lit("")), (F.lit(""), F.col("_name")))):
+        side = old.select(F.col("_c").alias(f"_c{i}"), F.col("_n").alias(f"_n{i}"), F.struct(F.col("_t").alias("target")).alias(f"_met{i}"))
+        found = found.join(side, (code == F.col(f"_c{i}")) & (name == F.col(f"_n{i}")) & ((code != "") | (name != "")), "left").drop(f"_c{i}", f"_n{i}")
+        met.append(f"_met{i}")
+    hit = F.coalesce(*met)
+    action = (
+        F.when((F.col("_code") == "") & (F.col("_name") == ""), "no_identifier")
+        .when(hit.isNull(), "created")
+        .when(hit["target"].eqNullSafe(F.col(target)), "reused")
+        .when(F.col("overwrite"), "replaced")
+        .otherwise("conflict")
+    )
+    return found.withColumns({"held_target": hit["target"], "action": action}).drop("_code", "_name", *met)
+
+
 def full_sync(held: DataFrame, incoming: DataFrame, key: str, columns: list[str], deactivate: bool = True) -> DataFrame:
     """The new snapshot with ``active`` and ``action``: created, updated, unchanged, reactivated, deactivated or kept."""
     old = held.select(key, *(F.col(c).alias(f"old_{c}") for c in columns), F.col("active").alias("was_active"), F.lit(True).alias("held"))

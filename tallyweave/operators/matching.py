@@ -142,6 +142,31 @@ def alias_matches(clients: DataFrame, chart: DataFrame, top: int = 5) -> DataFra
     return clients.select("client", "name").join(best, "name").select("client", "target", "group_key", "rank")
 
 
+def anchor_matches(anchors: DataFrame, chart: DataFrame, top: int = 5) -> DataFrame:
+    """(client, target, exact, rank): accounts whose plain name is the client's anchor, then those that contain it.
+
+    Containment is an equi-join: a chart name gives each of its substrings as a key, and names
+    are short. Anchors are made distinct first. Active accounts come first, then lower codes.
+    """
+    plain = chart.select(F.col("code").alias("target"), "active", N.canonical_name(F.col("name")).alias("canonical")).filter("canonical <> ''")
+    size = F.length("canonical")
+    starts = plain.withColumn("start", F.explode(F.sequence(F.lit(1), size)))
+    keyed = starts.withColumn("length", F.explode(F.sequence(F.lit(1), size - F.col("start") + 1)))
+    parts = keyed.select("target", "active", F.substring("canonical", F.col("start"), F.col("length")).alias("anchor_key"), (F.col("length") == size).alias("exact"))
+    folded = anchors.select("client", N.canonical_name(F.col("anchor")).alias("anchor_key")).filter("anchor_key <> ''")
+    hits = folded.select("anchor_key").distinct().join(parts, "anchor_key").groupBy("anchor_key", "target", "active").agg(F.bool_or("exact").alias("exact"))
+    best = ranked(hits, ["anchor_key"], [F.col("exact").desc(), F.col("active").desc(), F.col("target")], top)
+    return folded.join(best, "anchor_key").select("client", "target", "exact", "rank")
+
+
+def code_class_anchors(clients: DataFrame) -> DataFrame:
+    """(client, anchor): the name that stands for the class of the client's code, by the longest known prefix."""
+    code, anchor = N.normalize_code(F.col("code")), F.lit(None).cast("string")
+    for prefix in sorted(V.CODE_ANCHORS, key=lambda p: (len(p), p)):
+        anchor = F.when(code.startswith(prefix), V.CODE_ANCHORS[prefix]).otherwise(anchor)
+    return clients.select("client", anchor.alias("anchor")).filter("anchor is not null")
+
+
 def crosswalk_matches(clients: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """(client, target): the old code itself, else its first segment, else its longest known prefix."""
     code = N.normalize_code(F.col("code"))

@@ -14,10 +14,12 @@ def containing(columns: list[str], word: str) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.lower(c), F.lit(low)), F.lit(False)) for c in columns))
 
 
-def filtered(rows: DataFrame, equal: dict[str, object] | None = None, between: dict[str, tuple] | None = None, words: dict[str, str] | None = None) -> DataFrame:
+def filtered(rows: DataFrame, equal: dict[str, object] | None = None, between: dict[str, tuple] | None = None, words: dict[str, str] | None = None, among: dict[str, list] | None = None) -> DataFrame:
     """Rows that meet all conditions given; values of None are no condition."""
     for column, value in (equal or {}).items():
         rows = rows if value is None else rows.filter(F.col(column) == value)
+    for column, values in (among or {}).items():
+        rows = rows if values is None else rows.filter(F.col(column).isin(*values))
     for column, (low, high) in (between or {}).items():
         rows = rows if low is None else rows.filter(F.col(column) >= low)
         rows = rows if high is None else rows.filter(F.col(column) <= high)
