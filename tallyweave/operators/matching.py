@@ -317,12 +317,30 @@ def safe_rollup(client_code: Column, standard_code: Column, active: Column, fits
     return F.coalesce(allowed & (by_anchor | by_name | by_class | by_code), F.lit(False))
 
 
+def with_fallbacks(found: DataFrame, weak: DataFrame) -> DataFrame:
+    """``found`` with the candidates of the weak sources that may stand beside them.
+
+    None goes to a client whose code meets another account exactly, and none to an account that
+    a stronger source names already. A similar name for the same account gives way to it; weak
+    sources stand beside each other.
+    """
+    similar, late = F.col("source") == "name_similarity", F.col("_weak")
+    client, pair = Window.partitionBy("client"), Window.partitionBy("client", "target")
+    rows = found.withColumn("_weak", F.lit(False)).unionByName(weak.withColumn("_weak", F.lit(True)))
+    # a client has some dozens of candidates at most, and one shuffle by client serves every window
+    exact = F.collect_set(F.when(F.col("source") == "code_match", F.col("target"))).over(client)
+    marked = rows.withColumns({"_exact": exact, "_strong": F.bool_or(~late & ~similar).over(pair)})
+    elsewhere = F.size(F.array_except("_exact", F.array("target"))) > 0
+    kept = marked.filter(~(late & (elsewhere | F.col("_strong")))).withColumn("_met", F.bool_or("_weak").over(pair))
+    return kept.filter(~(similar & F.col("_met"))).select(*found.columns)
+
+
 def recommend(clients: DataFrame, chart: DataFrame, history: DataFrame | None = None, crosswalk: DataFrame | None = None, top: int = 10) -> DataFrame:
     """Ranked candidates of every client (client, code, name) from a chart (code, name, active).
 
     Sources run over distinct (code, name) pairs and fan back out, since uploads repeat them.
-    A crosswalk counts only where nothing stronger was found; broader accounts by code prefix
-    are never safe unless the roll-up test says so.
+    A crosswalk counts only where nothing stronger was found; accounts by code prefix, by code
+    class or by an anchor in the name are never safe unless the roll-up test says so.
     """
     distinct = clients.select("code", "name").distinct().withColumn("client", F.sha2(F.concat_ws("|", F.coalesce("code", F.lit("")), F.coalesce("name", F.lit(""))), 256))
     # names are worked out once on either side; a pair then only compares columns
@@ -348,12 +366,19 @@ def recommend(clients: DataFrame, chart: DataFrame, history: DataFrame | None =
     coded = distinct.select("client", N.normalize_code(F.col("code")).alias("code"))
     above = ranked(prefixes(coded, "client", "code", 4).withColumnRenamed("prefix", "target").join(accounts.select("target", "active"), "target"), ["client"], [F.length("target").desc(), F.col("active").desc()], 3).select("client", "target")
     rolled = judged(above).withColumn("safe_up", safe_rollup(F.col("client_code"), F.col("standard_code"), F.col("active"), F.col("compat") == "compatible"))
-    parts.append(rolled.select("client", "target", *candidate("code_prefix_parent", F.when(F.col("safe_up"), 0.92).otherwise(0.85), F.when(~F.col("safe_up"), F.lit("broader account")), F.col("safe_up"), F.when(F.col("safe_up"), F.lit("compatible")).otherwise(F.col("compat")))))
+    weak = [rolled.select("client", "target", *candidate("code_prefix_parent", F.when(F.col("safe_up"), 0.92).otherwise(0.85), F.when(~F.col("safe_up"), F.lit("broader account")), F.col("safe_up"), F.when(F.col("safe_up"), F.lit("compatible")).otherwise(F.col("compat"))))]
+    anchored = (("code_category_anchor", code_class_anchors(distinct)), ("name_anchor", facts.select("client", F.col("c_anchor").alias("anchor"))))
+    for source, anchors in anchored:
+        near = judged(anchor_matches(anchors.filter("anchor is not null"), chart).drop("rank"))
+        safe = safe_rollup(F.col("client_code"), F.col("standard_code"), F.col("active"), F.col("compat") == "compatible")
+        near = near.withColumn("safe_up", safe)
+        why = F.when(~F.col("safe_up"), F.coalesce(stopped, F.lit("anchor only")))
+        weak.append(near.select("client", "target", *candidate(source, F.when(F.col("safe_up"), 0.92).otherwise(0.86), why, F.col("safe_up"), F.when(F.col("safe_up"), "compatible").otherwise("unknown"))))
     if history is not None:
         kept = judged(history_matches(distinct, history)).withColumn("rule", history_conflict(F.col("client_name"), F.col("standard"), F.col("target")))
         clean = F.col("rule").isNull()
         parts.append(kept.select("client", "target", *candidate(F.when(clean, "company_history").otherwise("history_conflict"), F.when(clean, 1.0).otherwise(0.75), F.when(~clean, F.lit("history contradicts the name")), clean & F.col("active"), F.when(clean, F.lit("compatible")).otherwise("conflict"))))
-    found = reduce(DataFrame.unionByName, parts)
+    found = with_fallbacks(reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, weak))
     if crosswalk is not None:
         open_ones = distinct.join(found.filter(F.col("source") != "name_similarity").select("client").distinct(), "client", "left_anti")
         old = judged(crosswalk_matches(open_ones, crosswalk))
