@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.session import checkpointed
+
 
 def prefixes(rows: DataFrame, key: str, code: str, least: int = 1) -> DataFrame:
     """(key, code, prefix) for every proper prefix of at least ``least`` characters."""
@@ -85,7 +87,8 @@ def closure(edges: DataFrame, child: str, parent: str, max_depth: int = 12) -> D
     """(node, ancestor, distance) for every node and each of its ancestors, itself included.
 
     One join a level; a node is never entered twice, so cycles end. ``max_depth`` bounds the
-    levels and deeper chains raise an error rather than being cut.
+    levels and deeper chains raise an error rather than being cut. Each level is written once,
+    so that neither the next one nor the test for its end works it out again.
     """
     step = edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).filter("up is not null")
     nodes = edges.select(F.col(child).alias("node")).union(step.select("up")).distinct()
@@ -94,6 +97,7 @@ def closure(edges: DataFrame, child: str, parent: str, max_depth: int = 12) -> D
     for depth in range(1, max_depth + 1):
         now = now.join(step.withColumnRenamed("node", "ancestor"), "ancestor").filter(~F.array_contains("seen", F.col("up")))
         now = now.select("node", F.col("up").alias("ancestor"), F.lit(depth).alias("distance"), F.array_append("seen", F.col("up")).alias("seen"))
+        now = checkpointed(now)
         if now.isEmpty():
             break
         out = out.union(now)

@@ -36,3 +36,11 @@ def bench_dir() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """A folder that driver and executors share: spark.checkpoint.dir or, without one, the warehouse."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from files in the session's checkpoint folder; one in the shared folder is set where it has none."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
+    return df.checkpoint(eager=True)
