@@ -74,6 +74,44 @@ def batch_upsert(held: DataFrame, incoming: DataFrame, target: str) -> DataFrame
     return found.withColumns({"held_target": hit["target"], "action": action}).drop("_code", "_name", *met)
 
 
+# Targets that name no field, and the confirmations that count.
+NO_FIELD = ("ignore", "__ignore__", "")
+CONFIRMED = ("user_confirmed", "user_corrected")
+
+
+def upsert_field_experience(held: DataFrame, confirmed: DataFrame, fields: list[str]) -> DataFrame:
+    """The new snapshot: (lookup_key, target_field, use_count, success_count, conflict_count, active, action).
+
+    ``confirmed``: lookup_key, header, target_field, confirmation. Only what a person confirmed
+    or corrected, for one of ``fields`` and with a header, counts. The same target adds a use
+    and a success to the active row; another one adds a use and a conflict, retires it and puts
+    a new row beside it. Several confirmations of a key count as one, the smallest target.
+    """
+    usable = ~F.col("target_field").isin(*NO_FIELD) & F.col("target_field").isin(*fields) & F.col("confirmation").isin(*CONFIRMED) & (F.coalesce("header", F.lit("")) != "")
+    new = confirmed.filter(usable).groupBy("lookup_key").agg(F.min("target_field").alias("_new"))
+    counts = ("use_count", "success_count", "conflict_count")
+    shown = ("lookup_key", "target_field", *counts, "active")
+    old = held.filter("active").withColumn("_held", F.lit(True)).join(new, "lookup_key", "full_outer")
+    kind = F.when(F.col("_new").isNull(), "unchanged").when(F.col("_held").isNull(), "created").when(F.col("target_field") == F.col("_new"), "reused").otherwise("replaced")
+    acted = old.withColumn("_kind", kind)
+
+    def row(target: Column, add: tuple[int, int, int] | None, active: bool, action: Column | str) -> Column:
+        number = (lambda c, n: F.col(c) + n) if add is not None else (lambda c, n: F.lit(n))
+        values = [number(c, n).cast("long").alias(c) for c, n in zip(counts, add or (1, 1, 0), strict=True)]
+        said = action if isinstance(action, Column) else F.lit(action)
+        return F.struct(target.alias("target_field"), *values, F.lit(active).alias("active"), said.alias("action"))
+
+    same, given = F.col("target_field"), F.col("_new")
+    made = (
+        F.when(F.col("_kind") == "unchanged", F.array(row(same, (0, 0, 0), True, "unchanged")))
+        .when(F.col("_kind") == "reused", F.array(row(same, (1, 1, 0), True, "reused")))
+        .when(F.col("_kind") == "created", F.array(row(given, None, True, "created")))
+        .otherwise(F.array(row(same, (1, 0, 1), False, "retired"), row(given, None, True, "replaced")))
+    )
+    rest = held.filter("not active").select(*shown[:2], *(F.col(c).cast("long").alias(c) for c in counts), "active", F.lit("unchanged").alias("action"))
+    return acted.select("lookup_key", F.inline(made)).unionByName(rest)
+
+
 def full_sync(held: DataFrame, incoming: DataFrame, key: str, columns: list[str], deactivate: bool = True) -> DataFrame:
     """The new snapshot with ``active`` and ``action``: created, updated, unchanged, reactivated, deactivated or kept."""
     old = held.select(key, *(F.col(c).alias(f"old_{c}") for c in columns), F.col("active").alias("was_active"), F.lit(True).alias("held"))

@@ -130,3 +130,57 @@ def propagate_confirmed(confirmed: DataFrame, up: DataFrame, stops: DataFrame) -
     hits = up.join(marks, "ancestor")
     near = hits.groupBy("node").agg(F.min_by(F.struct("ancestor", "target", "stop", "distance"), F.struct("distance", ~F.col("stop"))).alias("near"))
     return near.filter("not near.stop and near.distance > 0").select("node", "near.target", F.col("near.ancestor").alias("source_node"))
+
+
+def discover_anchors(nodes: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, found) by signals alone: ignored, structural, anchor, breakpoint or inherited.
+
+    ``nodes``: node, parent, level (1 for roots), name, ignored, role (as ``node_role``) and
+    signal (the target that code, name or history points at, or null). Below nothing, or below
+    a structural row, a node is an anchor and passes its signal on. Under a target, another
+    signal breaks, and so does a name that is the opposite of the name of the first node with
+    that target, below which anchors start anew. An ignored row ends the walk; what lies below
+    it is an anchor by its role only.
+    """
+    keep = keep or (lambda df: df.checkpoint())
+    deepest = nodes.agg(F.max("level")).first()[0] or 0
+    if deepest > MAX_LEVELS:
+        raise ValueError(f"the tree is deeper than {MAX_LEVELS} levels")
+    named = nodes.filter("signal is not null").groupBy(F.col("signal").alias("above")).agg(F.min_by("name", "node").alias("target_name"))
+    state, out = None, None
+    for level in range(1, deepest + 1):
+        here = nodes.filter(F.col("level") == level)
+        if state is None:
+            here = here.withColumns({"reached": F.lit(True), "above": F.lit(None).cast("string")})
+        else:
+            here = here.join(state.select(F.col("node").alias("parent"), "reached", F.col("passes").alias("above")), "parent", "left")
+        here = here.join(named, "above", "left").withColumn("reached", F.coalesce("reached", F.lit(True)) & ~F.col("ignored"))
+        free = F.col("reached") & (F.col("role") != "structural_summary")
+        # an empty text stands for an anchor above that has no signal of its own
+        under = free & F.coalesce(F.col("above") != "", F.lit(False))
+        first = free & F.col("above").isNull()
+        turned = under & F.coalesce(F.col("signal") != F.col("above"), F.lit(False))
+        opposed = under & F.col("signal").isNull() & N.opposite(F.col("name"), F.col("target_name"), V.DIRECTION_OPPOSITES)
+        passes = F.when(~free | opposed, None).when(first | turned, F.coalesce("signal", F.lit(""))).otherwise(F.col("above"))
+        found = (
+            F.when(F.col("ignored"), "ignored")
+            .when(F.col("role") == "structural_summary", "structural")
+            .when(turned | opposed, "breakpoint")
+            .when(first | (F.col("role") == "account_anchor_candidate"), "anchor")
+            .otherwise("inherited")
+        )
+        state = keep(here.select("node", "reached", passes.alias("passes"), found.alias("found")))
+        out = state if out is None else out.union(state)
+    return nodes.selectExpr("node", "cast(null as string) found") if out is None else out.select("node", "found")
+
+
+def plan_leaves(plan: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, target, resolved) of the leaves that take part in the entry; a row without a target holds the import back.
+
+    ``plan`` as from ``mapping_plan``; ``nodes`` have node, ignored, is_summary and participates.
+    Ignored rows, summaries and structural rows are no such leaves.
+    """
+    leaves = nodes.filter("not ignored and not is_summary and participates").select("node")
+    met = leaves.join(plan, "node").filter("role <> 'structural_summary'")
+    usable = F.col("role").isin("anchor", "breakpoint", "inherited", "explicit_override") & F.col("target").isNotNull()
+    return met.select("node", F.when(usable, F.col("target")).alias("target"), usable.alias("resolved"))
