@@ -65,4 +65,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
 
-ORACLES = {"op1_url_filters": OP1, "op3_source_mixing": OP3, "op4_decontamination": OP4}
+_TERMS = rf"regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+sizes AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS every FROM docs WHERE len(terms) > 0),
+held AS (
+  SELECT r, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT r, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM docs) GROUP BY r, doc_id, n, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, sizes GROUP BY term),
+impacts AS (
+  SELECT r, doc_id, held.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // every))) AS impact
+  FROM held JOIN weights ON held.term = weights.term, sizes),
+items AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS terms FROM benchmark),
+asked AS (SELECT i, item_id, unnest(terms) AS term FROM items),
+scores AS (
+  SELECT i, item_id, r, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts ON asked.term = impacts.term
+  GROUP BY i, item_id, r, doc_id HAVING sum(impact) > 0)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank FROM scores)
+WHERE rank <= 20"""
+
+ORACLES = {"op11_ranked_search": OP11, "op1_url_filters": OP1, "op3_source_mixing": OP3, "op4_decontamination": OP4}

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import (
     decontamination,
+    embedding_whitening,
     html_extraction,
     jaccard_join,
     language_id,
     media_columns,
     oracles,
     quality_classifier,
+    quality_rules,
+    ranked_search,
     secret_scans,
     sharding,
     source_mixing,
@@ -87,6 +90,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.search(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = checkpointed(quality_rules.text_facts(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = quality_rules.judged(facts, quality_rules.estimate(facts))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    kept = ~failed & (F.col("probability") >= quality_rules.THRESHOLD)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *counts, failed.alias("base_failed"), kept.alias("kept"), "probability")
+
+
 _ALL = (
     op1_url_filters,
     op2_secret_scans,
@@ -98,6 +119,9 @@ _ALL = (
     op8_quality_classifier,
     op9_html_extraction,
     op10_jaccard_join,
+    op11_ranked_search,
+    op12_embedding_whitening,
+    op13_quality_rules,
 )
 QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 ORACLES = oracles.ORACLES
