@@ -73,9 +73,17 @@ def contains_any(text: Column, words: tuple[str, ...] | list[str]) -> Column:
     return _any_in(tuple(words), text)
 
 
+def _words(words: tuple[str, ...] | list[str]) -> Column:
+    return F.array(*map(F.lit, words))
+
+
+def _first(found: Column) -> Column:
+    return F.get(found, F.lit(0))
+
+
 def name_anchor(name: Column) -> Column:
     """The first anchor, in order of precedence, that is part of the name."""
-    return F.coalesce(*(F.when(F.contains(name, F.lit(a)), F.lit(a)) for a in V.NAME_ANCHORS))
+    return _first(F.filter(_words(V.NAME_ANCHORS), lambda a: F.contains(name, a)))
 
 
 def is_reserve(name: Column) -> Column:
@@ -95,21 +103,30 @@ def semantic_group(whole: Column, words: Column) -> Column:
     found = found.when(first == "投资收益", "investment_income").when(first == "其他收益", "other_income")
     for group, root in V.ROOT_GROUPS:
         found = found.when(F.contains(first, F.lit(root)), group)
-    for group, spellings, _, _ in V.SEMANTIC_GROUPS:
-        hit = F.arrays_overlap(words, F.array(*map(F.lit, spellings))) | whole.rlike(f"^({'|'.join(spellings)})")
-        found = found.when(hit, group)
-    return found
+    # a table walked in order: as one CASE the spellings outgrow what Spark can compile
+    spelled = F.array(*(F.struct(F.lit(g).alias("group"), _words(s).alias("of")) for g, s, _, _ in V.SEMANTIC_GROUPS))
+    hit = F.filter(spelled, lambda g: F.arrays_overlap(words, g["of"]) | F.exists(g["of"], lambda s: F.startswith(whole, s)))
+    return found.otherwise(_first(hit)["group"])
 
 
 def groups_of_standard(canonical: Column) -> Column:
     """The groups of which a chart name has a spelling and nothing that conflicts."""
-    marks = (F.when(contains_any(canonical, own) & ~contains_any(canonical, against), key) for key, _, own, against in V.SEMANTIC_GROUPS)
-    return F.array_compact(F.array(*marks))
+    table = F.array(*(F.struct(F.lit(g).alias("group"), _words(own).alias("of"), _words(against or [""]).alias("against")) for g, _, own, against in V.SEMANTIC_GROUPS))
+    has = lambda words: F.exists(words, lambda w: (w != "") & F.contains(canonical, w))
+    return F.filter(table, lambda g: has(g["of"]) & ~has(g["against"]))["group"]
 
 
 def groups_against_standard(canonical: Column) -> Column:
     """The groups that a chart name conflicts with."""
-    return F.array_compact(F.array(*(F.when(contains_any(canonical, against), key) for key, _, _, against in V.SEMANTIC_GROUPS)))
+    table = F.array(*(F.struct(F.lit(g).alias("group"), _words(against).alias("against")) for g, _, _, against in V.SEMANTIC_GROUPS if against))
+    return F.filter(table, lambda g: F.exists(g["against"], lambda w: F.contains(canonical, w)))["group"]
+
+
+def class_anchor(folded_code: Column) -> Column:
+    """The name that stands for the class of a code, by the longest known prefix."""
+    listed = sorted(V.CODE_ANCHORS.items(), key=lambda p: (-len(p[0]), p[0]))
+    table = F.array(*(F.struct(F.lit(p).alias("prefix"), F.lit(a).alias("anchor")) for p, a in listed))
+    return _first(F.filter(table, lambda r: F.startswith(folded_code, r["prefix"])))["anchor"]
 
 
 def opposite(one: Column, other: Column, pairs: tuple[tuple[str, str], ...]) -> Column:

@@ -154,6 +154,12 @@ ACCOUNT_ANCHORS = (
     "未分配利润", "本年利润", "利润分配", "生产成本", "制造费用", "主营业务收入", "其他业务收入", "营业外收入", "主营业务成本", "其他业务成本",
     "销售费用", "管理费用", "财务费用", "营业外支出", "所得税费用", "研发费用", "开发支出",
 )
+# Words of a name that point at a signal group, the first that fits, and the accounts of each group.
+SIGNAL_WORDS = {"累计折旧": "accumulated_depreciation", "固定资产原值": "fixed_asset_cost", "坏账准备": "bad_debt", "费用化支出": "rd_expense", "资本化支出": "rd_capital"}
+SIGNAL_CODES = {
+    "rd_expense": ("6602", "660201", "660202"), "rd_capital": ("1704", "170401"), "accumulated_depreciation": ("1602",), "fixed_asset_cost": ("1601", "160101"),
+    "bad_debt": ("1231", "112402", "112403"), "accounts_receivable": ("1122", "112201"), "accounts_payable": ("2202",),
+}
 CATEGORY_WORDS = (
     ("asset", ("现金", "存款", "应收", "预付", "存货", "固定", "无形", "投资", "货币")),
     ("liability", ("应付", "预收", "借款", "应交", "应付职工")),

@@ -1,26 +1,22 @@
-"""Matching client accounts to a chart: candidate sources, ranking and the decision.
+"""Matching client accounts to a chart: the joins behind the sources, compatibility, ranking and the decision.
 
-Every source gives rows (client, target, source, score, warning, auto, compatibility). The
-chart is a dimension; sources that test each client name against each chart name take it in
-chunks of ``MAX_SENT_CHART`` rows, and clients are made distinct first.
+Each source is an equi-join on folded codes or names, their parts, prefixes or signs; what they say together is in
+``recommend``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tallyweave.functions import names as N
 from tallyweave.functions import vocabulary as V
 from tallyweave.operators.hierarchy import prefixes
 
-MAX_SENT_CHART = 5000
-COLUMNS = ("client", "target", "source", "score", "warning", "auto", "compatibility")
-
 
 def candidate(source: str | Column, score: float | Column, warning: str | Column | None = None, auto: bool | Column = False, compatibility: str | Column = "unknown") -> list[Column]:
     """The columns that follow (client, target)."""
@@ -59,27 +55,55 @@ def name_matches(clients: DataFrame, chart: DataFrame, top: int = 5) -> DataFram
     return ranked(hits, ["client", "how"], [F.col("size").desc(), F.col("active").desc(), F.col("target")], top).select("client", "target", "how", "rank")
 
 
-def similar_names(clients: DataFrame, chart: DataFrame, least: float = 0.6, top: int = 5) -> DataFrame:
-    """(client, target, similarity, rank) of the most similar chart names.
+def bag_tokens(name: Column) -> Column:
+    """The signs of a name as a set: each with its number among equal ones."""
+    signs = F.split(name, "")
+    return F.transform(signs, lambda c, i: F.concat(c, F.size(F.filter(F.slice(signs, F.lit(1), i + 1), lambda d: d == c)).cast("string")))
+
+
+def shared_signs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left, right): pairs of names whose bags of signs overlap by at least ``least`` of their mean size.
 
-    Distinct client names meet the chart, a dimension sent in chunks; only hits leave the workers.
+    An inverted index with a prefix filter: of a name of n signs at least m = n * least / (2 - least) must be
+    met by any partner, so the two share a sign among the first n - m + 1, signs taken in one order for
+    all, the rarest in the chart first. Lengths bound the rest, and the overlap itself is counted before a pair leaves.
     """
-    wanted = clients.select("client", N.normalize_name(F.col("name")).alias("folded")).filter(F.length("folded") >= 2)
-    distinct = wanted.select("folded").distinct()
-    rows = chart.select("code", N.canonical_name(F.col("name")).alias("name")).filter("name <> ''").orderBy("code")
-    standard = [(r["code"], r["name"]) for r in rows.toLocalIterator()]
+    share = least / (2 - least)
+    tokens = lambda df, name: df.select(F.col(name).alias("name")).filter("name <> ''").distinct().withColumn("tokens", bag_tokens(F.col("name")))
+    ours, theirs = tokens(left, "name"), tokens(right, "name")
+    often = theirs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+    def keyed(named: DataFrame) -> DataFrame:
+        met = named.select("name", F.explode("tokens").alias("token")).join(often, "token", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")))
+        sets = met.groupBy("name").agg(order["token"].alias("tokens"))
+        size = F.size("tokens")
+        first = size - F.ceil(size * share - 1e-9).cast("int") + 1
+        return sets.select("name", "tokens", F.explode(F.slice("tokens", F.lit(1), F.greatest(first, F.lit(1)))).alias("token"))
+
+    one, other = keyed(ours), keyed(theirs).withColumnsRenamed({"name": "other", "tokens": "other_tokens"})
+    n, m = F.size("tokens"), F.size("other_tokens")
+    met = one.join(other, "token").filter(F.least(n, m) >= F.greatest(n, m) * share - 1e-9)
+    enough = 2 * F.size(F.array_intersect("tokens", "other_tokens")) >= (n + m) * least - 1e-9
+    return met.filter(enough).select("name", "other").distinct()
 
-    def compare(part: list[tuple[str, str]]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                hits = [(a, code, r) for a in batch["folded"] for code, b in part if (r := N.ratio(a, b, least)) >= least]
-                yield pd.DataFrame(hits, columns=["folded", "target", "similarity"])
 
-        return run
+@F.pandas_udf(DoubleType())
+def _ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for names, others in batches:
+        yield pd.Series([N.ratio(a, b) for a, b in zip(names, others, strict=True)], dtype="float64")
 
-    chunks = [standard[i : i + MAX_SENT_CHART] for i in range(0, len(standard), MAX_SENT_CHART)] or [[]]
-    found = reduce(DataFrame.union, (distinct.mapInPandas(compare(c), "folded string, target string, similarity double") for c in chunks))
-    best = ranked(found, ["folded"], [F.col("similarity").desc(), F.col("target")], top)
+
+def similar_names(clients: DataFrame, chart: DataFrame, least: float = 0.6, top: int = 5) -> DataFrame:
+    """(client, target, similarity, rank) of the most similar chart names, of two signs and more; active accounts first among equals.
+
+    The matched signs of two names are part of the overlap of their bags, so pairs below the bound cannot reach ``least``.
+    """
+    wanted = clients.select("client", N.normalize_name(F.col("name")).alias("folded")).filter(F.length("folded") >= 2)
+    standard = chart.select(F.col("code").alias("target"), "active", N.normalize_name(F.col("name")).alias("other")).filter("other <> ''")
+    pairs = shared_signs(wanted.select(F.col("folded").alias("name")), standard.select(F.col("other").alias("name")), least)
+    near = pairs.withColumn("similarity", _ratio("name", "other")).filter(F.col("similarity") >= least)
+    best = ranked(near.withColumnRenamed("name", "folded").join(standard, "other"), ["folded"], [F.desc("similarity"), F.desc("active"), F.col("target")], top)
     return wanted.join(best, "folded").select("client", "target", "similarity", "rank")
 
 
@@ -131,15 +155,20 @@ def with_standard_facts(rows: DataFrame, name: str = "standard", mark: str = "s"
     )
 
 
+def alias_hits(facts: DataFrame, chart: DataFrame, top: int = 5) -> DataFrame:
+    """(client, target, group_key, rank): active accounts of the group ``c_group`` of a client, shorter names first."""
+    wide = with_standard_facts(chart.filter("active"), "name").select(F.col("code").alias("target"), F.explode("s_groups").alias("group_key"), F.length("s_canonical").alias("size"))
+    best = ranked(wide, ["group_key"], [F.col("size"), F.col("target")], top)
+    return facts.select("client", F.col("c_group").alias("group_key")).join(best, "group_key").select("client", "target", "group_key", "rank")
+
+
 def alias_matches(clients: DataFrame, chart: DataFrame, top: int = 5) -> DataFrame:
     """Accounts of the client name's semantic group: (client, target, group_key, rank), shorter names first.
 
-    A name's group and its accounts are worked out once for each distinct name.
+    A name's group is worked out once for each distinct name.
     """
-    names = with_name_facts(clients.select("name").distinct(), "name", "c").select("name", F.col("c_group").alias("group_key")).filter("group_key is not null")
-    wide = with_standard_facts(chart.filter("active"), "name").select(F.col("code").alias("target"), F.explode("s_groups").alias("group_key"), F.length("s_canonical").alias("size"))
-    best = ranked(names.join(wide, "group_key"), ["name"], [F.col("size"), F.col("target")], top)
-    return clients.select("client", "name").join(best, "name").select("client", "target", "group_key", "rank")
+    names = with_name_facts(clients.select("name").distinct(), "name", "c").select("name", "c_group").filter("c_group is not null")
+    return alias_hits(clients.select("client", "name").join(names, "name"), chart, top)
 
 
 def anchor_matches(anchors: DataFrame, chart: DataFrame, top: int = 5) -> DataFrame:
@@ -161,47 +190,26 @@ def anchor_matches(anchors: DataFrame, chart: DataFrame, top: int = 5) -> DataFr
 
 def code_class_anchors(clients: DataFrame) -> DataFrame:
     """(client, anchor): the name that stands for the class of the client's code, by the longest known prefix."""
-    code, anchor = N.normalize_code(F.col("code")), F.lit(None).cast("string")
-    for prefix in sorted(V.CODE_ANCHORS, key=lambda p: (len(p), p)):
-        anchor = F.when(code.startswith(prefix), V.CODE_ANCHORS[prefix]).otherwise(anchor)
-    return clients.select("client", anchor.alias("anchor")).filter("anchor is not null")
-
-
-def crosswalk_matches(clients: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """(client, target): the old code itself, else its first segment, else its longest known prefix."""
-    code = N.normalize_code(F.col("code"))
-    first = F.get(F.split(F.trim("code"), r"[.\-/]"), F.lit(0))
-    coded = clients.select("client", code.alias("code"), F.coalesce(first, F.lit("")).alias("first"))
-    tries = coded.select("client", F.inline(F.array(F.struct(F.lit(2).alias("tier"), F.col("code").alias("old")), F.struct(F.lit(1).alias("tier"), F.col("first").alias("old")))))
-    tries = tries.union(prefixes(coded, "client", "code", 3).select("client", F.lit(0).alias("tier"), F.col("prefix").alias("old")))
-    hits = tries.join(crosswalk, "old")
-    return hits.groupBy("client").agg(F.max_by("target", F.struct("tier", F.length("old"))).alias("target"))
-
+    return clients.select("client", N.class_anchor(N.normalize_code(F.col("code"))).alias("anchor")).filter("anchor is not null")
 
-def history_matches(clients: DataFrame, history: DataFrame) -> DataFrame:
-    """(client, target, by_code): the mapping kept for the code or, failing that, for the name; most used, then latest."""
-    kept = history.filter("active").select("code", F.col("name").alias("old_name"), "target", "used", "last_used")
-    on_code = clients.join(kept.withColumnRenamed("code", "old_code"), F.col("code") == F.col("old_code")).select("client", "target", "used", "last_used", F.lit(True).alias("by_code"))
-    on_name = clients.join(kept.drop("code"), F.col("name") == F.col("old_name")).select("client", "target", "used", "last_used", F.lit(False).alias("by_code"))
-    best = ranked(on_code.union(on_name), ["client"], [F.col("by_code").desc(), F.col("used").desc(), F.col("last_used").desc(), F.col("target")], 1)
-    return best.select("client", "target", "by_code")
 
-
-def with_compatibility(pairs: DataFrame, code: str = "target", standard: str = "standard", parent: bool = False, path: bool = False, into: str = "compat") -> DataFrame:
+def with_compatibility(pairs: DataFrame, code: str = "target", standard: str = "standard", parent: bool = False, path: bool = False, ancestors: bool = False, into: str = "compat") -> DataFrame:
     """``pairs`` with compatible, conflict or unknown, by the first of the ordered rules that decides.
 
     Needs the facts of the client name (mark ``c``) and the chart name (``s``), and those of the
-    parent's name (``p``) and the full path (``h``) where the flags say that there are any.
+    parent's name (``p``), the full path (``h``) and the ancestors (``a_group``, ``a_any``) where the flags say that there are any.
     """
     none, no = F.lit(None).cast("string"), F.lit(False)
     name, own, canonical = F.col("c_norm"), F.col("s_norm"), F.col("s_canonical")
     parent_group = F.col("p_group") if parent else none
+    above_group = F.col("a_group") if ancestors else none
     path_group, path_norm, path_reserve, path_anchor = (F.col(f"h_{k}") for k in ("group", "norm", "reserve", "anchor")) if path else (none, F.lit(""), no, none)
     spread = F.array_union("c_words", "h_words") if path else F.col("c_words")
     research_words = ("研发支出", "研发费用")
     pairs = pairs.withColumns(
         {
-            "_group": F.coalesce("c_group", parent_group, path_group),
+            "_group": F.coalesce("c_group", parent_group, above_group, path_group),
+            "_near": F.coalesce("c_group", parent_group, path_group),
             "_mine": F.col("c_reserve") | path_reserve,
             "_anchor": N.normalize_name(F.coalesce("c_anchor", path_anchor)),
             "_inside": F.exists("c_parts", lambda t: (t != "") & F.contains(canonical, t)),
@@ -215,7 +223,7 @@ def with_compatibility(pairs: DataFrame, code: str = "target", standard: str = "
     to_capital = F.contains(F.col(code), F.lit("170401")) | F.contains(canonical, F.lit("研发支出资本化"))
     to_expense = F.contains(F.col(code), F.lit("170402")) | F.contains(canonical, F.lit("研发支出费用化"))
     plain_research = (name == "研发支出") & (F.contains(F.col(code), F.lit("660201")) | F.contains(F.col(standard), F.lit("研发费用")))
-    orphan = F.lit(True) if not parent else F.col("p_norm") == ""
+    orphan = (F.col("p_norm") == "" if parent else F.lit(True)) & (~F.col("a_any") if ancestors else F.lit(True))
     grouped = group.isNotNull() & F.array_contains("s_groups", group)
     longer = F.startswith(F.col("c_canonical"), canonical) & (F.length("c_canonical") > F.length(canonical))
     begins = (F.length(canonical) > 0) & (longer | F.array_contains("c_parts", canonical))
@@ -233,12 +241,12 @@ def with_compatibility(pairs: DataFrame, code: str = "target", standard: str = "
         .when((anchor != "") & (canonical != "") & ~plain_research & ~F.contains(canonical, anchor) & ~F.col("_inside"), "conflict")
         .when(research & expensed & to_capital, "conflict")
         .when(research & capitalised & to_expense, "conflict")
-        .when(undecided & group.isNull() & (name == "研发支出"), "unknown")
+        .when(undecided & F.col("_near").isNull() & (name == "研发支出"), "unknown")
         .when(undecided & F.contains(name, F.lit("研发费用")) & to_capital, "conflict")
         .when(begins, "compatible")
         .otherwise("unknown")
     )
-    return pairs.withColumn(into, rule).drop("_group", "_mine", "_anchor", "_inside", "_research", "_expensed", "_capitalised")
+    return pairs.withColumn(into, rule).drop("_group", "_near", "_mine", "_anchor", "_inside", "_research", "_expensed", "_capitalised")
 
 
 def history_conflict(client: Column, standard: Column, standard_code: Column) -> Column:
@@ -274,10 +282,8 @@ def is_safe(target: str = "target") -> Column:
 
 
 def priority(source: Column) -> Column:
-    found = F.lit(9)
-    for name, place in V.SOURCE_PRIORITY.items():
-        found = F.when(source == name, place).otherwise(found)
-    return found
+    known = F.create_map(*(F.lit(x) for pair in V.SOURCE_PRIORITY.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, source), F.lit(9))
 
 
 def rank_candidates(candidates: DataFrame, top: int = 10) -> DataFrame:
@@ -306,82 +312,10 @@ def safe_rollup(client_code: Column, standard_code: Column, active: Column, fits
     anchor = N.normalize_name(F.col("c_anchor"))
     by_anchor = (anchor != "") & F.startswith(canonical, anchor)
     by_name = (canonical != "") & (F.startswith(F.col("c_canonical"), canonical) | F.array_contains("c_parts", canonical))
-    category = F.lit(None).cast("string")
-    for prefix in sorted(V.CODE_ANCHORS, key=lambda p: (len(p), p)):
-        category = F.when(client_code.startswith(prefix), N.normalize_name(F.lit(V.CODE_ANCHORS[prefix]))).otherwise(category)
+    category = N.normalize_name(N.class_anchor(client_code))
     placeholder = name.isin(*V.PLACEHOLDER_NAMES)
-    by_class = ~placeholder & F.coalesce(F.startswith(canonical, category), F.lit(False)) & fits
+    by_class = ~placeholder & (category != "") & F.startswith(canonical, category) & fits
     below = F.startswith(client_code, standard_code) & F.substring(client_code, F.length(standard_code) + 1, F.length(client_code)).rlike(r"^\d+$")
     by_code = ~placeholder & (standard_code != "") & (client_code != standard_code) & below & fits
     allowed = active & (name != "") & ~(F.col("s_reserve") & ~F.col("c_reserve"))
     return F.coalesce(allowed & (by_anchor | by_name | by_class | by_code), F.lit(False))
-
-
-def with_fallbacks(found: DataFrame, weak: DataFrame) -> DataFrame:
-    """``found`` with the candidates of the weak sources that may stand beside them.
-
-    None goes to a client whose code meets another account exactly, and none to an account that
-    a stronger source names already. A similar name for the same account gives way to it; weak
-    sources stand beside each other.
-    """
-    similar, late = F.col("source") == "name_similarity", F.col("_weak")
-    client, pair = Window.partitionBy("client"), Window.partitionBy("client", "target")
-    rows = found.withColumn("_weak", F.lit(False)).unionByName(weak.withColumn("_weak", F.lit(True)))
-    # a client has some dozens of candidates at most, and one shuffle by client serves every window
-    exact = F.collect_set(F.when(F.col("source") == "code_match", F.col("target"))).over(client)
-    marked = rows.withColumns({"_exact": exact, "_strong": F.bool_or(~late & ~similar).over(pair)})
-    elsewhere = F.size(F.array_except("_exact", F.array("target"))) > 0
-    kept = marked.filter(~(late & (elsewhere | F.col("_strong")))).withColumn("_met", F.bool_or("_weak").over(pair))
-    return kept.filter(~(similar & F.col("_met"))).select(*found.columns)
-
-
-def recommend(clients: DataFrame, chart: DataFrame, history: DataFrame | None = None, crosswalk: DataFrame | None = None, top: int = 10) -> DataFrame:
-    """Ranked candidates of every client (client, code, name) from a chart (code, name, active).
-
-    Sources run over distinct (code, name) pairs and fan back out, since uploads repeat them.
-    A crosswalk counts only where nothing stronger was found; accounts by code prefix, by code
-    class or by an anchor in the name are never safe unless the roll-up test says so.
-    """
-    distinct = clients.select("code", "name").distinct().withColumn("client", F.sha2(F.concat_ws("|", F.coalesce("code", F.lit("")), F.coalesce("name", F.lit(""))), 256))
-    # names are worked out once on either side; a pair then only compares columns
-    facts = with_name_facts(distinct.select("client", F.col("name").alias("client_name"), N.normalize_code(F.col("code")).alias("client_code")), "client_name", "c")
-    accounts = with_standard_facts(chart.select(F.col("code").alias("target"), F.col("name").alias("standard"), "active", N.normalize_code(F.col("code")).alias("standard_code")))
-
-    def judged(hits: DataFrame) -> DataFrame:
-        return with_compatibility(hits.join(facts, "client").join(accounts, "target"))
-
-    stopped = F.when(~F.col("active"), F.lit("account is not active"))
-    fits = F.col("compat") == "compatible"
-    by_code = judged(code_matches(distinct, chart)).withColumn("demoted", code_conflict())
-    conflict = F.col("demoted").isNotNull() | (F.col("compat") == "conflict")
-    code_score = F.coalesce("demoted", F.when(F.col("compat") == "conflict", 0.6).when(fits, 0.92).otherwise(0.82))
-    parts = [by_code.select("client", "target", *candidate(F.when(conflict, "code_match_conflict").otherwise("code_match"), code_score, F.coalesce(F.when(conflict, "names disagree"), stopped), ~conflict & fits & F.col("active"), F.col("compat")))]
-    by_name = judged(name_matches(distinct, chart))
-    exact = F.col("how") == "name_exact"
-    parts.append(by_name.select("client", "target", *candidate(F.col("how"), F.when(exact, 0.98).otherwise(0.94), stopped, F.col("active"), F.when(exact, F.lit("compatible")).otherwise(F.col("compat")))))
-    by_alias = judged(alias_matches(distinct, chart))
-    parts.append(by_alias.select("client", "target", *candidate("semantic_alias", F.when(fits, 0.95).when(F.col("compat") == "conflict", 0.6).otherwise(0.82), stopped, fits, F.col("compat"))))
-    near = judged(similar_names(distinct, chart))
-    parts.append(near.select("client", "target", *candidate("name_similarity", F.least(F.lit(0.89), F.round(F.lit(0.7) + (F.col("similarity") - 0.6) * 0.5, 2)), F.lit("similar name only"), False, F.col("compat"))))
-    coded = distinct.select("client", N.normalize_code(F.col("code")).alias("code"))
-    above = ranked(prefixes(coded, "client", "code", 4).withColumnRenamed("prefix", "target").join(accounts.select("target", "active"), "target"), ["client"], [F.length("target").desc(), F.col("active").desc()], 3).select("client", "target")
-    rolled = judged(above).withColumn("safe_up", safe_rollup(F.col("client_code"), F.col("standard_code"), F.col("active"), F.col("compat") == "compatible"))
-    weak = [rolled.select("client", "target", *candidate("code_prefix_parent", F.when(F.col("safe_up"), 0.92).otherwise(0.85), F.when(~F.col("safe_up"), F.lit("broader account")), F.col("safe_up"), F.when(F.col("safe_up"), F.lit("compatible")).otherwise(F.col("compat"))))]
-    anchored = (("code_category_anchor", code_class_anchors(distinct)), ("name_anchor", facts.select("client", F.col("c_anchor").alias("anchor"))))
-    for source, anchors in anchored:
-        near = judged(anchor_matches(anchors.filter("anchor is not null"), chart).drop("rank"))
-        safe = safe_rollup(F.col("client_code"), F.col("standard_code"), F.col("active"), F.col("compat") == "compatible")
-        near = near.withColumn("safe_up", safe)
-        why = F.when(~F.col("safe_up"), F.coalesce(stopped, F.lit("anchor only")))
-        weak.append(near.select("client", "target", *candidate(source, F.when(F.col("safe_up"), 0.92).otherwise(0.86), why, F.col("safe_up"), F.when(F.col("safe_up"), "compatible").otherwise("unknown"))))
-    if history is not None:
-        kept = judged(history_matches(distinct, history)).withColumn("rule", history_conflict(F.col("client_name"), F.col("standard"), F.col("target")))
-        clean = F.col("rule").isNull()
-        parts.append(kept.select("client", "target", *candidate(F.when(clean, "company_history").otherwise("history_conflict"), F.when(clean, 1.0).otherwise(0.75), F.when(~clean, F.lit("history contradicts the name")), clean & F.col("active"), F.when(clean, F.lit("compatible")).otherwise("conflict"))))
-    found = with_fallbacks(reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, weak))
-    if crosswalk is not None:
-        open_ones = distinct.join(found.filter(F.col("source") != "name_similarity").select("client").distinct(), "client", "left_anti")
-        old = judged(crosswalk_matches(open_ones, crosswalk))
-        found = found.unionByName(old.select("client", "target", *candidate("old_code_crosswalk", F.when(fits, 0.91).when(F.col("compat") == "conflict", 0.6).otherwise(0.82), stopped, fits, F.col("compat"))))
-    best = rank_candidates(found.dropDuplicates(["client", "target", "source"]), top)
-    return clients.withColumnRenamed("client", "row").withColumn("client", F.sha2(F.concat_ws("|", F.coalesce("code", F.lit("")), F.coalesce("name", F.lit(""))), 256)).join(best, "client").drop("client").withColumnRenamed("row", "client")

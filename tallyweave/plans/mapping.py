@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import keys, names
-from tallyweave.operators import audit, experience, hierarchy, inheritance, matching, nodes
+from tallyweave.operators import audit, experience, hierarchy, inheritance, matching, nodes, recommend
 from tallyweave.session import table
 
 
@@ -105,7 +105,7 @@ def auto_confirm_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recommend_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger_clients(spark, sf_dir).withColumn("code", F.concat(F.lit("1602"), F.col("client").cast("string")))
-    return matching.recommend(rows.select("client", "code", "name"), ledger_chart(spark)).select("client", "target", "source", "score", "compatibility", "safe", "rank")
+    return recommend.recommend(rows.select("client", "code", "name"), ledger_chart(spark)).select("client", "target", "source", "score", "compatibility", "safe", "rank")
 
 
 def inheritance_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
