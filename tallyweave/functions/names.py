@@ -73,8 +73,13 @@ def contains_any(text: Column, words: tuple[str, ...] | list[str]) -> Column:
     return _any_in(tuple(words), text)
 
 
-def _words(words: tuple[str, ...] | list[str]) -> Column:
-    return F.array(*map(F.lit, words))
+def _words(words: tuple[str, ...] | list[str]) -> str:
+    """An array of texts without quotes, as SQL: one call for a whole table, where a column each takes thousands."""
+    return f"array({', '.join(f"'{w}'" for w in words)})"
+
+
+def _table(rows: list[dict[str, str]]) -> Column:
+    return F.expr(f"array({', '.join('struct(' + ', '.join(f'{v} as `{k}`' for k, v in r.items()) + ')' for r in rows)})")
 
 
 def _first(found: Column) -> Column:
@@ -83,7 +88,7 @@ def _first(found: Column) -> Column:
 
 def name_anchor(name: Column) -> Column:
     """The first anchor, in order of precedence, that is part of the name."""
-    return _first(F.filter(_words(V.NAME_ANCHORS), lambda a: F.contains(name, a)))
+    return _first(F.filter(F.expr(_words(V.NAME_ANCHORS)), lambda a: F.contains(name, a)))
 
 
 def is_reserve(name: Column) -> Column:
@@ -104,28 +109,28 @@ def semantic_group(whole: Column, words: Column) -> Column:
     for group, root in V.ROOT_GROUPS:
         found = found.when(F.contains(first, F.lit(root)), group)
     # a table walked in order: as one CASE the spellings outgrow what Spark can compile
-    spelled = F.array(*(F.struct(F.lit(g).alias("group"), _words(s).alias("of")) for g, s, _, _ in V.SEMANTIC_GROUPS))
+    spelled = _table([{"group": f"'{g}'", "of": _words(s)} for g, s, _, _ in V.SEMANTIC_GROUPS])
     hit = F.filter(spelled, lambda g: F.arrays_overlap(words, g["of"]) | F.exists(g["of"], lambda s: F.startswith(whole, s)))
     return found.otherwise(_first(hit)["group"])
 
 
 def groups_of_standard(canonical: Column) -> Column:
     """The groups of which a chart name has a spelling and nothing that conflicts."""
-    table = F.array(*(F.struct(F.lit(g).alias("group"), _words(own).alias("of"), _words(against or [""]).alias("against")) for g, _, own, against in V.SEMANTIC_GROUPS))
+    table = _table([{"group": f"'{g}'", "of": _words(own), "against": _words(against or [""])} for g, _, own, against in V.SEMANTIC_GROUPS])
     has = lambda words: F.exists(words, lambda w: (w != "") & F.contains(canonical, w))
     return F.filter(table, lambda g: has(g["of"]) & ~has(g["against"]))["group"]
 
 
 def groups_against_standard(canonical: Column) -> Column:
     """The groups that a chart name conflicts with."""
-    table = F.array(*(F.struct(F.lit(g).alias("group"), _words(against).alias("against")) for g, _, _, against in V.SEMANTIC_GROUPS if against))
+    table = _table([{"group": f"'{g}'", "against": _words(against)} for g, _, _, against in V.SEMANTIC_GROUPS if against])
     return F.filter(table, lambda g: F.exists(g["against"], lambda w: F.contains(canonical, w)))["group"]
 
 
 def class_anchor(folded_code: Column) -> Column:
     """The name that stands for the class of a code, by the longest known prefix."""
     listed = sorted(V.CODE_ANCHORS.items(), key=lambda p: (-len(p[0]), p[0]))
-    table = F.array(*(F.struct(F.lit(p).alias("prefix"), F.lit(a).alias("anchor")) for p, a in listed))
+    table = _table([{"prefix": f"'{p}'", "anchor": f"'{a}'"} for p, a in listed])
     return _first(F.filter(table, lambda r: F.startswith(folded_code, r["prefix"])))["anchor"]
 
 

@@ -282,7 +282,7 @@ def is_safe(target: str = "target") -> Column:
 
 
 def priority(source: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for pair in V.SOURCE_PRIORITY.items() for x in pair))
+    known = F.expr(f"map({', '.join(f"'{name}', {place}" for name, place in V.SOURCE_PRIORITY.items())})")
     return F.coalesce(F.try_element_at(known, source), F.lit(9))
 
 

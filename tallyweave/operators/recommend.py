@@ -121,6 +121,7 @@ def _active(hits: DataFrame, chart: DataFrame, source: str) -> DataFrame:
 
 
 def all_hits(clients: DataFrame, facts: DataFrame, chart: DataFrame, history: DataFrame | None, shared: DataFrame | None, crosswalk: DataFrame | None, least: float | None) -> DataFrame:
+    chart = chart.select("code", "name", "active")
     found = [_hits(M.code_matches(clients, chart), "code_match", F.col("rank")), exact_name_hits(clients, chart), _hits(M.alias_hits(facts, chart), "semantic_alias", F.col("rank"))]
     found += [history_hits(clients, kept, source) for kept, source in ((history, "company_history"), (shared, "global_history")) if kept is not None]
     old = crosswalk if crosswalk is not None else chart.sparkSession.createDataFrame([], "old string, target string")
@@ -262,6 +263,7 @@ def kept_hits(hits: DataFrame) -> DataFrame:
     no whole name is equal, and it is neither that code's account nor one that history, a whole name or an alias names.
     """
     client, pair = Window.partitionBy("client"), Window.partitionBy("client", "target")
+    hits = hits.repartition("client")  # one shuffle for all windows
     stage, crosswalk, parent, similar, prefix = F.col("stage"), STAGE["old_code_crosswalk"], STAGE["parent_inherited_crosswalk"], STAGE["name_similarity"], STAGE["name_prefix"]
     weak = F.col("warning").isNotNull() | (F.col("score") < V.SAFE_SCORE)
     # one after the other, since what a source may say depends on what is left of those before it
