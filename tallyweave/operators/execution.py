@@ -77,3 +77,49 @@ def journal_split(rows: DataFrame, required: list[Column], names: list[str]) ->
     blank = [F.when(F.trim(F.coalesce(c.cast("string"), F.lit(""))) == "", n) for c, n in zip(required, names, strict=True)]
     return rows.withColumn("missing", F.array_join(F.array_compact(F.array(*blank)), ","))
 
+
+def entry_reconciliation(rows: DataFrame, entries: DataFrame, measures: list[str], by: str = "batch", tolerance: str = "0.01") -> DataFrame:
+    """Per batch and measure, what the rows say against what was written: business, entries, ignored, zero, difference, reconciled.
+
+    ``rows`` have row_class and the measures, ``entries`` (the rows written) the measures; either
+    side is summed by itself, so a lost, doubled or changed entry shows. Business is eligible and ignored rows;
+    difference is business less entries less ignored. Batches that only one side has are compared with nothing.
+    """
+    side = lambda c, m: F.coalesce(F.sum(F.when(F.col("row_class") == c, F.col(m))), F.lit(0)).cast(TOTAL)
+    said = rows.groupBy(by).agg(*(side(c, m).alias(f"{c}_{m}") for m in measures for c in ("eligible", "ignored", "zero_amount")))
+    written = entries.groupBy(by).agg(*(F.sum(m).cast(TOTAL).alias(f"written_{m}") for m in measures))
+    met = said.join(written, by, "full")
+    amount = lambda c: F.coalesce(c, F.lit(0).cast(TOTAL))
+    business = lambda m: (amount(f"eligible_{m}") + amount(f"ignored_{m}")).cast(TOTAL)
+    part = lambda m: F.struct(F.lit(m).alias("measure"), business(m).alias("business"), amount(f"written_{m}").alias("entries"), amount(f"ignored_{m}").alias("ignored"), amount(f"zero_amount_{m}").alias("zero"))
+    flat = met.select(by, F.inline(F.array(*map(part, measures))))
+    flat = flat.withColumn("difference", (F.col("business") - F.col("entries") - F.col("ignored")).cast(TOTAL))
+    return flat.withColumn("reconciled", F.abs("difference") <= F.lit(tolerance).cast(MONEY))
+
+
+def written_faults(rows: DataFrame, entries: DataFrame, chart: DataFrame, measures: list[str], classes: tuple[str, ...]) -> DataFrame:
+    """(batch, gate, n_faults) of the gates over targets and over what was written, beside those of ``gate_faults``.
+
+    ``rows``: batch, row_class, target, by_direction (an amount of it is split by the account's side)
+    and the measures; ``entries``: batch and the measures; ``chart``: target, active, direction. Gates: ``target``
+    (eligible rows mapped to an account that is unknown or not active), ``direction`` (split by the side of an account
+    that has none), ``identity`` (leaves of no known class), ``entries`` (eligible rows and entries differ in number)
+    and one for each measure that does not reconcile.
+    """
+    known = chart.select("target", "active", "direction", F.lit(True).alias("known"))
+    eligible, mapped = F.col("row_class") == "eligible", F.col("target").isNotNull()
+    usable = F.coalesce(F.col("known") & F.col("active"), F.lit(False))
+    sided = F.trim(F.coalesce("direction", F.lit(""))) != ""
+    counts = rows.join(known, "target", "left").groupBy("batch").agg(
+        F.count_if(eligible & mapped & ~usable).alias("target"),
+        F.count_if(eligible & mapped & F.coalesce("known", F.lit(False)) & F.coalesce("by_direction", F.lit(False)) & ~sided).alias("direction"),
+        F.count_if(~F.coalesce(F.col("row_class").isin(*classes), F.lit(False))).alias("identity"),
+        F.count_if(eligible).alias("_eligible"),
+    )
+    written = entries.groupBy("batch").agg(F.count(F.lit(1)).alias("_written"))
+    met = counts.join(written, "batch", "full")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    gate = lambda name, n: F.struct(F.lit(name).alias("gate"), zero(n).cast("long").alias("n_faults"))
+    found = met.select("batch", F.inline(F.array(gate("target", F.col("target")), gate("direction", F.col("direction")), gate("identity", F.col("identity")), gate("entries", F.abs(zero("_eligible") - zero("_written"))))))
+    gaps = entry_reconciliation(rows, entries, measures).filter("not reconciled").select("batch", F.concat(F.lit("reconciliation of "), "measure").alias("gate"), F.lit(1).cast("long").alias("n_faults"))
+    return found.filter("n_faults > 0").unionByName(gaps)

@@ -104,3 +104,47 @@ def parent_differences(rows: DataFrame, row: str, code: str, tolerance: str = "0
     parts = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("parent_amount"), F.col(f"_{m}").alias("leaf_amount"), (F.col(m) - F.col(f"_{m}")).cast(TOTAL).alias("difference")) for m in measures]
     return met.select(row, F.inline(F.array(*parts))).filter(F.abs("difference") > F.lit(tolerance).cast(MONEY))
 
+
+def resolved_parents(rows: DataFrame, row: str, code: str) -> DataFrame:
+    """(row, parent_row) for rows with a ``parent_key``: the first row of that code or, for places by indent, the row so numbered.
+
+    A key that is some row's code is that code, however much it looks like a row number.
+    """
+    coded = rows.filter(F.trim(F.coalesce(code, F.lit(""))) != "").groupBy(F.trim(code).alias("parent_key")).agg(F.min(row).alias("_coded"))
+    met = rows.select(row, F.trim("parent_key").alias("parent_key"), "level_source").filter("parent_key is not null").join(coded, "parent_key", "left")
+    numbered = F.when(F.col("level_source") == "indent_suggested", F.expr("try_cast(parent_key as bigint)"))
+    return met.select(row, F.coalesce(F.col("_coded").cast("long"), numbered).alias("parent_row")).filter(F.col("parent_row") != F.col(row))
+
+
+def _measured(rows: DataFrame, row: str) -> tuple[DataFrame, list[str]]:
+    net = lambda p: F.col(f"{p}_debit") - F.col(f"{p}_credit")
+    measures = {"opening_net": net("opening"), "current_debit": F.col("current_debit"), "current_credit": F.col("current_credit"), "ending_net": net("ending")}
+    return rows.select(F.col(row).alias("row"), "is_leaf", *(v.cast(TOTAL).alias(k) for k, v in measures.items())), list(measures)
+
+
+def tree_differences(rows: DataFrame, row: str, code: str, max_depth: int = 30, tolerance: str = "0.01") -> DataFrame:
+    """(row, measure, parent_amount, leaf_amount, difference) of rows that differ from all leaves below them, placed by code, indent or both in turn.
+
+    As ``parent_differences``, but over the closure of ``resolved_parents``; leaves are summed for each ancestor with partial sums.
+    """
+    valued, measures = _measured(rows, row)
+    edges = resolved_parents(rows, row, code).withColumnRenamed(row, "row")
+    up = hierarchy.closure(edges, "row", "parent_row", max_depth).filter("distance > 0")
+    leaves = valued.filter("is_leaf").drop("is_leaf").withColumnRenamed("row", "node")
+    sums = leaves.join(up, "node").groupBy(F.col("ancestor").alias("row")).agg(*(F.sum(m).cast(TOTAL).alias(f"_{m}") for m in measures))
+    parts = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("parent_amount"), F.col(f"_{m}").alias("leaf_amount"), (F.col(m) - F.col(f"_{m}")).cast(TOTAL).alias("difference")) for m in measures]
+    found = valued.join(sums, "row").select("row", F.inline(F.array(*parts))).filter(F.abs("difference") > F.lit(tolerance).cast(MONEY))
+    return found.withColumnRenamed("row", row)
+
+
+def summary_reconciliation(rows: DataFrame, row: str, code: str, tolerance: str = "0.01") -> DataFrame:
+    """(row, n_children, n_mismatches, warning) of rows that have children: their six amounts against the sums of their direct children.
+
+    A measure counts as a mismatch where it differs by more than the tolerance. It only warns, since summaries make no entries.
+    """
+    amounts = rows.select(F.col(row).alias("row"), *(F.col(m).cast(TOTAL).alias(m) for m in MEASURES))
+    edges = resolved_parents(rows, row, code).withColumnRenamed(row, "row")
+    below = amounts.join(edges, "row").groupBy(F.col("parent_row").alias("row")).agg(F.count(F.lit(1)).alias("n_children"), *(F.sum(m).cast(TOTAL).alias(f"_{m}") for m in MEASURES))
+    apart = sum((F.when(F.abs(F.col(m) - F.col(f"_{m}")) > F.lit(tolerance).cast(MONEY), 1).otherwise(0) for m in MEASURES), F.lit(0))
+    met = amounts.join(below, "row").select(F.col("row").alias(row), "n_children", apart.alias("n_mismatches"))
+    return met.withColumn("warning", F.when(F.col("n_mismatches") > 0, "summary_amount_mismatch"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyweave.plans import accounts, advice, books, imports, ledger, mapping, sheets, streams, trees
+from tallyweave.plans import accounts, advice, books, imports, ledger, mapping, sheets, streams, trees, written
 
-MODULES = (ledger, trees, mapping, sheets, streams, imports, books, accounts, advice)
+MODULES = (ledger, trees, mapping, sheets, streams, imports, books, accounts, advice, written)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
