@@ -43,7 +43,7 @@ REQUIRED_FIELDS = {
 }
 AMOUNT_FIELDS = ("opening_debit", "opening_credit", "current_debit", "current_credit", "ending_debit", "ending_credit")
 
-# Header texts of each field, a representative set of spellings.
+# Header texts of each field.
 FIELD_WORDS = {
     "account_code": ("科目编码", "科目代码", "科目号", "会计科目编码", "会计科目代码", "account code", "account_code", "acct_code", "acct code", "科目", "会计科目", "account", "account number"),
     "account_name": ("科目名称", "科目", "会计科目", "会计科目名称", "科目全称", "account name", "account_name", "acct_name", "acct name"),
@@ -58,12 +58,24 @@ FIELD_WORDS = {
     "auxiliary_type": ("辅助核算类型", "辅助类型", "核算类型", "辅助核算类别", "auxiliary type", "aux_type"),
     "auxiliary_code": ("辅助核算编码", "辅助编码", "核算编码", "auxiliary code", "aux_code", "辅助核算代码"),
     "auxiliary_name": ("辅助核算名称", "辅助名称", "核算名称", "辅助核算", "auxiliary name", "aux_name", "客户名称", "供应商名称", "部门名称", "项目名称"),
-    "opening_debit": ("期初借方余额", "期初借方", "期初借", "年初借方余额", "年初借方", "opening debit", "beginning debit", "期初余额(借)", "期初借方金额", "期初余额_借方"),
-    "opening_credit": ("期初贷方余额", "期初贷方", "期初贷", "年初贷方余额", "年初贷方", "opening credit", "beginning credit", "期初余额(贷)", "期初贷方金额", "期初余额_贷方"),
-    "current_debit": ("本期借方发生额", "本期借方", "借方发生额", "本期借", "current debit", "debit amount", "dr amount", "本期借方金额", "本期发生_借方"),
-    "current_credit": ("本期贷方发生额", "本期贷方", "贷方发生额", "本期贷", "current credit", "credit amount", "cr amount", "本期贷方金额", "本期发生_贷方"),
-    "ending_debit": ("期末借方余额", "期末借方", "期末借", "年末借方余额", "年末借方", "ending debit", "closing debit", "期末余额(借)", "期末借方金额", "期末余额_借方"),
-    "ending_credit": ("期末贷方余额", "期末贷方", "期末贷", "年末贷方余额", "年末贷方", "ending credit", "closing credit", "期末余额(贷)", "期末贷方金额", "期末余额_贷方"),
+    "opening_debit": ("期初借方余额", "期初借方", "期初借", "年初借方余额", "年初借方", "opening debit", "beginning debit", "期初余额(借)", "期初借方金额", "期初余额_借方", "期初余额（借）", "期初余额借方", "期初余额_借方_金额", "期初余额借方金额", "本币期初余额借方", "本币期初余额_借方"),
+    "opening_credit": ("期初贷方余额", "期初贷方", "期初贷", "年初贷方余额", "年初贷方", "opening credit", "beginning credit", "期初余额(贷)", "期初贷方金额", "期初余额_贷方", "期初余额（贷）", "期初余额贷方", "期初余额_贷方_金额", "期初余额贷方金额", "本币期初余额贷方", "本币期初余额_贷方"),
+    "current_debit": ("本期借方发生额", "本期借方", "借方发生额", "本期借", "current debit", "debit amount", "dr amount", "本期借方金额", "本期发生_借方", "本期发生额(借)", "本期发生额（借）", "本期发生_借方_金额", "本期发生借方金额", "本期发生额_借方", "本期发生额_借方_金额"),
+    "current_credit": ("本期贷方发生额", "本期贷方", "贷方发生额", "本期贷", "current credit", "credit amount", "cr amount", "本期贷方金额", "本期发生_贷方", "本期发生额(贷)", "本期发生额（贷）", "本期发生_贷方_金额", "本期发生贷方金额", "本期发生额_贷方", "本期发生额_贷方_金额"),
+    "ending_debit": ("期末借方余额", "期末借方", "期末借", "年末借方余额", "年末借方", "ending debit", "closing debit", "期末余额(借)", "期末借方金额", "期末余额_借方", "期末余额（借）", "期末余额借方", "期末余额_借方_金额", "期末余额借方金额"),
+    "ending_credit": ("期末贷方余额", "期末贷方", "期末贷", "年末贷方余额", "年末贷方", "ending credit", "closing credit", "期末余额(贷)", "期末贷方金额", "期末余额_贷方", "期末余额（贷）", "期末余额贷方", "期末余额_贷方_金额", "期末余额贷方金额"),
+}
+
+# Header texts that are never a field, and the fields of each upload type in order.
+VETO_WORDS = {
+    "period": ("本币期间异动", "期间异动", "本期异动", "本月异动", "本币发生异动", "期间发生异动"),
+    "fiscal_year": ("本币本年累计", "本年累计", "本年异动", "本年发生", "本币累计", "累计发生"),
+}
+_ENTRY = ("fiscal_year", "period", "voucher_no", "voucher_date", "summary", "account_code", "account_name", "debit_amount", "credit_amount")
+TYPE_FIELDS = {
+    "trial_balance": ("fiscal_year", "period", "account_code", "account_name", "account_level", *AMOUNT_FIELDS),
+    "journal": (*_ENTRY, "attachment_count"),
+    "subsidiary": (*_ENTRY, "auxiliary_type", "auxiliary_code", "auxiliary_name", "attachment_count"),
 }
 
 # Account names that anchor a client name, in order of precedence.

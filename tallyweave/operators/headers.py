@@ -79,9 +79,8 @@ def describe_columns(headers: DataFrame, group: str, index: str, header: str) ->
     return marked.withColumn("column_id", F.concat(F.lit("col_"), F.when(F.length(place) < 3, F.lpad(place, 3, "0")).otherwise(place)))
 
 
-def match_headers(headers: DataFrame, fields: dict[str, tuple[str, ...]] = V.FIELD_WORDS, veto: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def match_headers(headers: DataFrame, fields: dict[str, tuple[str, ...]] = V.FIELD_WORDS, veto: dict[str, tuple[str, ...]] = V.VETO_WORDS) -> DataFrame:
     """(header, field, score) of the best field of each distinct header; spellings are compared inside the workers."""
-    veto = veto or {}
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
