@@ -42,7 +42,7 @@ def mismatches(code: Column, name: Column, path: Column, standard_code: Column,
 
 def category_conflicts(pairs: DataFrame, source: str, target: str, allowed: DataFrame) -> DataFrame:
     """Pairs whose (source, target) categories the matrix does not allow."""
-    return pairs.join(F.broadcast(allowed.select(F.col("source").alias(source), F.col("target").alias(target))), [source, target], "left_anti")
+    return pairs.join(allowed.select(F.col("source").alias(source), F.col("target").alias(target)), [source, target], "left_anti")
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, each: int, seed: str = "42") -> DataFrame:
@@ -50,3 +50,43 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, each: int, seed:
     place = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256)
     order = Window.partitionBy(stratum).orderBy(place, key)
     return rows.withColumn("sample_rank", F.row_number().over(order)).filter(F.col("sample_rank") <= each)
+
+
+#: Sources that are counted one by one among confirmed picks.
+COUNTED = ("company_history", "global_history", "name_exact", "semantic_alias", "code_match", "old_code_crosswalk", "parent_inherited_crosswalk", "name_prefix", "code_prefix_parent", "code_category_anchor", "name_anchor", "name_similarity")
+
+
+def picks(candidates: DataFrame) -> DataFrame:
+    """Per client: n_candidates, n_safe (targets), conflict and unknown (whether any candidate is), and the one safe pick, if there is one.
+
+    ``candidates``: client, target, source, score, warning, auto, compatibility, safe, rank.
+    """
+    safe = F.struct("target", "source", "warning", "compatibility")
+    per = candidates.groupBy("client").agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.count_distinct(F.when(F.col("safe"), F.col("target"))).alias("n_safe"), F.bool_or(F.col("compatibility") == "conflict").alias("conflict"),
+        F.bool_or(F.col("compatibility") == "unknown").alias("unknown"), F.min_by(F.when(F.col("safe"), safe), F.struct(~F.col("safe"), "rank")).alias("pick"),
+    )
+    return per.withColumn("pick", F.when(F.col("n_safe") == 1, F.col("pick")))
+
+
+def audit_files(rows: DataFrame, candidates: DataFrame, chart: DataFrame) -> DataFrame:
+    """One row per file: how many of its distinct accounts are confirmed by rule, how many ask a person and why, by which source, and what must never happen.
+
+    ``rows``: file, client, code, name, full_path, participates; ``chart``: code, name, active. Rows that take part count once for
+    each (code, name, path) of a file, by their first client. Mismatch classes are looked for in confirmed
+    picks only. ``confirmed`` and ``manual`` add up to ``accounts`` less those without any candidate.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit(""))).alias(c)
+    unique = rows.filter(F.coalesce("participates", F.lit(True))).select("file", "client", *map(text, ("code", "name", "full_path"))).groupBy("file", "code", "name", "full_path").agg(F.min("client").alias("client"))
+    accounts = chart.select(F.col("code").alias("_code"), F.col("name").alias("_name"), F.col("active").alias("_active"))
+    met = unique.join(picks(candidates), "client", "left").join(accounts, F.col("pick.target") == F.col("_code"), "left")
+    picked = F.col("pick").isNotNull()
+    found = mismatches(F.col("code"), F.col("name"), F.col("full_path"), F.col("pick.target"), F.col("_name"))
+    met = met.withColumns({"picked": picked, "mismatches": F.when(picked, F.size(found)).otherwise(0), "n_safe": F.coalesce("n_safe", F.lit(0))})
+    known = F.coalesce(F.col("n_candidates") > 0, F.lit(False))
+    on = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    return met.groupBy("file").agg(
+        F.count(F.lit(1)).alias("accounts"), on(~known, "no_candidate"), on(F.col("picked"), "confirmed"), on(known & ~F.col("picked"), "manual"), on(known & (F.col("n_safe") == 0), "no_safe"), on(F.col("n_safe") > 1, "ambiguous"),
+        on(F.col("conflict"), "with_conflict"), on(F.col("unknown"), "with_unknown"), *(on(F.col("pick.source") == s, f"by_{s}") for s in COUNTED),
+        on(F.col("pick.warning").isNotNull(), "warned_picks"), on(F.col("picked") & ~F.coalesce("_active", F.lit(False)), "inactive_picks"), F.sum("mismatches").cast("long").alias("n_mismatches"),
+    )

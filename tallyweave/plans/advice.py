@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators import matching, recommend
+from tallyweave.operators import audit, matching, recommend
 from tallyweave.plans.mapping import chart
 from tallyweave.session import table
 
@@ -48,7 +48,15 @@ def recommend_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.decide(advised(spark, sf_dir)).select("client", "n_candidates", "n_safe", "status", "confirmed")
 
 
-QUERIES = {f.__name__: f for f in (recommend_in_context, recommend_decisions)}
+def audit_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brand is a file; some rows take no part."""
+    k = F.col("p_partkey")
+    clients = contexts(spark, sf_dir).select(F.col("k").alias("client"), "code", "name", F.lit(None).cast("string").alias("full_path"))
+    rows = clients.join(table(spark, sf_dir, "part").select(k.cast("long").alias("client"), F.col("p_brand").alias("file"), (k % 19 != 4).alias("participates")), "client")
+    return audit.audit_files(rows, advised(spark, sf_dir), chart(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (recommend_in_context, recommend_decisions, audit_over_files)}
 
 _WORDS = "string_split(p_name, ' ')"
 _FITS = "(replace({n}, ' ', '') = s.name OR list_contains(string_split({n}, ' '), s.name) OR starts_with(replace({n}, ' ', ''), s.name))"
@@ -97,7 +105,13 @@ z AS (SELECT *, NOT warned AND auto AND compat = 'compatible' AND score >= 0.9 A
 r AS (SELECT k AS client, target, source, score, compat AS compatibility, safe, row_number() OVER (PARTITION BY k ORDER BY safe DESC, CASE WHEN safe OR auto THEN 0 ELSE 1 END, p,
   CASE WHEN safe THEN 0 WHEN compat = 'compatible' THEN 0 WHEN compat = 'unknown' THEN 1 ELSE 2 END, score DESC, stage, place, target) AS rank FROM z QUALIFY rank <= 10)"""
 
+_BY = ", ".join(f"count(*) FILTER (picked = '{s}') AS by_{s}" for s in audit.COUNTED)
 ORACLES = {
+    "audit_over_files": f"""{_ADVICE}, f AS (SELECT p_brand AS file, code, trim(c.name) AS name, min(k) AS client FROM c JOIN part ON p_partkey = k WHERE k % 19 <> 4 GROUP BY ALL),
+d AS (SELECT client, count(*) AS n, count(DISTINCT target) FILTER (safe) AS safe, bool_or(compatibility = 'conflict') AS con, bool_or(compatibility = 'unknown') AS unk, arg_min(source, rank) FILTER (safe) AS source FROM r GROUP BY client),
+u AS (SELECT f.*, n, coalesce(safe, 0) AS safe, con, unk, CASE WHEN safe = 1 THEN source END AS picked FROM f LEFT JOIN d USING (client))
+SELECT file, count(*) AS accounts, count(*) FILTER (n IS NULL) AS no_candidate, count(*) FILTER (picked IS NOT NULL) AS confirmed, count(*) FILTER (n IS NOT NULL AND picked IS NULL) AS manual, count(*) FILTER (n IS NOT NULL AND safe = 0) AS no_safe, count(*) FILTER (safe > 1) AS ambiguous,
+  count(*) FILTER (con) AS with_conflict, count(*) FILTER (unk) AS with_unknown, {_BY}, 0::BIGINT AS warned_picks, 0::BIGINT AS inactive_picks, 0::BIGINT AS n_mismatches FROM u GROUP BY file""",
     "recommend_in_context": f"{_ADVICE} SELECT * FROM r",
     "recommend_decisions": f"""{_ADVICE} SELECT client, count(*) AS n_candidates, count(DISTINCT target) FILTER (safe) AS n_safe, CASE count(DISTINCT target) FILTER (safe) WHEN 0 THEN 'none' WHEN 1 THEN 'unique_safe' ELSE 'ambiguous' END AS status,
   CASE WHEN count(DISTINCT target) FILTER (safe) = 1 THEN arg_min(target, rank) END AS confirmed FROM r GROUP BY client""",
