@@ -23,6 +23,11 @@ def whole_between(field: str, text: Column, low: int, high: int) -> Column:
     return F.when(given & number.isNull(), F.lit(f"{field}: not a whole number")).when(given & ~number.between(low, high), F.lit(f"{field}: out of range"))
 
 
+def whole(field: str, text: Column) -> Column:
+    given = F.coalesce(F.trim(text.cast("string")), F.lit("")) != ""
+    return F.when(given & parsing.to_int(text).isNull(), F.lit(f"{field}: not a whole number"))
+
+
 def dated(field: str, text: Column) -> Column:
     given = F.coalesce(F.trim(text.cast("string")), F.lit("")) != ""
     return F.when(given & parsing.to_date(text).isNull(), F.lit(f"{field}: not a date"))
@@ -48,6 +53,7 @@ def standard_checks(data_type: str, columns: dict[str, Column]) -> list[Column]:
     for field, low, high in (("fiscal_year", 2000, 2100), ("period", 1, 12)):
         if field in columns:
             checks.append(whole_between(field, columns[field], low, high))
+    checks += [whole(f, columns[f]) for f in ("attachment_count", "account_level") if f in columns]
     if "voucher_date" in columns:
         checks.append(dated("voucher_date", columns["voucher_date"]))
     return checks
