@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import vocabulary as V
-from tallyweave.operators import plan
+from tallyweave.operators import analyze, plan, transform
 from tallyweave.plans.books import pick
 from tallyweave.session import table
 
@@ -54,7 +54,19 @@ def unified_plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified(spark, sf_dir).summary()
 
 
-QUERIES = {f.__name__: f for f in (unified_plan, unified_plan_signals, unified_plan_summary)}
+def upload_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as one upload without a tree: codes and indents place them, and all candidate sources run."""
+    rows = account_nodes(spark, sf_dir)
+    k = F.col("k")
+    amounts = {m: F.lit("0") for m in transform.MEASURES} | {"ending_debit": (k % 97).cast("string"), "current_credit": F.when(k % 7 == 0, "1,000.50").otherwise("")}
+    named = rows.select(F.col("node").alias("row"), F.when(k % 9 != 4, F.col("code")).alias("code"), F.when(k % 9 == 4, F.concat(F.lit("客户："), k)).otherwise(F.col("name")).alias("name"), F.when(k % 9 == 4, k % 3).cast("int").alias("indent"), *(v.alias(m) for m, v in amounts.items()))
+    chart = spark.createDataFrame([(*c, "debit") for c in CHART], "code string, name string, active boolean, category string, direction string")
+    history = rows.filter("k % 13 = 6").select("code", "name", pick(CODES, F.floor(k / 13)).alias("target"), F.lit(1).alias("used"), F.lit("2024").alias("last_used"), (k % 26 != 19).alias("active"))
+    found = analyze.analyze(named, chart, history=history, ignored=rows.filter("k % 60 = 58").select("node"))
+    return found.rows.select("row", "level", "parent_row", "is_leaf", "row_class", "role", "target", "reason", "requires_confirmation")
+
+
+QUERIES = {f.__name__: f for f in (unified_plan, unified_plan_signals, unified_plan_summary, upload_analysis)}
 
 
 def _pick(words: tuple, n: str) -> str:
