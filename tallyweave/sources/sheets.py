@@ -53,8 +53,24 @@ def _text(node: ElementTree.Element) -> str:
     return "".join(runs + [t.text or "" for r in node.findall(f"{MAIN}r") for t in r.findall(f"{MAIN}t")])
 
 
+def _active_sheet(book: zipfile.ZipFile, parts: set[str]) -> str:
+    """The part of the sheet that is shown on opening; where the workbook does not say, that of the lowest number."""
+    numbered = sorted((p for p in parts if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", p)), key=lambda p: int(re.findall(r"\d+", p)[-1]))
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= parts:
+        workbook = ElementTree.fromstring(book.read("xl/workbook.xml"))
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        view = next(workbook.iter(f"{MAIN}workbookView"), None)
+        listed = [next((v for k, v in s.attrib.items() if k.endswith("}id")), None) for s in workbook.iter(f"{MAIN}sheet")]
+        at = int(view.get("activeTab", 0)) if view is not None else 0
+        target = targets.get(listed[at]) if at < len(listed) else None
+        part = target.lstrip("/") if target and target.startswith("/") else f"xl/{target}"
+        if part in parts:
+            return part
+    return numbered[0]
+
+
 def xlsx_cells(data: bytes) -> list[list[str]]:
-    """The first sheet's values; rows and cells that a workbook leaves out are filled with ''."""
+    """The active sheet's values; rows and cells that a workbook leaves out are filled with ''."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         parts = set(book.namelist())
         tree = lambda name: ElementTree.fromstring(book.read(name))
@@ -65,7 +81,7 @@ def xlsx_cells(data: bytes) -> list[list[str]]:
             own = {int(f.get("numFmtId", 0)): re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "")) for f in style.iter(f"{MAIN}numFmt")}
             used = [int(x.get("numFmtId", 0)) for xs in style.findall(f"{MAIN}cellXfs") for x in xs]
             dates = [i in DATE_FORMATS or bool(re.search("[yYdD]", own.get(i, ""))) for i in used]
-        first = min((p for p in parts if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", p)), key=lambda p: int(re.findall(r"\d+", p)[-1]))
+        first = _active_sheet(book, parts)
         rows: list[list[str]] = []
         for row in tree(first).iter(f"{MAIN}row"):
             cells: list[str] = []
@@ -150,4 +166,6 @@ def write_batches(rows: DataFrame, path: str, by: str = "batch_id") -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
+    """Files with a header that starts with a byte order mark, as spreadsheets expect it."""
+    first = rows.columns[0]
+    rows.withColumnRenamed(first, f"\ufeff{first}").write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)

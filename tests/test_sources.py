@@ -47,3 +47,20 @@ def test_batches_replace_only_themselves(spark, tmp_path):
     sheets.write_batches(spark.createDataFrame([(1, "a"), (2, "b")], "batch_id int, v string"), out)
     sheets.write_batches(spark.createDataFrame([(2, "c")], "batch_id int, v string"), out)
     assert {(r["batch_id"], r["v"]) for r in spark.read.parquet(out).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_the_active_sheet_is_read(tmp_path):
+    sheet = lambda text: f'{HEAD}<worksheet {NS}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>{text}</t></is></c></row></sheetData></worksheet>'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'{HEAD}<workbook {NS} {rel}><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="x" r:id="r9"/><sheet name="y" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'{HEAD}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r9" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet7.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet("first"))
+        z.writestr("xl/worksheets/sheet7.xml", sheet("shown"))
+    assert sheets.xlsx_cells((tmp_path / "a.xlsx").read_bytes()) == [["shown"]]
+
+
+def test_csv_with_a_mark_reads_back(spark, tmp_path):
+    sheets.write_csv(spark.createDataFrame([("现金", 1)], "name string, amount int").coalesce(1), str(tmp_path / "out"))
+    data = next((tmp_path / "out").glob("*.csv")).read_bytes()
+    assert data.startswith(b"\xef\xbb\xbfname,amount") and sheets.csv_cells(data) == [["name", "amount"], ["现金", "1"]]
