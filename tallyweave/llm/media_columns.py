@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +94,8 @@ def summary(times: np.ndarray, codes: np.ndarray) -> str:
     return f"{len(times)}|{head}|{whole}"
 
 
+#: Fingerprints that a worker holds before it gives rows on: some 8 MB.
+HELD = 1_000_000
 MEDIA = "struct<wav:binary,n_samples:long,time:array<int>,code:array<int>>"
 FACTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -112,23 +115,35 @@ def add_media(docs: DataFrame, text: str = "text", into: str = "media") -> DataF
     return docs.withColumn(into, F.pandas_udf(make, MEDIA)(F.col(text)))
 
 
-def media_facts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``facts`` of sizes, digests and the feature, computed from the stored bytes.
+def media_facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: its id, sizes, digests and the feature, computed from the stored bytes, and the fingerprints as ``times`` and ``codes``.
 
-    The samples and arrays stay in the worker; only these few values leave it.
+    A worker gives its rows on as soon as it holds ``HELD`` fingerprints, so long texts do not add up in memory.
     """
-
-    def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for t in texts:
-                stored = to_wav(payload(t))
-                back = from_wav(stored)
-                rows.append((
-                    len((t or "").encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]),
-                    len(stored), hashlib.sha256(stored).hexdigest(), summary(*fingerprints(back)),
-                ))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FACTS.split(", ")])
-
-    schema = "struct<" + ",".join(c.replace(" ", ":") for c in FACTS.split(", ")) + ">"
-    return docs.withColumn("facts", F.pandas_udf(make, schema)(F.col(text)))
+    names = [c.split()[0] for c in FACTS.split(", ")]
+
+    def measure(text: str | None) -> tuple:
+        stored = to_wav(payload(text))
+        back = from_wav(stored)
+        times, codes = fingerprints(back)
+        size = len((text or "").encode("utf-8", "surrogatepass"))
+        return size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), summary(times, codes), times.astype(np.int32), codes.astype(np.int32)
+
+    def packed(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        facts = [pa.array([r[i] for r in rows], pa.string() if isinstance(rows[0][i], str) else pa.int64()) for i in range(len(names))]
+        arrays = [pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in (-2, -1)]
+        return pa.RecordBatch.from_arrays([ids, *facts, *arrays], ["_id", *names, "times", "codes"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, start, held = [], 0, 0
+            for i, t in enumerate(batch.column(1)):
+                rows.append(measure(t.as_py()))
+                held += len(rows[-1][-1])
+                if held >= HELD or i + 1 == batch.num_rows:
+                    yield packed(batch.column(0).slice(start, len(rows)), rows)
+                    rows, start, held = [], i + 1, 0
+
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    kind = texts.schema["_id"].dataType.simpleString()
+    return texts.mapInArrow(make, f"_id {kind}, {FACTS}, times array<int>, codes array<int>").withColumnRenamed("_id", doc_id)

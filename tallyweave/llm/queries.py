@@ -69,7 +69,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return media_columns.media_facts(docs).select("doc_id", "facts.*")
+    return media_columns.media_facts(docs)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

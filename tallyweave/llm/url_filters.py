@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,22 +88,24 @@ def _better(a: Rule | None, b: Rule) -> Rule:
 
 
 def _judge(rules: list[Rule]):
-    """A pandas function from host+path to the winning rule's name, action and tier."""
-
-    def judge(addresses: pd.Series) -> pd.DataFrame:
-        index: dict[str | None, list[tuple[Rule, re.Pattern]]] = defaultdict(list)
-        for rule, token in rarest_token(rules).items():
-            index[token].append((rule, re.compile(rule.pattern, re.DOTALL)))
-        found = []
-        for address in addresses:
-            best = None
-            for token in {None, *TOKEN.findall(address)}:
-                for rule, pattern in index.get(token, ()):
-                    if pattern.search(address):
-                        best = _better(best, rule)
-            found.append((best.name, best.action, best.tier) if best else (None, None, None))
-        out = pd.DataFrame(found, columns=["name", "action", "tier"])
-        return out.astype({"tier": "Int32"})
+    """A pandas function from host+path to the winning rule's name, action and tier; a task builds the index once, and a pattern is compiled when a token first asks for it."""
+    filed = list(rarest_token(rules).items())
+
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        index: dict[str | None, list[Rule]] = defaultdict(list)
+        for rule, token in filed:
+            index[token].append(rule)
+        compiled = cache(lambda pattern: re.compile(pattern, re.DOTALL))
+        for addresses in batches:
+            found = []
+            for address in addresses:
+                best = None
+                for token in {None, *TOKEN.findall(address)}:
+                    for rule in index.get(token, ()):
+                        if compiled(rule.pattern).search(address):
+                            best = _better(best, rule)
+                found.append((best.name, best.action, best.tier) if best else (None, None, None))
+            yield pd.DataFrame(found, columns=["name", "action", "tier"]).astype({"tier": "Int32"})
 
     return judge
 

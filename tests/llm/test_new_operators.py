@@ -13,7 +13,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from tallyweave.llm import embedding_whitening, quality_rules, queries, ranked_search  # noqa: E402
+from tallyweave.llm import embedding_whitening, media_columns, quality_rules, queries, ranked_search, url_filters  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -201,3 +201,46 @@ def test_keep_good_of_odd_tables(spark):
     kept = quality_rules.keep_good(spark.createDataFrame(rows, schema))
     assert kept.columns == ["doc_id", "text", "votes", "n_words"]
     assert Counter(map(tuple, kept.collect())) == Counter(r for r in rows if r[0] != 100)
+
+
+def test_fingerprints_are_stored_and_equal_a_plain_transform(spark, monkeypatch):
+    texts = [None, "", "plain", "the quick brown fox jumps over the lazy dog " * 20, "é漢" * 400, "the quick brown fox jumps over the lazy dog " * 20]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id int, text string, times string")
+    for held in (10, media_columns.HELD):
+        monkeypatch.setattr(media_columns, "HELD", held)
+        found = {r["doc_id"]: r for r in media_columns.media_facts(docs).collect()}
+        assert sorted(found) == list(range(len(texts)))
+        assert found[3]["times"] == found[5]["times"] and found[3]["feature"] == found[5]["feature"] and found[0]["codes"] == found[1]["codes"] == []
+        for i, text in enumerate(texts):
+            samples = np.frombuffer(media_columns.payload(text), np.uint8).astype(float)
+            short = max(0, 256 - len(samples)) or -(len(samples) - 256) % 128
+            samples = np.r_[samples, np.full(short, 128)] - 128
+            bins = []
+            for at in range(0, len(samples) - 255, 128):
+                power = np.rint(np.abs(np.fft.rfft((samples[at : at + 256] * media_columns._SHAPE).astype(np.float32)))[1:-1]).astype(int)
+                around = np.r_[0, power, 0]
+                tops = [b for b in range(len(power)) if power[b] > max(around[b], around[b + 2])]
+                bins.append(sorted(tops, key=lambda b: (-power[b], b))[:3])
+            want = sorted((t, (a << 16) + (b << 8) + gap) for gap in (1, 2) for t in range(len(bins) - gap) for a in bins[t] for b in bins[t + gap])
+            assert list(zip(found[i]["times"], found[i]["codes"])) == want
+            assert found[i]["feature"].startswith(f"{len(want)}|")
+    made = {r["doc_id"]: r["media"] for r in media_columns.add_media(docs).collect()}
+    assert all(media_columns.from_wav(bytes(made[i]["wav"])) == media_columns.payload(t) and made[i]["time"] == found[i]["times"] and made[i]["code"] == found[i]["codes"] for i, t in enumerate(texts))
+    assert media_columns.media_facts(docs.filter("false")).count() == 0
+
+
+def test_thousands_of_rules_run_few_patterns(spark, monkeypatch):
+    rules = [url_filters.prefix_rule(f"host{i}.example", f"/p{i}/", ("allow", "block")[i % 2]) for i in range(10_000)]
+    index = url_filters.rarest_token(rules)
+    shared = Counter(t for r in rules for t in set(r.tokens))
+    assert all(shared[t] == min(shared[x] for x in r.tokens) for r, t in index.items())
+    urls = [(i, f"http://a.host{i}.example/p{i}/x") for i in range(0, 10_000, 97)] + [(-1, "http://host5.example/p6/"), (-2, None), (-3, "http://host7.example/p7/"), (-3, "http://host7.example/p7/")]
+    pages = spark.createDataFrame(urls, "page_id int, url string")
+    found = Counter((r["page_id"], r["rule"], r["verdict"]) for r in url_filters.filter_urls(pages, rules).collect())
+    want = [(i, f"host{i}.example/p{i}/", ("allow", "block")[i % 2]) for i in range(0, 10_000, 97)] + [(-1, None, "allow"), (-2, None, "allow")] + [(-3, "host7.example/p7/", "block")] * 2
+    assert found == Counter(want)
+    ran = []
+    monkeypatch.setattr(url_filters.re, "compile", lambda pattern, flags=0, real=re.compile: ran.append(pattern) or real(pattern, flags))
+    judged = list(url_filters._judge(rules)(iter([url_filters.pd.Series(["a.host4.example/p4/x", "host9.example/p8/", "none.example/"])])))
+    assert judged[0]["name"].tolist()[0] == "host4.example/p4/" and len(ran) <= 4
+    assert url_filters.filter_urls(pages.filter("false"), rules).count() == 0
