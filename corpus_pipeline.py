@@ -19,8 +19,9 @@ SHARDS = 16
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the cut; learnt from the labels of ``docs``."""
     sample = quality_classifier.labelled_sample(docs, read(spark, sf_dir, "labels"))
-    scored = quality_classifier.score(docs, quality_classifier.fit(sample), into="_score")
-    return scored.filter(F.col("_score") >= quality_classifier.CUT_SCORE).drop("_score")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # so that no column of docs can clash
+    scored = quality_classifier.score(whole, quality_classifier.fit(sample), into="_score")
+    return scored.filter(F.col("_score") >= quality_classifier.CUT_SCORE).select("_row.*")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
