@@ -112,6 +112,35 @@ def upsert_field_experience(held: DataFrame, confirmed: DataFrame, fields: list[
     return acted.select("lookup_key", F.inline(made)).unionByName(rest)
 
 
+def upsert_in_order(held: DataFrame, confirmed: DataFrame, fields: list[str], order: str) -> DataFrame:
+    """As ``upsert_field_experience``, but the confirmations of a key are worked off one after the other by ``order``, a column without ties.
+
+    Equal targets in a row are one run: each adds a use and a success to it. A run ends where another target
+    comes, which adds a use and a conflict and retires it; the first run goes on from the active row of the key, if it has the
+    same target, and the last run is the active row afterwards. ``action``: unchanged, reused, retired or created.
+    """
+    usable = ~F.col("target_field").isin(*NO_FIELD) & F.col("target_field").isin(*fields) & F.col("confirmation").isin(*CONFIRMED) & (F.coalesce("header", F.lit("")) != "")
+    counts = ("use_count", "success_count", "conflict_count")
+    base = held.filter("active").select("lookup_key", F.col("target_field").alias("_held"), *(F.col(c).cast("long").alias(f"_{c}") for c in counts))
+    by_key = Window.partitionBy("lookup_key").orderBy(order)
+    steps = confirmed.filter(usable).select("lookup_key", "target_field", order).join(base.select("lookup_key", "_held"), "lookup_key", "left")
+    before = F.coalesce(F.lag("target_field").over(by_key), F.col("_held"))
+    steps = steps.withColumn("_new", F.when(F.col("target_field") == before, 0).otherwise(1))
+    runs = steps.withColumn("run", F.sum("_new").over(by_key)).groupBy("lookup_key", "run").agg(F.first("target_field").alias("target_field"), F.count(F.lit(1)).alias("n"))
+    last = runs.groupBy("lookup_key").agg(F.max("run").alias("last"))
+    # run 0 is that of the row held before, whether or not anything was added to it
+    kept = base.join(runs.filter("run = 0").select("lookup_key", "n"), "lookup_key", "left").join(last, "lookup_key", "left")
+    n, ends = F.coalesce("n", F.lit(0)), F.coalesce(F.col("last") > 0, F.lit(False))
+    more = F.when(ends, 1).otherwise(0)
+    action = F.when(ends, "retired").when(n > 0, "reused").otherwise("unchanged")
+    first = kept.select("lookup_key", F.col("_held").alias("target_field"), (F.col("_use_count") + n + more).alias("use_count"), (F.col("_success_count") + n).alias("success_count"), (F.col("_conflict_count") + more).alias("conflict_count"), (~ends).alias("active"), action.alias("action"))
+    made = runs.filter("run > 0").join(last, "lookup_key").withColumn("ends", F.col("run") < F.col("last"))
+    over = F.when(F.col("ends"), 1).otherwise(0)
+    later = made.select("lookup_key", "target_field", (F.col("n") + over).alias("use_count"), F.col("n").alias("success_count"), over.cast("long").alias("conflict_count"), (~F.col("ends")).alias("active"), F.when(F.col("ends"), "retired").otherwise("created").alias("action"))
+    rest = held.filter("not active").select("lookup_key", "target_field", *(F.col(c).cast("long").alias(c) for c in counts), "active", F.lit("unchanged").alias("action"))
+    return first.unionByName(later).unionByName(rest)
+
+
 def full_sync(held: DataFrame, incoming: DataFrame, key: str, columns: list[str], deactivate: bool = True) -> DataFrame:
     """The new snapshot with ``active`` and ``action``: created, updated, unchanged, reactivated, deactivated or kept."""
     old = held.select(key, *(F.col(c).alias(f"old_{c}") for c in columns), F.col("active").alias("was_active"), F.lit(True).alias("held"))

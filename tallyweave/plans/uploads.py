@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import vocabulary as V
-from tallyweave.operators import columns
+from tallyweave.operators import columns, experience
 from tallyweave.session import table
 
 TYPE, WIDTH = "trial_balance", 12
@@ -49,7 +49,16 @@ def mapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("sheet", "row", F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("fields"))
 
 
-QUERIES = {f.__name__: f for f in (auto_match_sheets, column_suggestions, mapped_rows)}
+def field_experience_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders confirm fields for their customer's key one after the other."""
+    o, c = F.col("o_orderkey"), F.col("c_custkey")
+    field = lambda n: F.get(F.array(*map(F.lit, V.AMOUNT_FIELDS[:3])), F.pmod(n, F.lit(3)).cast("int"))
+    held = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0").select(c.cast("string").alias("lookup_key"), field(c).alias("target_field"), F.lit(4).alias("use_count"), F.lit(3).alias("success_count"), F.lit(1).alias("conflict_count"), (c % 4 != 0).alias("active"))
+    confirmed = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("lookup_key"), F.lit("h").alias("header"), field(F.floor(o / 2)).alias("target_field"), F.when(o % 7 == 0, "auto").otherwise("user_confirmed").alias("confirmation"), o.alias("place"))
+    return experience.upsert_in_order(held, confirmed, list(V.AMOUNT_FIELDS), "place")
+
+
+QUERIES = {f.__name__: f for f in (auto_match_sheets, column_suggestions, mapped_rows, field_experience_in_order)}
 
 _LISTED = ", ".join(repr(w) for w in WORDS)
 _SPELLED = ", ".join(f"({i}, '{f}', '{w}')" for i, (f, words) in enumerate(columns.type_fields(TYPE).items()) for w in words)
@@ -59,7 +68,17 @@ s(o, field, word) AS (VALUES {_SPELLED}), known AS (SELECT lower(word) AS text,
 m AS (SELECT c.*, 'col_' || lpad((i + 1)::VARCHAR, 3, '0') AS column_id, field FROM c LEFT JOIN known ON text = lower(header)),
 w AS (SELECT *, field IS NOT NULL AND row_number() OVER (PARTITION BY sheet, field ORDER BY i) = 1 AS won FROM m)"""
 _REQUIRED = ", ".join(repr(f) for f in V.REQUIRED_FIELDS[TYPE])
+_FIELD = f"[{', '.join(repr(f) for f in V.AMOUNT_FIELDS[:3])}]"
 ORACLES = {
+    "field_experience_in_order": f"""WITH h AS (SELECT c_custkey AS k, {_FIELD}[c_custkey % 3 + 1] AS t, c_custkey % 4 <> 0 AS active FROM customer WHERE c_custkey % 5 <> 0),
+s AS (SELECT o_custkey AS k, o_orderkey AS o, {_FIELD}[(o_orderkey // 2) % 3 + 1] AS t FROM orders WHERE o_orderkey % 7 <> 0),
+b AS (SELECT s.*, coalesce(lag(s.t) OVER (PARTITION BY s.k ORDER BY o), h.t) AS was FROM s LEFT JOIN h ON h.k = s.k AND h.active),
+r AS (SELECT *, sum((was IS DISTINCT FROM t)::INT) OVER (PARTITION BY k ORDER BY o) AS run FROM b),
+g AS (SELECT k, run, any_value(t) AS t, count(*) AS n, max(run) OVER (PARTITION BY k) AS last FROM r GROUP BY k, run),
+l AS (SELECT k, any_value(last) AS last, coalesce(sum(n) FILTER (run = 0), 0) AS n FROM g GROUP BY k),
+x AS (SELECT h.k, h.t, coalesce(n, 0) AS n, coalesce(last, 0) > 0 AS ends, 4 AS u, 3 AS s, 1 AS c, true AS old FROM h LEFT JOIN l USING (k) WHERE active UNION ALL SELECT k, t, n, run < last, 0, 0, 0, false FROM g WHERE run > 0)
+SELECT k::VARCHAR AS lookup_key, t AS target_field, (u + n + ends::INT)::BIGINT AS use_count, (s + n)::BIGINT AS success_count, (c + ends::INT)::BIGINT AS conflict_count, NOT ends AS active,
+  CASE WHEN ends THEN 'retired' WHEN NOT old THEN 'created' WHEN n > 0 THEN 'reused' ELSE 'unchanged' END AS action FROM x UNION ALL SELECT k::VARCHAR, t, 4, 3, 1, false, 'unchanged' FROM h WHERE NOT active""",
     "auto_match_sheets": f"""WITH {_COLS}
 SELECT sheet, coalesce(string_agg(field || '=' || header, ';' ORDER BY field || '=' || header) FILTER (won), '') AS matched, coalesce(string_agg(header, ';' ORDER BY i) FILTER (NOT won), '') AS unmatched,
   array_to_string(list_filter([{_REQUIRED}], lambda f: NOT list_contains(coalesce(list(field) FILTER (won), []), f)), ';') AS missing FROM w GROUP BY sheet""",
