@@ -10,11 +10,19 @@ from tallyweave.functions.vocabulary import BLANK_AMOUNTS
 MONEY = "decimal(20,2)"
 # Accepted date patterns.
 DATE_PATTERNS = ("yyyy-M-d", "yyyy/M/d", "yyyyMMdd", "yyyy年M月d日", "yyyy.M.d")
+# What a text must hold for its pattern to fit at all: a failed parse costs an exception, a look at the text does not.
+DATE_SIGNS = ("-", "/", r"^[+-]?\d+$", "年", r"\.")
+
+
+def _digits(text: Column) -> Column:
+    """Text as a number's text without separators, null where it has no digit: such a cast would throw inside, row by row."""
+    bare = F.translate(F.trim(text.cast("string")), ",，", "")
+    return F.when(bare.rlike(r"\p{Nd}"), bare)
 
 
 def to_decimal(text: Column) -> Column:
     """Text as money; thousands separators go, and what is no number is null."""
-    return F.translate(F.trim(text.cast("string")), ",，", "").try_cast(MONEY)
+    return _digits(text).try_cast(MONEY)
 
 
 def decimal_or_zero(text: Column) -> Column:
@@ -25,13 +33,13 @@ def decimal_or_zero(text: Column) -> Column:
 
 def to_int(text: Column) -> Column:
     """Text as a whole number, cut towards zero; null where it is no number or out of range."""
-    return F.translate(F.trim(text.cast("string")), ",，", "").try_cast("double").try_cast("int")
+    return _digits(text).try_cast("double").try_cast("int")
 
 
 def to_date(text: Column) -> Column:
     """The first date pattern that fits, else null."""
     bare = F.trim(text.cast("string"))
-    return F.coalesce(*(F.try_to_date(bare, p) for p in DATE_PATTERNS))
+    return F.coalesce(*(F.when(bare.rlike(s), F.try_to_date(bare, p)) for p, s in zip(DATE_PATTERNS, DATE_SIGNS, strict=True)))
 
 
 def clean_header(text: Column) -> Column:

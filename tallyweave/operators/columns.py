@@ -6,9 +6,10 @@ Headers are matched once for each distinct text; a sheet's columns are few and m
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import vocabulary as V
@@ -67,6 +68,24 @@ def projected(rows: DataFrame, mapping: DataFrame, into: str = "fields") -> Data
     return cut.select("sheet", "row", F.map_from_arrays("pairs.field", F.transform("pairs", lambda p: F.get("cells", p["index"]))).alias(into))
 
 
+def spread(rows: DataFrame, mapping: DataFrame, fields: Iterable[str], extra: str = "extra_fields") -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """Rows with their sheet's mapping beside the cells; each field's text and whether it is there; other fields as a map ``extra``.
+
+    A field is a cell at its own column of places, so that what asks for one field many times, or is
+    pushed below by the optimizer, never builds a map again. Blank cells are left out of ``extra``.
+    """
+    fields = list(fields)
+    at = {f: f"_at_{f}" for f in fields}
+    rest = F.array_sort(F.collect_list(F.when(~F.col("field").isin(*fields), F.struct("field", "index"))))
+    per = mapping.groupBy("sheet").agg(*(F.max(F.when(F.col("field") == f, F.col("index"))).alias(a) for f, a in at.items()), rest.alias("_rest"))
+    met = rows.join(per, "sheet", "left")
+    others = F.filter("_rest", lambda p: (p["index"] < F.size("cells")) & (F.coalesce(F.get("cells", p["index"]), F.lit("")) != ""))
+    pairs = F.transform(others, lambda p: F.struct(p["field"].alias("key"), F.get("cells", p["index"]).alias("value")))
+    made = F.map_from_entries(F.coalesce(pairs, F.array().cast("array<struct<key:string,value:string>>"))).alias(extra)
+    there = {f: F.coalesce(F.col(a) < F.size("cells"), F.lit(False)) for f, a in at.items()}
+    return met.withColumn(extra, made), {f: F.get("cells", F.col(a)) for f, a in at.items()}, there
+
+
 def keyword_suggestions(columns: DataFrame, data_type: str) -> DataFrame:
     """(sheet, column_id, target_field, source, confidence): what each column's header suggests, several columns the same field if need be."""
     matches = headers.match_headers(columns.filter(F.coalesce("header", F.lit("")) != ""), type_fields(data_type))
