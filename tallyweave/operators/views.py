@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -50,25 +51,38 @@ def tree_nodes(accounts: DataFrame, sums: DataFrame, up: DataFrame, only_with_am
     return found.filter("entry_count > 0") if only_with_amounts else found
 
 
+def _named(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` asks for it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def synthetic_path(code: Column, name: Column, standard_name: Column, standard_code: Column) -> Column:
     """The client groups between an account and an entry, from the parts of the entry's name.
 
     An array of (group_code, group_name), outermost first, without the last part, which is the
     entry. A first part equal to the account is left out; the research pair is one group.
     """
-    parts = F.filter(F.split(F.coalesce(name, F.lit("")), r"[_\-－—/\\]"), lambda s: F.trim(s) != "")
     own = F.regexp_replace(F.coalesce(standard_name, F.lit("")), "减：|加：|其中：", "")
-    skip = F.when((F.get(parts, F.lit(0)) == own) | (F.get(parts, F.lit(0)) == standard_code), 1).otherwise(0)
-    rest = F.slice(parts, skip + 1, F.greatest(F.size(parts) - skip, F.lit(0)))
-    pair = (F.get(rest, F.lit(0)) == "研发支出") & F.get(rest, F.lit(1)).isin("费用化支出", "资本化支出")
-    joined = F.concat(F.array(F.concat_ws("_", F.get(rest, F.lit(0)), F.get(rest, F.lit(1)))), F.slice(rest, 3, F.greatest(F.size(rest), F.lit(0))))
-    # the entry itself may be the second half of the pair; then the pair is still the group
-    inner = F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0)))
-    merged = F.when(pair & (F.size(rest) == 2), F.slice(joined, 1, 1)).when(pair, F.slice(joined, 1, F.greatest(F.size(joined) - 1, F.lit(0)))).otherwise(inner)
     width = lambda i: F.least(F.lit(12), F.lit(6) + i * 2)
-    groups = F.transform(merged, lambda s, i: F.struct(F.substring(code, F.lit(1), width(i)).alias("group_code"), F.array_join(F.slice(merged, 1, i + 1), "_").alias("group_name")))
     empty = F.array().cast("array<struct<group_code:string,group_name:string>>")
-    return F.when(code.isNull() | name.isNull() | (code == "") | (F.size(parts) <= 1), empty).otherwise(groups)
+
+    def grouped(merged: Column) -> Column:
+        return F.transform(merged, lambda s, i: F.struct(F.substring(code, F.lit(1), width(i)).alias("group_code"), F.array_join(F.slice(merged, 1, i + 1), "_").alias("group_name")))
+
+    def without_entry(rest: Column) -> Column:
+        pair = (F.get(rest, F.lit(0)) == "研发支出") & F.get(rest, F.lit(1)).isin("费用化支出", "资本化支出")
+        joined = F.concat(F.array(F.concat_ws("_", F.get(rest, F.lit(0)), F.get(rest, F.lit(1)))), F.slice(rest, 3, F.greatest(F.size(rest), F.lit(0))))
+        # the entry itself may be the second half of the pair; then the pair is still the group
+        inner = F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0)))
+        return F.when(pair & (F.size(rest) == 2), F.slice(joined, 1, 1)).when(pair, F.slice(joined, 1, F.greatest(F.size(joined) - 1, F.lit(0)))).otherwise(inner)
+
+    def groups(parts: Column) -> Column:
+        skip = F.when((F.get(parts, F.lit(0)) == own) | (F.get(parts, F.lit(0)) == standard_code), 1).otherwise(0)
+        rest = F.slice(parts, skip + 1, F.greatest(F.size(parts) - skip, F.lit(0)))
+        return F.when(F.size(parts) <= 1, empty).otherwise(_named(rest, lambda r: _named(without_entry(r), grouped)))
+
+    parts = F.filter(F.split(F.coalesce(name, F.lit("")), r"[_\-－—/\\]"), lambda s: F.trim(s) != "")
+    return F.when(code.isNull() | name.isNull() | (code == ""), empty).otherwise(_named(parts, groups))
 
 
 def delete_batch(tables: dict[str, DataFrame], batch: str, value: object) -> tuple[dict[str, DataFrame], DataFrame]:
