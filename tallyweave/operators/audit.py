@@ -79,7 +79,7 @@ def audit_files(rows: DataFrame, candidates: DataFrame, chart: DataFrame) -> Dat
     text = lambda c: F.trim(F.coalesce(c, F.lit(""))).alias(c)
     unique = rows.filter(F.coalesce("participates", F.lit(True))).select("file", "client", *map(text, ("code", "name", "full_path"))).groupBy("file", "code", "name", "full_path").agg(F.min("client").alias("client"))
     accounts = chart.select(F.col("code").alias("_code"), F.col("name").alias("_name"), F.col("active").alias("_active"))
-    met = unique.join(picks(candidates), "client", "left").join(accounts, F.col("pick.target") == F.col("_code"), "left")
+    met = unique.join(picks(candidates).hint("merge"), "client", "left").join(accounts, F.col("pick.target") == F.col("_code"), "left")
     picked = F.col("pick").isNotNull()
     found = mismatches(F.col("code"), F.col("name"), F.col("full_path"), F.col("pick.target"), F.col("_name"))
     met = met.withColumns({"picked": picked, "mismatches": F.when(picked, F.size(found)).otherwise(0), "n_safe": F.coalesce("n_safe", F.lit(0))})

@@ -1,8 +1,39 @@
-"""Long expressions are worked out once."""
+"""What grows with the input is not sent through the driver, and long expressions are worked out once."""
 
 from pyspark.sql import functions as F
 
-from tallyweave.operators import views
+from tallyweave.operators import recommend, views
+
+
+def sent(df):
+    """The parts of the physical plan below each broadcast."""
+    lines = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    found = []
+    for i, line in enumerate(lines):
+        if "BroadcastHashJoin" not in line:
+            continue
+        below = []
+        for later in lines[i + 1 :]:
+            if depth(later) <= depth(line):
+                break
+            below.append(later)
+        top = min(map(depth, below))
+        starts = [j for j, x in enumerate(below) if depth(x) == top]
+        found.append("\n".join(below[starts[1] :] if "BuildRight" in line else below[starts[0] : starts[1]]))
+    return found
+
+
+def test_clients_are_not_broadcast(spark, tmp_path):
+    # an estimate from files says little of what clients grow to once their codes are cut into prefixes
+    names = F.concat(F.lit("累计折旧"), F.col("id") % 5)
+    spark.range(200).select(F.col("id").alias("client"), F.concat(F.lit("1602"), "id").alias("code"), names.alias("name"), F.concat(F.lit("16"), "id").alias("parent_code")).write.parquet(f"{tmp_path}/clients")
+    chart = spark.createDataFrame([("1602", "累计折旧", True), ("1601", "固定资产", True)], "code string, name string, active boolean")
+    clients = spark.read.parquet(f"{tmp_path}/clients")
+    df = recommend.recommend(clients, chart, least_similarity=None, keep=lambda d: d)
+    below = sent(df)
+    assert below and not [b for b in below if "clients" in b or "parent_code" in b]
+    assert df.count() > 0
 
 
 def test_a_path_is_worked_out_once(spark):
