@@ -106,6 +106,33 @@ def closure(edges: DataFrame, child: str, parent: str, max_depth: int = 12) -> D
     return out.drop("seen")
 
 
+def sums_below(leaves: DataFrame, edges: DataFrame, row: str, parent: str, measures: list[str], max_depth: int = 30) -> DataFrame:
+    """(row, measures...): for every row, the sums over the ``leaves`` at any depth below it, itself left out.
+
+    Sums climb one level at a time, so that a level holds a row for each ancestor and not for each pair, and shrinks as it
+    rises. Where sums still climb after ``max_depth`` levels, there is a circle or a chain too deep: what is below it, and that
+    alone, goes through ``closure``, which enters no row twice and raises an error for the second. ``edges`` are read often.
+    """
+    edges = edges.filter(F.col(parent).isNotNull())
+    held = edges.select(F.col(parent).alias(row)).distinct()
+    links = checkpointed(edges.join(held, row, "left_semi"))
+    up = lambda df: df.groupBy(F.col(parent).alias(row)).agg(*(F.sum(m).alias(m) for m in measures))
+    out = now = checkpointed(up(leaves.join(edges, row)))
+    for _ in range(max_depth):
+        now = checkpointed(up(now.join(links, row)))
+        if now.isEmpty():
+            return out.groupBy(row).agg(*(F.sum(m).alias(m) for m in measures))
+        out = out.union(now)
+    odd = level = now.select(row)
+    while not level.isEmpty():
+        below = edges.join(level.withColumnRenamed(row, parent), parent, "left_semi").select(row).distinct()
+        level = checkpointed(below.join(odd, row, "left_anti"))
+        odd = odd.union(level)
+    pairs = closure(edges.join(odd, row, "left_semi"), row, parent, max_depth).filter("distance > 0")
+    found = up(leaves.join(pairs.select(F.col("node").alias(row), F.col("ancestor").alias(parent)), row))
+    return found.union(sums_below(leaves, checkpointed(edges.join(odd, row, "left_anti")), row, parent, measures, max_depth))
+
+
 def roll_up(entries: DataFrame, key: str, measures: list[str], up: DataFrame) -> DataFrame:
     """Sums of the measures and the entry count for every ancestor. Partial sums come before the shuffle."""
     own = entries.groupBy(key).agg(*(F.sum(m).alias(m) for m in measures), F.count(F.lit(1)).alias("entry_count"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.amounts import MONEY, split_amount
 from tallyweave.functions.parsing import decimal_or_zero, to_decimal
 from tallyweave.operators import hierarchy
+from tallyweave.session import checkpointed
 
 PERIODS = ("opening", "current", "ending")
 MEASURES = tuple(f"{p}_{side}" for p in PERIODS for side in ("debit", "credit"))
@@ -116,25 +117,31 @@ def resolved_parents(rows: DataFrame, row: str, code: str) -> DataFrame:
     return met.select(row, F.coalesce(F.col("_coded").cast("long"), numbered).alias("parent_row")).filter(F.col("parent_row") != F.col(row))
 
 
-def _measured(rows: DataFrame, row: str) -> tuple[DataFrame, list[str]]:
+def _measured(rows: DataFrame, row: str, code: str, *more: str) -> tuple[DataFrame, list[str]]:
+    """(row, code, is_leaf, ``more``, four measures) of each row, written once, and the names of the measures."""
     net = lambda p: F.col(f"{p}_debit") - F.col(f"{p}_credit")
     measures = {"opening_net": net("opening"), "current_debit": F.col("current_debit"), "current_credit": F.col("current_credit"), "ending_net": net("ending")}
-    return rows.select(F.col(row).alias("row"), "is_leaf", *(v.cast(TOTAL).alias(k) for k, v in measures.items())), list(measures)
+    found = rows.select(F.col(row).alias("row"), F.col(code).alias("code"), "is_leaf", *more, *(v.cast(TOTAL).alias(k) for k, v in measures.items()))
+    return checkpointed(found), list(measures)
+
+
+def _apart(met: DataFrame, row: str, measures: list[str], tolerance: str) -> DataFrame:
+    """Each measure that differs from its sum over leaves, which has ``_`` before the name."""
+    parts = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("parent_amount"), F.col(f"_{m}").alias("leaf_amount"), (F.col(m) - F.col(f"_{m}")).cast(TOTAL).alias("difference")) for m in measures]
+    found = met.select("row", F.inline(F.array(*parts))).filter(F.abs("difference") > F.lit(tolerance).cast(MONEY))
+    return found.withColumnRenamed("row", row)
 
 
 def tree_differences(rows: DataFrame, row: str, code: str, max_depth: int = 30, tolerance: str = "0.01") -> DataFrame:
     """(row, measure, parent_amount, leaf_amount, difference) of rows that differ from all leaves below them, placed by code, indent or both in turn.
 
-    As ``parent_differences``, but over the closure of ``resolved_parents``; leaves are summed for each ancestor with partial sums.
+    As ``parent_differences``, but over the tree of ``resolved_parents``, which the sums of leaves climb level by level.
     """
-    valued, measures = _measured(rows, row)
-    edges = resolved_parents(rows, row, code).withColumnRenamed(row, "row")
-    up = hierarchy.closure(edges, "row", "parent_row", max_depth).filter("distance > 0")
-    leaves = valued.filter("is_leaf").drop("is_leaf").withColumnRenamed("row", "node")
-    sums = leaves.join(up, "node").groupBy(F.col("ancestor").alias("row")).agg(*(F.sum(m).cast(TOTAL).alias(f"_{m}") for m in measures))
-    parts = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("parent_amount"), F.col(f"_{m}").alias("leaf_amount"), (F.col(m) - F.col(f"_{m}")).cast(TOTAL).alias("difference")) for m in measures]
-    found = valued.join(sums, "row").select("row", F.inline(F.array(*parts))).filter(F.abs("difference") > F.lit(tolerance).cast(MONEY))
-    return found.withColumnRenamed("row", row)
+    valued, measures = _measured(rows, row, code, "parent_key", "level_source")
+    edges = checkpointed(resolved_parents(valued, "row", "code"))
+    sums = hierarchy.sums_below(valued.filter("is_leaf").select("row", *measures), edges, "row", "parent_row", measures, max_depth)
+    below = sums.select("row", *(F.col(m).cast(TOTAL).alias(f"_{m}") for m in measures))
+    return _apart(valued.join(below, "row"), row, measures, tolerance)
 
 
 def summary_reconciliation(rows: DataFrame, row: str, code: str, tolerance: str = "0.01") -> DataFrame:

@@ -1,8 +1,9 @@
 """What grows with the input is not sent through the driver, and long expressions are worked out once."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import matching, recommend, views
+from tallyweave.operators import matching, recommend, transform, views
 
 
 def sent(df):
@@ -52,3 +53,41 @@ def test_groups_are_worked_out_for_distinct_names(spark, tmp_path):
     lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert [x for x in lines if "Filter" in x] and not [x for x in lines if "Filter" in x and "CASE WHEN" in x]
     assert found.count() == 50
+
+
+def leaves_below(rows, parents):
+    """Sums of leaves over every chain of parents, by hand: a row is entered once and is not below itself."""
+    sums = {}
+    for row, _, is_leaf, amount in rows:
+        seen, at = {row}, parents.get(row)
+        while is_leaf and at is not None and at not in seen:
+            sums[at] = sums.get(at, 0) + amount
+            seen.add(at)
+            at = parents.get(at)
+    return {(r, a - sums[r]) for r, _, _, a in rows if r in sums and a != sums[r]}
+
+
+def balances(spark, tmp_path, rows, parents):
+    df = spark.createDataFrame([(*r, None if parents.get(r[0]) is None else str(parents[r[0]])) for r in rows], "row long, code string, is_leaf boolean, amount int, parent_key string").repartition(3)
+    df = df.withColumns({m: F.when(F.lit(m == "current_debit"), F.col("amount")).otherwise(0).cast("decimal(20,2)") for m in transform.MEASURES} | {"level_source": F.lit("indent_suggested")})
+    df.write.parquet(f"{tmp_path}/balances")
+    return spark.read.parquet(f"{tmp_path}/balances")
+
+
+def differences(df):
+    assert "FileScan" not in df._jdf.queryExecution().sparkPlan().toString()  # the rows are written once, not placed again for each join
+    return {(r["row"], int(r["difference"])) for r in df.collect()}
+
+
+def test_sums_climb_a_tree_beside_a_circle(spark, tmp_path):
+    parents = {i: i // 3 for i in range(3, 60)} | {60: 61, 61: 62, 62: 60, 63: 60, 64: 63, 65: 63, 66: 66, 67: 66}
+    rows = [(i, None, i % 7 == 0 or i >= 20 and i != 63, i * i) for i in range(1, 69)]
+    found = transform.tree_differences(balances(spark, tmp_path, rows, parents), "row", "code", max_depth=6)
+    want = leaves_below(rows, {r: p for r, p in parents.items() if r != p})
+    assert differences(found) == want and {r for r, _ in want} >= {60, 61, 62, 63, 66, 1}
+
+
+def test_a_chain_too_deep_is_an_error(spark, tmp_path):
+    rows = [(i, None, i == 9, i) for i in range(1, 10)]
+    with pytest.raises(ValueError, match="deeper"):
+        transform.tree_differences(balances(spark, tmp_path, rows, {i: i - 1 for i in range(2, 10)}), "row", "code", max_depth=6)
