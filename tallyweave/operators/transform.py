@@ -93,17 +93,14 @@ def parent_differences(rows: DataFrame, row: str, code: str, tolerance: str = "0
     """(row, measure, parent_amount, leaf_amount, difference) of rows that differ from the leaves at any depth below their code.
 
     The current period counts by side; opening and ending count as debit less credit, since a
-    balance may lie on either side. Leaves are summed for each ancestor with partial sums.
+    balance may lie on either side. Leaves lie in the order of their codes, so that a task sums nearly all of what
+    is below a prefix before anything is shuffled.
     """
-    net = lambda p: F.col(f"{p}_debit") - F.col(f"{p}_credit")
-    measures = {"opening_net": net("opening"), "current_debit": F.col("current_debit"), "current_credit": F.col("current_credit"), "ending_net": net("ending")}
-    valued = rows.select(row, code, "is_leaf", *(v.cast(TOTAL).alias(k) for k, v in measures.items()))
-    codes = valued.select(F.col(code).alias("prefix")).distinct()
-    up = hierarchy.prefixes(valued.filter("is_leaf"), row, code).join(codes, "prefix").select(row, F.col("prefix").alias("_above"))
-    sums = up.join(valued.drop(code, "is_leaf"), row).groupBy("_above").agg(*(F.sum(m).cast(TOTAL).alias(f"_{m}") for m in measures))
-    met = valued.join(sums, F.col(code) == F.col("_above"))
-    parts = [F.struct(F.lit(m).alias("measure"), F.col(m).alias("parent_amount"), F.col(f"_{m}").alias("leaf_amount"), (F.col(m) - F.col(f"_{m}")).cast(TOTAL).alias("difference")) for m in measures]
-    return met.select(row, F.inline(F.array(*parts))).filter(F.abs("difference") > F.lit(tolerance).cast(MONEY))
+    valued, measures = _measured(rows, row, code)
+    ordered = valued.filter("is_leaf").filter(F.length("code") > 1).repartitionByRange("code")
+    above = ordered.select(F.explode(F.sequence(F.lit(1), F.length("code") - 1)).alias("n"), F.col("code").alias("below"), *measures)
+    sums = above.groupBy(F.substring("below", F.lit(1), F.col("n")).alias("code")).agg(*(F.sum(m).cast(TOTAL).alias(f"_{m}") for m in measures))
+    return _apart(valued.join(sums, "code"), row, measures, tolerance)
 
 
 def resolved_parents(rows: DataFrame, row: str, code: str) -> DataFrame:

@@ -91,3 +91,15 @@ def test_a_chain_too_deep_is_an_error(spark, tmp_path):
     rows = [(i, None, i == 9, i) for i in range(1, 10)]
     with pytest.raises(ValueError, match="deeper"):
         transform.tree_differences(balances(spark, tmp_path, rows, {i: i - 1 for i in range(2, 10)}), "row", "code", max_depth=6)
+
+
+def test_leaves_are_summed_below_their_codes(spark, tmp_path):
+    codes = ["1", "10", "100", "1001", "10010", "2", "2", "21", "210", "3", "", None, "31x", "31x9", "5"]
+    rows = [(i, c, i % 2 == 1 or i > 10, 3 * i + 1) for i, c in enumerate(codes)]
+    found = transform.parent_differences(balances(spark, tmp_path, rows, {}), "row", "code")
+    want = set()
+    for i, c, _, amount in rows:
+        below = [a for _, d, is_leaf, a in rows if c and d and is_leaf and d != c and d.startswith(c)]
+        if below and sum(below) != amount:
+            want.add((i, amount - sum(below)))
+    assert differences(found) == want and len(want) > 5
