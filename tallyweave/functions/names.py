@@ -128,10 +128,11 @@ def groups_against_standard(canonical: Column) -> Column:
 
 
 def class_anchor(folded_code: Column) -> Column:
-    """The name that stands for the class of a code, by the longest known prefix."""
-    listed = sorted(V.CODE_ANCHORS.items(), key=lambda p: (-len(p[0]), p[0]))
-    table = _table([{"prefix": f"'{p}'", "anchor": f"'{a}'"} for p, a in listed])
-    return _first(F.filter(table, lambda r: F.startswith(folded_code, r["prefix"])))["anchor"]
+    """The name that stands for the class of a code, by the longest known prefix; the code is worked out once."""
+    table = F.expr(f"map({', '.join(f"'{p}', '{a}'" for p, a in V.CODE_ANCHORS.items())})")
+    sizes = sorted({len(p) for p in V.CODE_ANCHORS}, reverse=True)
+    longest = lambda code: F.coalesce(*(F.try_element_at(table, F.substring(code, F.lit(1), F.lit(n))) for n in sizes))
+    return _first(F.transform(F.array(folded_code), longest))
 
 
 def opposite(one: Column, other: Column, pairs: tuple[tuple[str, str], ...]) -> Column:

@@ -103,3 +103,31 @@ def test_leaves_are_summed_below_their_codes(spark, tmp_path):
         if below and sum(below) != amount:
             want.add((i, amount - sum(below)))
     assert differences(found) == want and len(want) > 5
+
+
+def test_anchors_meet_distinct_names_and_their_first_accounts(spark):
+    names = ["银行存款", "银行存款明细", "减：银行存款", "存款", "应收账款", ""]
+    accounts = {(f"{i % 97:03}", names[i * i % 6], i % 5 != 0) for i in range(400)}
+    chart = spark.createDataFrame([*accounts, *list(accounts)[:50]], "code string, name string, active boolean").repartition(3)
+    anchors = [(1, "银行存款"), (2, "存款"), (3, " 银行 存款"), (4, "款"), (5, None), (6, ""), (7, "现金")]
+    found = matching.anchor_matches(spark.createDataFrame(anchors, "client int, anchor string"), chart)
+    want = set()
+    for client, anchor in anchors:
+        key, hits = (anchor or "").replace(" ", ""), {}
+        for code, name, active in accounts:
+            if key and key in (bare := name.removeprefix("减：")):
+                hits[code, active] = hits.get((code, active), False) or bare == key
+        want |= {(client, code, exact, n + 1) for n, (exact, active, code) in enumerate(sorted(((e, a, c) for (c, a), e in hits.items()), key=lambda h: (not h[0], not h[1], h[2]))[:5])}
+    assert {tuple(r) for r in found.collect()} == want and len(want) == 20
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    cut = [i for i, x in enumerate(lines) if "Generate explode(sequence(1, length(" in x]
+    # substrings are cut of distinct names: an aggregate lies below
+    assert cut and all(any("Aggregate [canonical" in y for y in lines[i + 1 : i + 4] if depth(y) > depth(lines[i])) for i in cut[1:])
+
+
+def test_a_code_is_folded_once_for_all_classes(spark):
+    codes = ["1001", "10 02.01", "112", "1121.0", "+1221", "99", None, "６００１"]
+    anchors = matching.code_class_anchors(spark.createDataFrame(list(enumerate(codes)), "client int, code string"))
+    assert {tuple(r) for r in anchors.collect()} == {(0, "库存现金"), (1, "银行存款"), (3, "应收票据"), (4, "其他应收款"), (7, "主营业务收入")}
+    assert "startswith(" not in anchors._jdf.queryExecution().analyzed().toString().lower()
