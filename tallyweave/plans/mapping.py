@@ -83,9 +83,14 @@ def compatibility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.with_compatibility(pairs, into="compatibility").select("client", "target", "compatibility")
 
 
+#: Lines that one task makes distinct and ranks: its memory is the same whatever the table's size.
+LINES_A_TASK = 100_000
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part and supplier pairs of ``lineitem`` as candidates of several sources."""
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    """Part and supplier pairs of ``lineitem`` as candidates of several sources, all of a client in one task."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    lines = lines.repartition(max(1, -(-lines.count() // LINES_A_TASK)), "l_partkey").distinct()
     both = F.col("l_partkey") + F.col("l_suppkey")
     source = F.get(F.array(*map(F.lit, ("company_history", "name_exact", "code_match", "name_similarity", "code_match_conflict"))), (both % 5).cast("int"))
     compat = F.get(F.array(*map(F.lit, ("compatible", "compatible", "unknown", "conflict"))), (F.col("l_suppkey") % 4).cast("int"))

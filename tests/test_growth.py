@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import matching, recommend, transform, views
+from tallyweave.plans import mapping
 
 
 def sent(df):
@@ -142,3 +143,13 @@ def test_names_are_matched_once_for_all_clients(spark):
     assert sorted(map(tuple, found.collect())) == sorted([(i, *h) for i in (0, 4) for h in first] + [(i, *h) for i in (1, 5) for h in second])
     windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x]
     assert windows and not [x for x in windows if "client" in x]
+
+
+def test_tasks_that_rank_hold_so_many_lines_at_most(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mapping, "LINES_A_TASK", 50)
+    spark.range(500).select((F.col("id") % 40).alias("l_partkey"), (F.col("id") % 7).alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for query, rows in ((mapping.candidate_rank_safe_first, 40 * 7), (mapping.auto_confirm_status, 40)):
+        df = query(spark, str(tmp_path))
+        shuffles = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+        assert len(shuffles) == 1 and ", 10), REPARTITION_BY_NUM" in shuffles[0]
+        assert df.count() == rows
