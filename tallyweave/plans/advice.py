@@ -28,7 +28,7 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "p_name", "words", "codes", code.alias("code"), name.alias("name"), parent.alias("parent_code"), F.when(k % 10 == 0, F.get("words", F.lit(0))).alias("parent_name"))
 
 
-def advised(spark: SparkSession, sf_dir: str) -> DataFrame:
+def advised(spark: SparkSession, sf_dir: str) -> recommend.Advice:
     rows, accounts = contexts(spark, sf_dir), chart(spark, sf_dir)
     k = F.col("k")
     kept = lambda name, target: (name.alias("name"), target.alias("target"), (k % 5).cast("int").alias("used"), F.lit("2024").alias("last_used"), (k % 4 != 3).alias("active"))
@@ -36,16 +36,18 @@ def advised(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = rows.filter("k % 89 = 1").select(F.lit(None).cast("string").alias("code"), *kept(F.get("words", F.lit(1)), _coded(k)))
     walk = rows.filter("k between 1 and 40").select(F.concat(F.lit("x"), k).alias("old"), _coded(k * 7).alias("target"))
     clients = rows.select(k.alias("client"), "code", "name", "parent_code", "parent_name")
-    return recommend.recommend(clients, accounts, history, walk, shared=shared, least_similarity=None)
+    return recommend.advise(clients, accounts, history, walk, shared=shared, least_similarity=None)
 
 
 def recommend_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return advised(spark, sf_dir).select("client", "target", "source", "score", "compatibility", "safe", "rank")
+    advice = advised(spark, sf_dir)
+    return advice.each(advice.best.select("client", "target", "source", "score", "compatibility", "safe", "rank"))
 
 
 def recommend_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What may be confirmed without a person."""
-    return matching.decide(advised(spark, sf_dir)).select("client", "n_candidates", "n_safe", "status", "confirmed")
+    advice = advised(spark, sf_dir)
+    return matching.decide(advice.each(advice.best)).select("client", "n_candidates", "n_safe", "status", "confirmed")
 
 
 def audit_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +55,8 @@ def audit_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     clients = contexts(spark, sf_dir).select(F.col("k").alias("client"), "code", "name", F.lit(None).cast("string").alias("full_path"))
     rows = clients.join(table(spark, sf_dir, "part").select(k.cast("long").alias("client"), F.col("p_brand").alias("file"), (k % 19 != 4).alias("participates")), "client")
-    return audit.audit_files(rows, advised(spark, sf_dir), chart(spark, sf_dir))
+    advice = advised(spark, sf_dir)
+    return audit.audit_files(rows, advice.each(advice.best), chart(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (recommend_in_context, recommend_decisions, audit_over_files)}

@@ -153,3 +153,31 @@ def test_tasks_that_rank_hold_so_many_lines_at_most(spark, tmp_path, monkeypatch
         shuffles = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
         assert len(shuffles) == 1 and ", 10), REPARTITION_BY_NUM" in shuffles[0]
         assert df.count() == rows
+
+
+def test_old_mappings_of_a_name_do_not_multiply_with_its_clients(spark, monkeypatch):
+    made = [(f"h{i}", "银行存款" if i % 3 else "银行 存款", ("1001", "1002", "zz", "1122")[i % 4], i % 50, f"{i % 7}", i % 10 != 9) for i in range(400)]
+    kept_old = "code string, name string, target string, used int, last_used string, active boolean"
+    chart = spark.createDataFrame([("1001", "银行存款", True), ("1002", "减：坏账准备", True), ("1122", "应收账款", False)], "code string, name string, active boolean")
+    clients = spark.createDataFrame([(i, f"h{i}", "银行存款") for i in range(60)], "client int, code string, name string")
+    sizes = []
+
+    def keep(df):
+        df = df.checkpoint()
+        sizes.append(df.count())
+        return df
+
+    want = {}
+    for client in range(60):
+        old = {(code != f"h{client}", -used, tuple(-ord(c) for c in last), target, name) for code, name, target, used, last, on in made if on}
+        once = [o for o in old if not (o[0] and (False, *o[1:]) in old)]
+        # safe ones first; of the others, those that contradict the name, then those whose account is gone or not active
+        kind = lambda o: {"1001": 0, "zz": 1, "1122": 1}.get(o[3], 2)
+        want[client] = [o[3] for o in sorted(once, key=lambda o: (kind(o), *o))][:10]
+    for sent in (recommend.SENT_HITS, 0):
+        monkeypatch.setattr(recommend, "SENT_HITS", sent)
+        found = {}
+        for r in recommend.recommend(clients, chart, spark.createDataFrame(made, kept_old), least_similarity=None, keep=keep).orderBy("client", "rank").collect():
+            found.setdefault(r["client"], []).append(r["target"])
+        assert found == want
+    assert max(sizes) <= 60
