@@ -47,7 +47,7 @@ def recommend_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recommend_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What may be confirmed without a person."""
     advice = advised(spark, sf_dir)
-    return matching.decide(advice.each(advice.best)).select("client", "n_candidates", "n_safe", "status", "confirmed")
+    return advice.each(matching.decide(advice.best).select("client", "n_candidates", "n_safe", "status", "confirmed"))
 
 
 def audit_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:

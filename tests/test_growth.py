@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import matching, recommend, transform, views
-from tallyweave.plans import mapping
+from tallyweave.operators import audit, matching, recommend, transform, views
+from tallyweave.plans import advice, mapping
 
 
 def sent(df):
@@ -181,3 +181,24 @@ def test_old_mappings_of_a_name_do_not_multiply_with_its_clients(spark, monkeypa
             found.setdefault(r["client"], []).append(r["target"])
         assert found == want
     assert max(sizes) <= 60
+
+
+def copies(spark, tmp_path):
+    """Forty parts of one context, as far as names, codes and parents go, and two brands."""
+    made = spark.range(40).select((F.col("id") * 9240).alias("p_partkey"), F.lit("red ring").alias("p_name"), F.concat(F.lit("B"), F.col("id") % 2).alias("p_brand"))
+    made.write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+def counted(monkeypatch, module, name):
+    """How many rows each call of a function is given."""
+    rows, real = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda df: (rows.append(df.count()), real(df))[1])
+    return rows
+
+
+def test_decisions_are_made_once_a_context(spark, tmp_path, monkeypatch):
+    rows = counted(monkeypatch, matching, "decide")
+    found = advice.recommend_decisions(spark, copies(spark, tmp_path)).collect()
+    assert len(found) == 40 and len({tuple(r)[1:] for r in found}) == 1
+    assert rows == [found[0]["n_candidates"]]
