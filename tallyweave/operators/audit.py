@@ -76,13 +76,18 @@ def audit_files(rows: DataFrame, candidates: DataFrame, chart: DataFrame) -> Dat
     each (code, name, path) of a file, by their first client. Mismatch classes are looked for in confirmed
     picks only. ``confirmed`` and ``manual`` add up to ``accounts`` less those without any candidate.
     """
+    return audit_picks(rows, picks(candidates), chart)
+
+
+def audit_picks(rows: DataFrame, picked: DataFrame, chart: DataFrame) -> DataFrame:
+    """``audit_files`` of clients whose ``picks`` are known."""
     text = lambda c: F.trim(F.coalesce(c, F.lit(""))).alias(c)
     unique = rows.filter(F.coalesce("participates", F.lit(True))).select("file", "client", *map(text, ("code", "name", "full_path"))).groupBy("file", "code", "name", "full_path").agg(F.min("client").alias("client"))
     accounts = chart.select(F.col("code").alias("_code"), F.col("name").alias("_name"), F.col("active").alias("_active"))
-    met = unique.join(picks(candidates).hint("merge"), "client", "left").join(accounts, F.col("pick.target") == F.col("_code"), "left")
-    picked = F.col("pick").isNotNull()
+    met = unique.join(picked.hint("merge"), "client", "left").join(accounts, F.col("pick.target") == F.col("_code"), "left")
+    has_pick = F.col("pick").isNotNull()
     found = mismatches(F.col("code"), F.col("name"), F.col("full_path"), F.col("pick.target"), F.col("_name"))
-    met = met.withColumns({"picked": picked, "mismatches": F.when(picked, F.size(found)).otherwise(0), "n_safe": F.coalesce("n_safe", F.lit(0))})
+    met = met.withColumns({"picked": has_pick, "mismatches": F.when(has_pick, F.size(found)).otherwise(0), "n_safe": F.coalesce("n_safe", F.lit(0))})
     known = F.coalesce(F.col("n_candidates") > 0, F.lit(False))
     on = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
     return met.groupBy("file").agg(

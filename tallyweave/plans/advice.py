@@ -20,12 +20,12 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = chart(spark, sf_dir).agg(F.array_sort(F.collect_list("code")).alias("codes"))
     words = F.split("p_name", " ")
     k = F.col("k")
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), "p_name", words.alias("words")).join(F.broadcast(codes), F.lit(True))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), "p_name", "p_brand", words.alias("words")).join(F.broadcast(codes), F.lit(True))
     code = F.when(k % 3 == 0, _coded(k)).when(k % 3 == 1, F.concat(_coded(k), F.lit("01"))).otherwise(F.concat(F.lit("x"), k))
     above = F.floor(k / 2)
     parent = F.when(k % 5 == 0, F.concat(_coded(above), F.lit("9"))).when(k % 5 == 1, F.concat(F.lit("x"), k, F.lit(".1")))
     name = F.when(k % 11 == 0, "").when(k % 7 == 0, F.get("words", F.lit(1))).otherwise(F.col("p_name"))
-    return rows.select("k", "p_name", "words", "codes", code.alias("code"), name.alias("name"), parent.alias("parent_code"), F.when(k % 10 == 0, F.get("words", F.lit(0))).alias("parent_name"))
+    return rows.select("k", "p_name", "p_brand", "words", "codes", code.alias("code"), name.alias("name"), parent.alias("parent_code"), F.when(k % 10 == 0, F.get("words", F.lit(0))).alias("parent_name"))
 
 
 def advised(spark: SparkSession, sf_dir: str) -> recommend.Advice:
@@ -52,11 +52,10 @@ def recommend_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A brand is a file; some rows take no part."""
-    k = F.col("p_partkey")
-    clients = contexts(spark, sf_dir).select(F.col("k").alias("client"), "code", "name", F.lit(None).cast("string").alias("full_path"))
-    rows = clients.join(table(spark, sf_dir, "part").select(k.cast("long").alias("client"), F.col("p_brand").alias("file"), (k % 19 != 4).alias("participates")), "client")
+    k = F.col("k")
+    rows = contexts(spark, sf_dir).select(k.alias("client"), "code", "name", F.lit(None).cast("string").alias("full_path"), F.col("p_brand").alias("file"), (k % 19 != 4).alias("participates"))
     advice = advised(spark, sf_dir)
-    return audit.audit_files(rows, advice.each(advice.best), chart(spark, sf_dir))
+    return audit.audit_picks(rows, advice.each(audit.picks(advice.best)), chart(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (recommend_in_context, recommend_decisions, audit_over_files)}

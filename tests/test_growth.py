@@ -202,3 +202,10 @@ def test_decisions_are_made_once_a_context(spark, tmp_path, monkeypatch):
     found = advice.recommend_decisions(spark, copies(spark, tmp_path)).collect()
     assert len(found) == 40 and len({tuple(r)[1:] for r in found}) == 1
     assert rows == [found[0]["n_candidates"]]
+
+
+def test_files_are_audited_from_picks_of_contexts(spark, tmp_path, monkeypatch):
+    rows = counted(monkeypatch, audit, "picks")
+    found = advice.audit_over_files(spark, copies(spark, tmp_path)).collect()
+    assert {r["file"]: r["accounts"] for r in found} == {"B0": 1, "B1": 1} and len({tuple(r)[1:] for r in found}) == 1
+    assert rows and max(rows) <= 10
